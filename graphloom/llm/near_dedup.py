@@ -295,7 +295,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     work = Workspace(docs.sparkSession, "near-dedup-rows")
     found = work.save(near_duplicates(docs, id_col, text_col, words, percent), "found")
     named = found.where("doc_id is not null")
-    per_id = work.save(named.groupBy("doc_id").agg(F.count("*").alias("gl_n"), F.count_if("n_shingles > 0").alias("gl_words"), F.max("kept").alias("gl_kept")), "ids")
+    per_id = work.save(named.groupBy("doc_id").agg(F.count("*").alias("gl_n"), F.max("kept").alias("gl_kept")), "ids")
     keyed = docs.select(*[col(c) for c in docs.columns], col(id_col).cast("long").alias("gl_id"))
     joined = keyed.join(per_id.withColumnRenamed("doc_id", "gl_id"), "gl_id", "left")
     blank = ~F.coalesce(F.regexp_like(col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
