@@ -1,10 +1,15 @@
+"""All registered queries and their SQL."""
+
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import evaluation_queries, graph_queries, text_queries
+
+_MODULES = (graph_queries, text_queries, evaluation_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return text_queries.bm25_topk(spark, sf_dir)
