@@ -53,7 +53,8 @@ def exact_parts(parts: DataFrame, passages: DataFrame) -> DataFrame:
     listed = some.select("case_id", "part", "canon", F.explode(gram_set(F.col("canon"), GRAM)).alias("gram"))
     counts = p.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     rare = listed.join(counts, "gram", "left").groupBy("case_id", "part", "canon").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram").alias("gram"))).alias("m"))
-    found = rare.where("m.df > 0").select("case_id", "part", F.col("canon").alias("needle"), F.col("m.gram").alias("gram")).join(p.select("passage_id", "canon", F.explode("g").alias("gram")), "gram")
+    found = rare.where("m.df > 0").select("case_id", "part", F.col("canon").alias("needle"), F.col("m.gram").alias("gram")).join(p.select("passage_id", F.explode("g").alias("gram")), "gram")
+    found = found.select("case_id", "part", "needle", "passage_id").join(p.select("passage_id", "canon"), "passage_id")
     return found.where(F.contains(F.col("canon"), F.col("needle"))).groupBy("case_id", "part").agg(F.min("passage_id").alias("passage_id"))
 
 

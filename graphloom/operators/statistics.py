@@ -75,11 +75,13 @@ def macro_bootstrap(pairs: DataFrame, family: str | None, stratum: str, cluster:
 
 @F.pandas_udf(T.DoubleType())
 def _binomial_two_sided(k: pd.Series, n: pd.Series) -> pd.Series:
-    """min(1, 2 P(X <= k)) for X of n fair coins, in logarithms so that no power underflows."""
+    """min(1, 2 P(X <= k)) for X of n fair coins: exact integers, or logarithms where those grow long."""
 
     def p(k: int, n: int) -> float:
         if n <= 0:
             return 1.0
+        if n <= 1000:
+            return min(1.0, 2 * sum(math.comb(n, i) for i in range(int(k) + 1)) / 2**n)
         logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(int(k) + 1)]
         top = max(logs)
         return min(1.0, 2 * math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
@@ -120,12 +122,12 @@ def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("p_value", p).withColumn("test", F.when(n < 20, "wilcoxon_approx").otherwise("wilcoxon"))
 
 
-def holm(tests: DataFrame, keys: list[str], p: str = "p_value", tie: str = "name") -> DataFrame:
-    """tests with p_holm: the running maximum of (m - i) p in the order of p, at most 1, to six digits."""
+def holm(tests: DataFrame, keys: list[str], p: str = "p_value", tie: str = "name", digits: int = 6) -> DataFrame:
+    """tests with p_holm: the running maximum of (m - i) p in the order of p, at most 1, rounded."""
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     order = whole.orderBy(p, tie)
     step = F.least(F.lit(1.0), (F.count("*").over(whole) - F.row_number().over(order) + 1) * F.col(p))
-    return tests.withColumn("step_", step).withColumn("p_holm", F.round(F.max("step_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 6)).drop("step_")
+    return tests.withColumn("step_", step).withColumn("p_holm", F.round(F.max("step_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), digits)).drop("step_")
 
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

@@ -207,22 +207,24 @@ k as (select *, unnest(range(0, least(w, l) + 1)) as i from g),
 p as (select source, case when max(w + l) = 0 then 1.0::double else least(1.0::double, 2 * sum(exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2)))) end as p from k group by source)"""
 
 
-@query(f"with {_MC} select source, n, w as wins, l as losses, round(delta, 6) as delta, round(p, 6) as p_value from g join p using (source)")
+@query(f"with {_MC} select source, n, w as wins, l as losses, round(delta, 6) as delta, round(p + 1e-9, 6) as p_value from g join p using (source)")
 def mcnemar_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _r(st.mcnemar(_binary_pairs(spark, d), ["source"]), "delta", "p_value")
+    # exact fractions of powers of two lie on rounding's edge: both sides move off it
+    return _r(st.mcnemar(_binary_pairs(spark, d), ["source"]).withColumn("p_value", F.col("p_value") + 1e-9), "delta", "p_value")
 
 
-@query(f"with {_MC}, o as (select source, p, least(1.0::double, (count(*) over () - row_number() over (order by p, source) + 1) * p) as s from p) select source, round(max(s) over (order by p, source rows unbounded preceding), 6) as p_holm from o")
+@query(f"with {_MC}, o as (select source, p, least(1.0::double, (count(*) over () - row_number() over (order by round(p, 9), source) + 1) * p) as s, round(p, 9) as q from p) select source, round(max(s) over (order by q, source rows unbounded preceding) + 1e-9, 6) as p_holm from o")
 def holm_adjust(spark: SparkSession, d: str) -> DataFrame:
-    return st.holm(st.mcnemar(_binary_pairs(spark, d), ["source"]), [], tie="source").select("source", "p_holm")
+    tests = st.mcnemar(_binary_pairs(spark, d), ["source"]).withColumn("p_value", F.round("p_value", 9))
+    return st.holm(tests, [], tie="source", digits=9).select("source", F.round(F.col("p_holm") + 1e-9, 6).alias("p_holm"))
 
 
-_UP = "u as (select user_id, round(avg(value) filter (event_type = 'click'), 2) as a, round(avg(value) filter (event_type = 'view'), 2) as b from events group by user_id having a is not null and b is not null)"
+_UP = "u as (select user_id, max(value) filter (event_type = 'click') as a, max(value) filter (event_type = 'view') as b from events group by user_id having a is not null and b is not null)"
 
 
 def _user_pairs(spark: SparkSession, d: str) -> DataFrame:
-    mean = lambda t: F.round(F.avg(F.when(F.col("event_type") == t, F.col("value"))), 2)
-    return table(spark, d, "events").groupBy("user_id").agg(mean("click").alias("a"), mean("view").alias("b")).where("a is not null and b is not null")
+    best = lambda t: F.max(F.when(F.col("event_type") == t, F.col("value")))
+    return table(spark, d, "events").groupBy("user_id").agg(best("click").alias("a"), best("view").alias("b")).where("a is not null and b is not null")
 
 
 @query(f"""with {_UP}, d as (select round((b - a) * 100)::bigint as d from u where b <> a), r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0::double as r, count(*) over (partition by abs(d)) as g from d),
