@@ -159,7 +159,8 @@ def probe_rate(queries: Column, options: Column) -> Column:
 
 def judge_score(raw: Column) -> Column:
     """0 to 4 as a share; what can't be read is null."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(4.0), raw.try_cast("double"))) / 4
+    x = raw.try_cast("double")
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(4.0), x)) / 4)
 
 
 def cost(prompt_tokens: Column, completion_tokens: Column, price_in: float, price_out: float) -> Column:
