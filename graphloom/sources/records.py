@@ -23,7 +23,9 @@ def write_traces(traces: DataFrame, path: str) -> None:
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """Trace rows.  A broken last line of the input is dropped, a broken line elsewhere is an error."""
-    rows = spark.read.schema(TRACE).option("columnNameOfCorruptRecord", "corrupt_line").json(path).withColumn("file_", F.col("_metadata.file_path")).withColumn("ord", F.monotonically_increasing_id())
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("ord", F.monotonically_increasing_id())
+    parsed = F.from_json("value", TRACE, {"columnNameOfCorruptRecord": "corrupt_line"})
+    rows = lines.select(F.col("_metadata.file_path").alias("file_"), "ord", parsed.alias("t")).select("file_", "ord", "t.*")
     broken = rows.where("corrupt_line is not null").select("file_", "ord")
     last = rows.groupBy("file_").agg(F.max("ord").alias("last"))
     wrong = broken.join(last, "file_").where("ord < last").take(1)

@@ -102,8 +102,7 @@ def test_budget_stream(spark, tmp_path):
 
     spark.createDataFrame([("r", i, "t") for i in range(6)], "run string, idx long, tool string").write.parquet(str(tmp_path / "in"))
     calls = spark.readStream.schema("run string, idx long, tool string").parquet(str(tmp_path / "in"))
-    q = budget_stream(calls, "run").writeStream.format("memory").queryName("budget_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = budget_stream(calls, "run").writeStream.format("memory").queryName("budget_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     got = {r.idx: r.allowed for r in spark.table("budget_out").collect()}
     assert got == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False}
