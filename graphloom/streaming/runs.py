@@ -21,8 +21,9 @@ def first_calls(calls: DataFrame, keys: list[str], time: str = "ts", late: str =
     return calls.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def budget_stream(calls: DataFrame, run: str, total: int = 12, per_tool: int = 4, idle_ms: int = 3_600_000) -> DataFrame:
-    """run, idx, tool, allowed, reason: the budget gate over calls as they arrive; a run's state is its counters and expires when idle.
+def budget_stream(calls: DataFrame, run: str, total: int = 12, per_tool: int = 4, idle_ms: int | None = None) -> DataFrame:
+    """run, idx, tool, allowed, reason: the budget gate over calls as they arrive; a run's state is its counters; with idle_ms it expires after
+    so long without calls (such a query runs batches without data, so it doesn't end by itself).
 
     calls(run, idx, tool); within a batch calls count in the order of idx.
     """
@@ -40,11 +41,12 @@ def budget_stream(calls: DataFrame, run: str, total: int = 12, per_tool: int = 4
             reason = "total" if used[""] > total else "per_tool" if used[tool] > per_tool else None
             out.append((key[0], idx, tool, reason is None, reason))
         state.update((list(used), list(used.values())))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[run, "idx", "tool", "allowed", "reason"])
 
     kind = dict(calls.dtypes)[run]
-    return calls.groupBy(run).applyInPandasWithState(step, f"{run} {kind}, idx long, tool string, allowed boolean, reason string", "tools array<string>, counts array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.groupBy(run).applyInPandasWithState(step, f"{run} {kind}, idx long, tool string, allowed boolean, reason string", "tools array<string>, counts array<long>", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def keep_latest(log: DataFrame, path: str, checkpoint: str):
