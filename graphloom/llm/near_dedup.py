@@ -6,17 +6,18 @@ class to the child named by its value there.  Classes that are alike follow the
 their similarity at each step, so a pair at 0.8 survives a two-branch tree of any depth with at least 0.93, and
 four trees miss less than one such pair in ten thousand.  Small nodes are compared exhaustively.
 
-Large groups of near copies would fill nodes that no branching makes small, and all their pairs say the same.  So
-before branching every class is compared with the one most similar head of its first nodes, and a confirmed link puts the
-two under one label.  Nodes in which one label is left are done; in the others only pairs of different labels are
-compared.  A node that is still large at the last level is compared in blocks, whole.
-
-A pair that the minwise estimate doesn't exclude is confirmed on the full shingle sets of both texts.
+What the trees find are families: classes joined by pairs that the minwise estimate doesn't exclude (four standard deviations
+below the threshold).  Large groups of near copies would fill nodes that no branching makes small, so every class first
+joins the families of the likely heads of its first nodes; nodes that hold one family are done, and nodes with few members outside
+their largest family are compared in blocks at once.
+
+Links are then decided within families on the full shingle sets: intersections of all pairs of a cell are one product of
+0/1 matrices, and only a spanning forest leaves the task.  A large family is cut into blocks that share its most typical members;
+what isn't linked with those is compared with the whole family, block by block.  No pair within a family is left out.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, col, small_enough
 from .components import connected_components
-from .shingles import intersection, minima, multipliers, shingles
+from .shingles import minima, multipliers, shingles
 
-COORDINATES, TREES, BRANCHES, LEVELS, LEAF, BLOCK = 128, 4, 2, 8, 24, 512
+COORDINATES, TREES, BRANCHES, LEVELS, LEAF = 128, 4, 2, 8, 24
+#: Members of a cell, shingles of a cell, and typical members that the blocks of a large family share.
+BLOCK, CELL_SHINGLES, TYPICAL, MODE_COORDINATES = 128, 2_000_000, 3, 24
 #: Classes that may be broadcast to pick their texts, at some 70 bytes each.
 MOST_BROADCAST = 500_000
 
@@ -72,75 +75,124 @@ def _likely(least: float):
     return run
 
 
-def _confirm(words: int, percent: int):
-    """Keeps (a, b) whose full sets have 100 * intersection >= percent * union."""
+class _Forest:
+    """Union-find over a cell's rows."""
 
-    def run(batches):
-        kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
-        size = 0
-
-        def sets(key: bytes, text: str) -> np.ndarray:
-            nonlocal size
-            if key in kept:
-                kept.move_to_end(key)
-                return kept[key]
-            s = kept[key] = shingles(text, words)
-            size += s.nbytes
-            while size > 16 << 20 and len(kept) > 1:
-                size -= kept.popitem(last=False)[1].nbytes
-            return s
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
-        for batch in batches:
-            ok = []
-            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b")), strict=True):
-                sa, sb = sets(a.as_py(), x.as_py()), sets(b.as_py(), y.as_py())
-                both = intersection(sa, sb)
-                ok.append(100 * both >= percent * (len(sa) + len(sb) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def union(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _cells(batches, width: int) -> Iterator[tuple[bytes, list[tuple]]]:
+    """Rows arrive sorted by their first column: one list for each value of it."""
+    cell, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns[:width]), strict=True):
+            if row[0] != cell and rows:
+                yield cell, rows
+                rows = []
+            cell = row[0]
+            rows.append(row)
+    if rows:
+        yield cell, rows
 
-    return run
+
+def _pairs_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+    found.clear()
+    return out
 
 
 def _compare_leaves(least: float):
-    """Rows arrive sorted by cell; emits the pairs of a cell that differ in label and may be alike.
+    """cell, side, label, sig: emits pairs of labels that a likely pair of rows joins, a forest of them for each cell.
 
     side 0: compared with all of its cell; 1 and 2: rows of 1 are compared with rows of 2.
     """
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        if len(rows) < 2:
-            return
-        sig = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, COORDINATES)
-        label = np.unique(np.array([r[3] for r in rows], object), return_inverse=True)[1]
-        side = np.array([r[1] for r in rows])
-        left = np.flatnonzero(side != 2)
-        for i in left:
-            others = np.arange(i + 1, len(rows)) if side[i] == 0 else np.flatnonzero(side == 2)
-            others = others[label[others] != label[i]]
-            if len(others):
-                for j in others[(sig[others] == sig[i]).sum(axis=1) >= least * COORDINATES]:
-                    x, y = rows[i][2], rows[j][2]
-                    if x != y:
-                        yield (x, y) if x < y else (y, x)
-
     def run(batches):
-        cell, rows, found = None, [], set()
+        found = []
+        for _, rows in _cells(batches, 4):
+            if len(rows) < 2:
+                continue
+            sig = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, COORDINATES)
+            names, label = np.unique(np.array([r[2] for r in rows], object), return_inverse=True)
+            side = np.array([r[1] for r in rows])
+            forest, right = _Forest(len(names)), np.flatnonzero(side == 2)
+            for i in np.flatnonzero(side != 2):
+                others = np.arange(i + 1, len(rows)) if side[i] == 0 else right
+                others = others[label[others] != label[i]]
+                if len(others):
+                    for j in others[(sig[others] == sig[i]).sum(axis=1) >= least * COORDINATES]:
+                        if forest.union(label[i], label[j]):
+                            found.append((names[label[i]], names[label[j]]))
+            if len(found) > 20_000:
+                yield _pairs_batch(found)
+        yield _pairs_batch(found)
 
-        def flushed():
-            out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
-            found.clear()
-            return out
+    return run
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != cell:
-                    found.update(pairs(rows))
-                    cell, rows = row[0], []
-                    if len(found) > 20_000:
-                        yield flushed()
-                rows.append(row)
-        found.update(pairs(rows))
-        yield flushed()
+
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all sets of y, as products of 0/1 matrices over what both sides have."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    if not x or not y:
+        return out
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    known = np.intersect1d(flat_x, flat_y)
+    of = lambda flat, sets: (np.searchsorted(known, flat), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    (cx, rx), (cy, ry) = of(flat_x, x), of(flat_y, y)
+    okx, oky = cx < len(known), cy < len(known)
+    okx[okx] = known[cx[okx]] == flat_x[okx]
+    oky[oky] = known[cy[oky]] == flat_y[oky]
+    cx, rx, cy, ry = cx[okx], rx[okx], cy[oky], ry[oky]
+    for at in range(0, len(known), 4096):
+        a, b = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+        m, n = (cx >= at) & (cx < at + 4096), (cy >= at) & (cy < at + 4096)
+        a[rx[m], cx[m] - at] = 1
+        b[ry[n], cy[n] - at] = 1
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
+def _decide(words: int, percent: int):
+    """cell, side, class, label, text: confirmed links on full sets, a forest of them for each cell; see _compare_leaves() for side.
+
+    Rows of one label are known to be joined already.  The forest's links point to the least class of its tree where side is 0.
+    """
+
+    def run(batches):
+        found = []
+        for _, rows in _cells(batches, 5):
+            if len(rows) < 2:
+                continue
+            sets = [shingles(r[4], words) for r in rows]
+            size = np.array([len(s) for s in sets])
+            side = np.array([r[1] for r in rows])
+            label = np.unique(np.array([r[3] for r in rows], object), return_inverse=True)[1]
+            left = np.flatnonzero(side != 2)
+            right = np.flatnonzero(side != 1) if (side == 0).any() else np.flatnonzero(side == 2)
+            both = _intersections([sets[i] for i in left], [sets[j] for j in right])
+            ok = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+            ok &= label[left][:, None] != label[right][None, :]
+            forest = _Forest(len(rows))
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                i, j = int(left[i]), int(right[j])
+                x, y = rows[i][2], rows[j][2]
+                if x != y and forest.union(i, j):
+                    found.append((x, y) if x > y else (y, x))
+            if len(found) > 20_000:
+                yield _pairs_batch(found)
+        yield _pairs_batch(found)
 
     return run
 
@@ -161,62 +213,39 @@ class _Join:
         first = named.groupBy("class").agg(F.min(F.struct("doc_id", "branch", "sig")).alias("r"))
         return self.work.save(first.select("class", "r.*"), "classes")
 
-    def confirmed(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs (a, b) that full sets confirm.  Texts travel only for the classes in question."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
-        asked = self.work.save(asked, "asked")
-        texts = self.rows.join(F.broadcast(asked) if small_enough(asked, MOST_BROADCAST) else asked, "doc_id")
-        # rows that share an id may differ in text: only the one of this class counts
-        texts = texts.mapInArrow(_own_text(self.words), "class binary, text string")
-        texts = self.work.save(texts, "texts")
-        once = texts if small_enough(self._repeated, 0) else texts.dropDuplicates(["class"])
-        full = pairs.join(once.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(once.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-        out = self.work.save(full.mapInArrow(_confirm(self.words, self.percent), "a binary, b binary"), "links")
-        self.work.drop(texts, asked)
-        return out
-
     def run(self) -> DataFrame:
         w = self.work
         classes = self.classes()
         self._repeated = w.save(self.features.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"), "repeated")
         if not classes.take(1):
             return self.result(classes.select("class", F.col("class").alias("root")))
+        families = self.families(classes)
+        links = self.links(families, classes)
+        roots = w.save(connected_components(links, w).toDF("class", "root"), "roots")
+        return self.result(classes.select("class").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root")))
+
+    # ---- families -------------------------------------------------------------------------------------------------
 
-        # heads: the likeliest of the first members of a class's first nodes
+    def families(self, classes: DataFrame) -> DataFrame:
+        """class, family: joined by likely pairs."""
+        w = self.work
         placed = classes.select("class", F.posexplode("branch").alias("j", "v"))
         first = placed.where(f"j < {TREES}")
         heads = w.save(first.groupBy("j", "v").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
         met = w.save(first.join(heads, ["j", "v"]).where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct(), "met")
         sig = classes.select("class", "sig")
         likely = met.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_likely(self.least), "a binary, b binary, same int")
-        best = w.save(likely.groupBy("a").agg(F.max(F.struct("same", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
-        links = self.confirmed(best, classes)
-        labels = self.labels(classes, links)
-
-        candidates = self.candidates(w.save(placed.join(labels, "class").select(F.xxhash64("j", "v").alias("node"), "class", "label"), "placed"), sig)
-        tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        candidates = w.save(candidates.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-        if not candidates.take(1):
-            return self.result(labels.select("class", F.col("label").alias("root")))
-        more = self.confirmed(candidates, classes)
-        between = more.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        merged = connected_components(between, w).toDF("label", "root")
-        return self.result(labels.join(w.save(merged, "merged"), "label", "left").select("class", F.coalesce("root", "label").alias("root")))
-
-    def labels(self, classes: DataFrame, links: DataFrame) -> DataFrame:
-        """Each class under the last head of its chain; heads are smaller, so chains end, and halve with each round."""
-        at = self.work.save(classes.select("class").join(links.toDF("class", "label"), "class", "left").select("class", F.coalesce("label", "class").alias("label")), "labels")
-        while True:
-            step = at.toDF("label", "next")
-            after = self.work.save(at.join(step, "label").select("class", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "labels")
-            self.work.drop(at)
-            at = after.select("class", "label")
-            at.workspace_path = after.workspace_path
-            if not after.where("moved").take(1):
-                return at
-
-    def candidates(self, placed: DataFrame, sig: DataFrame) -> DataFrame:
-        """Unconfirmed pairs of different labels that meet in a small node of some tree."""
+        up = w.save(likely.select("a", "b"), "up")
+        near = w.save(connected_components(up, w).toDF("class", "root"), "near")
+        labels = w.save(classes.select("class").join(near, "class", "left").select("class", F.coalesce("root", "class").alias("label")), "labels")
+        pairs = self.joined(w.save(placed.join(labels, "class").select(F.xxhash64("j", "v").alias("node"), "class", "label"), "placed"), sig)
+        if not pairs.take(1):
+            return labels.toDF("class", "family")
+        merged = w.save(connected_components(pairs, w).toDF("label", "root"), "merged")
+        return w.save(labels.join(merged, "label", "left").select("class", F.coalesce("root", "label").alias("family")), "families")
+
+    def joined(self, placed: DataFrame, sig: DataFrame) -> DataFrame:
+        """Pairs of labels that likely pairs join, found down the trees."""
         w, cells = self.work, []
         for level in range(LEVELS):
             about = w.save(placed.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("node", "n"), "mixed")
@@ -228,28 +257,94 @@ class _Join:
             large = members.where(f"n > {LEAF}")
             if not large.take(1):
                 break
-            if level == LEVELS - 1:
-                cells.append(self.blocks(w.save(large, "large")))
+            by = large.groupBy("node", "label").agg(F.count("*").alias("c"))
+            main = w.save(by.groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n_")).select("node", F.col("m.label").alias("main"), F.lit(None).cast("long").alias("size"), "n_", (F.col("n_") - F.col("m.c")).alias("others")), "main")
+            last = level == LEVELS - 1
+            cells.append(self.grid(large.drop("n"), main if last else main.where(f"others <= {BLOCK}"), "node", "sig"))
+            if last:
                 break
+            rest = large.join(main.where(f"others > {BLOCK}").select("node"), "node", "left_semi")
             children = []
             for k in range(BRANCHES):
                 j = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int")
                 children.append(F.xxhash64("node", j, F.substring("sig", 1 + 2 * j, F.lit(2))))
-            placed = w.save(large.select(F.explode(F.array(*children)).alias("node"), "class", "label", "sig"), "placed")
+            placed = w.save(rest.select(F.explode(F.array(*children)).alias("node"), "class", "label", "sig"), "placed")
         out = cells[0]
         for more in cells[1:]:
-            out = out.union(more)
-        return w.save(out.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare_leaves(self.least), "a binary, b binary"), "met")
-
-    def blocks(self, large: DataFrame) -> DataFrame:
-        """What branching couldn't split: the members outside the node's commonest label against all, in a grid of blocks."""
-        by = large.groupBy("node", "label").agg(F.count("*").alias("c"))
-        main = self.work.save(by.groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n")).select("node", F.col("m.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).cast("int").alias("nr")), "grid")
-        rows = large.drop("n").join(main, "node")
-        spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        every = rows.select("*", F.pmod(F.xxhash64("class", F.lit(7)), F.col("nb")).cast("int").alias("y"), spread(F.col("nr")).alias("x"), F.lit(2).alias("side"))
-        rest = rows.where("label <> main").select("*", spread(F.col("nb")).alias("y"), F.pmod(F.xxhash64("class", F.lit(8)), F.col("nr")).cast("int").alias("x"), F.lit(1).alias("side"))
-        return every.unionByName(rest).select(F.xxhash64("node", "x", "y").alias("cell"), "side", "class", "label", "sig")
+            out = out.unionByName(more)
+        out = out.select("cell", "side", "label", "sig").repartition("cell").sortWithinPartitions("cell")
+        return w.save(out.mapInArrow(_compare_leaves(self.least), "a binary, b binary").distinct(), "joined")
+
+    @staticmethod
+    def grid(rows: DataFrame, main: DataFrame, key: str, payload: str) -> DataFrame:
+        """The members outside a group's main label against all of it, in blocks: cell, side, class, label, payload.
+
+        main: key, main, n_, others, and the members' size in all (null: no matter).
+        """
+        blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.coalesce(F.ceil(F.col("size") * F.col(n) / F.col("n_") / CELL_SHINGLES), F.lit(1)), F.lit(1)).cast("int")
+        rows = rows.join(main.select(key, "main", blocks("n_").alias("nb"), blocks("others").alias("nr")), key)
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        every = rows.select("*", F.pmod(F.xxhash64("class", F.lit(7)), F.col("nb")).cast("int").alias("y"), spread("nr").alias("x"), F.lit(2).alias("side"))
+        rest = rows.where("label <> main").select("*", spread("nb").alias("y"), F.pmod(F.xxhash64("class", F.lit(8)), F.col("nr")).cast("int").alias("x"), F.lit(1).alias("side"))
+        return every.unionByName(rest).select(F.xxhash64(key, "x", "y").alias("cell"), "side", "class", "label", payload)
+
+    # ---- links ----------------------------------------------------------------------------------------------------
+
+    def links(self, families: DataFrame, classes: DataFrame) -> DataFrame:
+        """Confirmed links (a, b) that connect what all confirmed links within families connect."""
+        w = self.work
+        n_shingles = self.features.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("k"))
+        sized = families.join(n_shingles, "class").groupBy("family").agg(F.count("*").alias("n"), F.sum("k").alias("size")).where("n > 1")
+        sized = w.save(sized, "sized")
+        members = w.save(families.join(sized, "family").join(classes.select("class", "doc_id", "sig"), "class"), "members")
+        texts = self.texts(members)
+        big = f"n > {BLOCK} or size > {CELL_SHINGLES}"
+        own = F.col("class").alias("label")
+        small = texts.where(f"not ({big})").select(F.xxhash64("family").alias("cell"), F.lit(0).alias("side"), "class", own, "text")
+        large = members.where(big)
+        if not large.take(1):
+            return self.decided(small)
+        typical = w.save(self.typical(large), "typical")
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / CELL_SHINGLES)).cast("int")
+        held = texts.where(big).withColumn("nb", blocks)
+        mine = held.select(F.xxhash64("family", F.pmod(F.xxhash64("class", F.lit(7)), F.col("nb")).cast("int")).alias("cell"), F.lit(0).alias("side"), "class", own, "text")
+        shared = held.join(typical.select("class"), "class", "left_semi").select(F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"), "family", "class", "text")
+        shared = shared.select(F.xxhash64("family", "y").alias("cell"), F.lit(0).alias("side"), "class", own, "text")
+        one = self.decided(small.unionByName(mine).unionByName(shared))
+        # what the typical members didn't join with most of its family meets all of it
+        joined = connected_components(one, w).toDF("class", "root")
+        labelled = w.save(held.select("class", "family", "n", "size").join(w.save(joined, "joined"), "class", "left").select("class", "family", "n", "size", F.coalesce("root", "class").alias("label")), "labelled")
+        by = labelled.groupBy("family", "label", "n", "size").agg(F.count("*").alias("c"))
+        main = by.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m"), F.max("n").alias("n_"), F.max("size").alias("size")).select("family", F.col("m.label").alias("main"), "size", "n_", (F.col("n_") - F.col("m.c")).alias("others")).where("others > 0")
+        main = w.save(main, "main")
+        if not main.take(1):
+            return one
+        again = held.select("class", "family", "text").join(labelled.select("class", "label"), "class")
+        return one.unionByName(self.decided(self.grid(again, main, "family", "text")))
+
+    def decided(self, cells: DataFrame) -> DataFrame:
+        out = cells.select("cell", "side", "class", "label", "text").repartition("cell").sortWithinPartitions("cell")
+        return self.work.save(out.mapInArrow(_decide(self.words, self.percent), "a binary, b binary").distinct(), "links")
+
+    def texts(self, members: DataFrame) -> DataFrame:
+        """members' family, n, size, class, text.  Only the texts of classes that have company travel."""
+        asked = members.select("doc_id", "class", "family", "n", "size")
+        texts = self.rows.join(F.broadcast(asked) if small_enough(asked, MOST_BROADCAST) else asked, "doc_id")
+        # rows that share an id may differ in text: only the one of this class counts
+        repeats = not small_enough(self._repeated, 0)
+        texts = texts.mapInArrow(_own_text(self.words, repeats), "class binary, family binary, n long, size long, text string")
+        return self.work.save(texts.dropDuplicates(["class"]) if repeats else texts, "texts")
+
+    def typical(self, members: DataFrame) -> DataFrame:
+        """family, class: the members that agree in most coordinates with their family's commonest values."""
+        values = members.select("family", "class", F.transform(F.sequence(F.lit(0), F.lit(MODE_COORDINATES - 1)), lambda j: F.substring("sig", 1 + 2 * j, F.lit(2))).alias("values"))
+        counts = values.select("family", F.posexplode("values").alias("j", "v")).groupBy("family", "j", "v").agg(F.count("*").alias("c"))
+        modes = counts.groupBy("family", "j").agg(F.max(F.struct("c", "v")).alias("m")).groupBy("family").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m.v"))), lambda x: x["v"]).alias("mode"))
+        modes = self.work.save(modes, "modes")
+        near = values.join(modes, "family").select("family", "class", F.aggregate(F.zip_with("values", "mode", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x).alias("same"))
+        # the best of some independent shares of each family
+        best = near.groupBy("family", F.pmod(F.xxhash64("class", F.lit(5)), F.lit(TYPICAL)).alias("g")).agg(F.max(F.struct("same", "class")).alias("m"))
+        return best.select("family", F.col("m.class").alias("class"))
 
     def result(self, roots: DataFrame) -> DataFrame:
         """doc_id, n_shingles, class, component_id, kept for each row."""
@@ -263,13 +358,16 @@ class _Join:
         return linked.unionByName(alone).select("doc_id", "n_shingles", "class", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _own_text(words: int):
+def _own_text(words: int, repeats: bool):
     def run(batches):
         import xxhash
 
         for batch in batches:
-            own = [xxhash.xxh3_128_digest(shingles(t.as_py(), words).tobytes()) == c.as_py() for t, c in zip(batch.column("text"), batch.column("class"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("text")], names=["class", "text"]).filter(pa.array(own, pa.bool_()))
+            out = batch.select(["class", "family", "n", "size", "text"])
+            if repeats:
+                own = [xxhash.xxh3_128_digest(shingles(t.as_py(), words).tobytes()) == c.as_py() for t, c in zip(batch.column("text"), batch.column("class"), strict=True)]
+                out = out.filter(pa.array(own, pa.bool_()))
+            yield out
 
     return run
 
