@@ -15,8 +15,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Most remembered pieces per worker; then the memory starts afresh.
-REMEMBERED = 400_000
+#: Most remembered pieces per worker in the younger of two generations; when it is full, it becomes the older one.
+REMEMBERED = 250_000
 #: Longest string handed to the library at once if it can be cut; longer ones take memory many times their size.
 LONGEST = 1 << 16
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:%&*$#|\"()/\-]*)")
@@ -39,12 +39,16 @@ def _byte_letters() -> dict[int, str]:
 class _Pieces(dict):
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, piece):
+        out = self.older.get(piece)
+        if out is None:
+            out = self.make(piece)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        out = self[piece] = self.make(piece)
+        self[piece] = out
         return out
 
 

@@ -45,9 +45,10 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of the chunks: where the rolling hash of SPAN ids has MEAN_BITS zeros, no closer than LEAST, no farther than MOST."""
     n = len(ids)
-    gear, h = _GEAR[ids & 0xFFFF], np.zeros(n, np.uint64)
-    for k in range(min(SPAN, n)):
-        h[k:] += gear[: n - k] << np.uint64(k)
+    h, k = _GEAR[ids & 0xFFFF], 1
+    while k < SPAN:  # sums over 2, 4, ... ids, each place shifted by its distance
+        h[k:] += h[:-k] << np.uint64(k) if k < n else h[k:]
+        k *= 2
     hits = np.flatnonzero((h >> np.uint64(SPAN)) & np.uint64((1 << MEAN_BITS) - 1) == 0) + 1
     ends, at, i = [], 0, 0
     while n - at > LEAST:
@@ -209,13 +210,16 @@ class TokenStore:
 def _checked(wide: bool):
     def run(batches):
         for batch in batches:
-            crcs, ns = [], []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys, chunks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            wide_ids = memoryview(np.frombuffer(b"".join(chunks), "<u4" if wide else "<u2").astype("<u4").tobytes())
+            crcs, ns, at = [], [], 0
+            for key, data in zip(keys, chunks, strict=True):
                 if digest(data) != key:
                     raise ValueError(f"chunk {key.hex()} doesn't match its digest")
-                ids = np.frombuffer(data, "<u4" if wide else "<u2")
-                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                ns.append(len(ids))
+                n = len(data) // (4 if wide else 2)
+                crcs.append(zlib.crc32(wide_ids[at : at + 4 * n]))
+                ns.append(n)
+                at += 4 * n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array(ns, pa.int64())], names=["key", "crc", "n"])
 
     return run
@@ -250,11 +254,27 @@ def _shift(n_bytes: int) -> int:
     return out
 
 
+@lru_cache(maxsize=1 << 11)
+def _shift_tables(n_bytes: int) -> tuple[list[int], ...]:
+    """What each byte of a checksum becomes when so many bytes follow."""
+    bits = [_times(_shift(n_bytes), 1 << i) for i in range(32)]
+    tables = []
+    for at in range(0, 32, 8):
+        table = [0]
+        for bit in bits[at : at + 8]:
+            table += [x ^ bit for x in table]
+        tables.append(table)
+    return tuple(tables)
+
+
 def combined_crc(parts: list[tuple[int, int]]) -> int:
     """The checksum of a whole from (checksum, bytes) of its parts."""
     out = 0
     for crc, n in parts:
-        out = _times(_shift(n), out) ^ crc
+        if out:
+            a, b, c, d = _shift_tables(n)
+            out = a[out & 255] ^ b[out >> 8 & 255] ^ c[out >> 16 & 255] ^ d[out >> 24]
+        out ^= crc
     return out
 
 
