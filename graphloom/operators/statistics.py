@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_enough
+
 # fixed values
 RESAMPLES, SEED, ALPHA, MIN_STRATUM = 10_000, 20260829, 0.05, 20
+#: Cluster sums that may be broadcast to the draws, at some 60 bytes each.
+MOST_BROADCAST = 100_000
 
 
 def pick(seed: int, rep: Column, slot: Column, n: Column) -> Column:
@@ -20,6 +24,18 @@ def pick(seed: int, rep: Column, slot: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), n)
 
 
+def _slots(sizes: DataFrame, resamples: int) -> DataFrame:
+    """sizes(m, ...) with rep and slot for every draw; repetitions are dealt out first, since sizes may be a single row."""
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep")).repartition(parts, "rep")
+    return reps.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("slot"))
+
+
+def _beside_draws(sums: DataFrame) -> DataFrame:
+    """The side of the join that is built; without a hint Spark takes the draws, whose number it can't estimate."""
+    return F.broadcast(sums) if small_enough(sums, MOST_BROADCAST) else sums.hint("shuffle_hash")
+
+
 def _interval(reps: DataFrame, keys: list[str], resamples: int, alpha: float) -> DataFrame:
     lo, hi = max(0, int(alpha / 2 * resamples) - 1), min(resamples - 1, int((1 - alpha / 2) * resamples))
     g = reps.groupBy(*keys, "delta").agg(F.array_sort(F.collect_list("stat")).alias("s"), F.count_if(F.abs(F.col("stat") - F.col("delta")) >= F.abs("delta")).alias("beyond"))
@@ -37,10 +53,9 @@ def cluster_bootstrap(pairs: DataFrame, keys: list[str], cluster: str, resamples
     placed = sums.withColumn("place", F.row_number().over(w) - 1)
     total = sums.groupBy(*keys).agg(F.sum("d").alias("sd"), F.sum("n").alias("sn"), F.count("*").alias("m"))
     total = total.withColumn("delta", F.col("sd") / F.col("sn"))
-    slots = total.select(*keys, "m", "delta", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
-    slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("slot"))
+    slots = _slots(total.select(*keys, "m", "delta"), resamples)
     drawn = slots.select(*keys, "delta", "rep", pick(seed, F.col("rep"), F.col("slot"), F.col("m")).cast("int").alias("place"))
-    reps = drawn.join(placed.select(*keys, "place", "d", "n"), [*keys, "place"]).groupBy(*keys, "delta", "rep").agg((F.sum("d") / F.sum("n")).alias("stat"))
+    reps = drawn.join(_beside_draws(placed.select(*keys, "place", "d", "n")), [*keys, "place"]).groupBy(*keys, "delta", "rep").agg((F.sum("d") / F.sum("n")).alias("stat"))
     interval = _interval(reps, keys, resamples, alpha).drop("delta")
     out = total.select(*keys, F.col("sn").alias("n"), F.col("m").alias("n_clusters"), "delta")
     return out.join(interval, keys) if keys else out.crossJoin(interval)
@@ -66,9 +81,9 @@ def macro_bootstrap(pairs: DataFrame, family: str | None, stratum: str, cluster:
     placed = sums.withColumn("place", F.row_number().over(Window.partitionBy("fam", "st").orderBy("c_")) - 1)
     size = sums.groupBy("fam", "st").agg(F.count("*").alias("m"), (F.sum("d") / F.sum("n")).alias("delta"))
     macro = lambda df, keys, v: df.groupBy(*keys, "fam").agg(F.avg(v).alias("f")).groupBy(*keys).agg(F.avg("f").alias("stat"))
-    slots = size.select("fam", "st", "m", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("slot"))
+    slots = _slots(size.select("fam", "st", "m"), resamples)
     drawn = slots.select("fam", "st", "rep", pick(seed, F.col("rep"), F.concat_ws("/", "fam", "st", "slot"), F.col("m")).cast("int").alias("place"))
-    per = drawn.join(placed, ["fam", "st", "place"]).groupBy("rep", "fam", "st").agg((F.sum("d") / F.sum("n")).alias("v"))
+    per = drawn.join(_beside_draws(placed.select("fam", "st", "place", "d", "n")), ["fam", "st", "place"]).groupBy("rep", "fam", "st").agg((F.sum("d") / F.sum("n")).alias("v"))
     whole = macro(size, [], "delta").select(F.col("stat").alias("delta")).crossJoin(guard).where("ok = 0").drop("ok")
     return _interval(macro(per, ["rep"], "v").crossJoin(whole), [], resamples, alpha)
 

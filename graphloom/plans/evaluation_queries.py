@@ -242,6 +242,7 @@ def spearman_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return _r(st.spearman(_labelled(spark, d).where("quality is not null"), ["lang"], "n_chars", "quality"), "r")
 
 
+#: Draws of the SQL below; the queries draw statistics.RESAMPLES.
 REPS = 400
 
 
@@ -257,13 +258,13 @@ select round(delta, 6) as delta, round(ss[{lo + 1}], 6) as ci_low, round(ss[{hi
 
 @query(f"with {_UP}, gr as (select user_id, b - a as d, 1 as n from u), {_boot('user_id', 'gr')}, (select count(*) from u) as n, (select count(*) from u where b > a) as wins, (select count(*) from u where b < a) as losses, (select count(*) from u where b = a) as ties from ci")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    out = st.paired_bootstrap(_user_pairs(spark, d), [], "user_id", resamples=REPS)
+    out = st.paired_bootstrap(_user_pairs(spark, d), [], "user_id")
     return _r(out.select("n", "delta", "ci_low", "ci_high", "p_value", "wins", "losses", "ties"), "delta", "ci_low", "ci_high", "p_value")
 
 
 @query(f"with {_L}, gr as (select source, sum(quality - toxic) as d, count(*) as n from x where quality is not null group by source), {_boot('source', 'gr')}, (select sum(n) from gr)::bigint as n, (select count(*) from gr) as n_clusters from ci")
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return _r(st.cluster_bootstrap(_binary_pairs(spark, d), [], "source", resamples=REPS), "delta", "ci_low", "ci_high", "p_value")
+    return _r(st.cluster_bootstrap(_binary_pairs(spark, d), [], "source"), "delta", "ci_low", "ci_high", "p_value")
 
 
 _LO, _HI = max(0, int(0.025 * REPS) - 1), min(REPS - 1, int(0.975 * REPS))
@@ -278,7 +279,7 @@ ci as (select delta, list(stat order by stat) as ss, count(*) filter (abs(stat -
 select round(delta, 6) as delta, round(ss[{_LO + 1}], 6) as ci_low, round(ss[{_HI + 1}], 6) as ci_high, round((beyond + 1)::double / {REPS + 1}, 6) as p_value from ci""")
 def macro_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     pairs = _binary_pairs(spark, d).withColumn("stratum", F.concat_ws("|", "lang", F.col("doc_id") % 3))
-    return _r(st.macro_bootstrap(pairs, "lang", "stratum", "source", resamples=REPS), "delta", "ci_low", "ci_high", "p_value")
+    return _r(st.macro_bootstrap(pairs, "lang", "stratum", "source"), "delta", "ci_low", "ci_high", "p_value")
 
 
 # ---- scores -------------------------------------------------------------------------------------------------------
