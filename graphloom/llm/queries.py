@@ -14,7 +14,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+    return packing.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,18 @@ def test_packing_round_trip(spark, plain):
     assert packing.pack_documents(frame.limit(0)).count() == 0
 
 
+def test_packing_query_stores_its_ids(spark, monkeypatch):
+    from graphloom.llm import queries
+
+    saved, save = {}, packing.Workspace.save
+    monkeypatch.setattr(packing.Workspace, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
+    out = queries.op2_packing(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    pieces = saved["placed"].where("not open")
+    assert pieces.count() == out.count() > 0
+    assert pieces.where("ids is null or length(ids) <> 4 * length").count() == 0
+
+
 def test_packing_pads_little():
     windows, total = packing.Windows(0, 1024, 32, 16), 0
     rng = np.random.default_rng(1)
