@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import contamination as cn
 from ..operators import retrieval as rt
-from ..session import save
+from ..session import save, small_enough
 from .views import table
 
 QUERIES, ORACLES = {}, {}
+#: Languages and label centres that may be broadcast; more of them meet the other side unbroadcast.
+MOST_LANGUAGES, MOST_CENTRES = 1000, 10_000
 
 
 def query(sql: str | None = None):
@@ -24,6 +26,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _times(rows: DataFrame, few: DataFrame, most: int) -> DataFrame:
+    """Every row with every one of few: broadcast if there are at most that many, else a product of partitions."""
+    return rows.crossJoin(F.broadcast(few) if small_enough(few, most) else few)
+
+
 _BM25 = """d as (select doc_id as id, lang, source, regexp_extract_all(lower(text), '[a-z0-9]+') as terms from documents),
 dl as (select id, len(terms)::bigint as dl from d where len(terms) > 0),
 st as (select count(*)::double as n, avg(dl) as avg_dl from dl),
@@ -57,7 +64,7 @@ select query_id, id, round(score, 4) as score, rank::int as rank from r where ra
 def bm25_by_domain(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     index = rt.Bm25Index(docs, rt.words, id_col="doc_id", part=F.col("lang"))
-    asked = table(spark, d, "benchmark").crossJoin(F.broadcast(docs.select("lang").distinct().limit(1000))).select(F.concat_ws("/", F.col("item_id").cast("string"), "lang").alias("q"), "text", "lang")
+    asked = _times(table(spark, d, "benchmark"), docs.select("lang").distinct(), MOST_LANGUAGES).select(F.concat_ws("/", F.col("item_id").cast("string"), "lang").alias("q"), "text", "lang")
     return index.search(asked, rt.words, query_id="q", part_col="lang", limit=3).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -87,8 +94,8 @@ select label, vec_id, round(cos, 4) as cosine, row_number() over (partition by l
 def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     flat = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("c"))
-    centre = flat.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("c"))
-    scored = e.select("vec_id", "embedding").crossJoin(F.broadcast(centre.limit(10_000))).select("label", "vec_id", rt.cosine(F.col("embedding").cast("array<double>"), F.col("c")).alias("cos"))
+    centre = save(flat.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("c")), "centres")
+    scored = _times(e.select("vec_id", "embedding"), centre, MOST_CENTRES).select("label", "vec_id", rt.cosine(F.col("embedding").cast("array<double>"), F.col("c")).alias("cos"))
     w = Window.partitionBy("label").orderBy(F.desc(F.round("cos", 6)), "vec_id")
     return scored.select("label", "vec_id", F.round("cos", 4).alias("cosine"), F.row_number().over(w).alias("rank")).where("rank <= 5")
 
