@@ -6,7 +6,7 @@ class to the child named by its value there.  Classes that are alike follow the
 their similarity at each step, so a pair at 0.8 survives a two-branch tree of any depth with at least 0.93, and
 four trees miss less than one such pair in ten thousand.  Small nodes are compared exhaustively.
 
-What the trees find are families: classes joined by pairs that the minwise estimate doesn't exclude (four standard deviations
+What the trees find are families: classes joined by pairs that the minwise estimate doesn't exclude (five standard deviations
 below the threshold).  Large groups of near copies would fill nodes that no branching makes small, so every class first
 joins the families of the likely heads of its first nodes; nodes that hold one family are done, and nodes with few members outside
 their largest family are compared in blocks at once.
@@ -197,13 +197,17 @@ def _decide(words: int, percent: int):
     return run
 
 
+def least_estimate(percent: int) -> float:
+    """The minwise estimate that a pair needs to join a family: five of its standard deviations below the threshold."""
+    t = percent / 100
+    return max(0.0, t - 5 * (t * (1 - t) / COORDINATES) ** 0.5)
+
+
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, seed: int):
         self.work = Workspace(docs.sparkSession, "near-dedup")
         self.words, self.percent = words, percent
-        # four standard deviations of the estimate below the threshold
-        t = percent / 100
-        self.least = max(0.0, t - 4 * (t * (1 - t) / COORDINATES) ** 0.5)
+        self.least = least_estimate(percent)
         self.rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
         self.features = self.work.save(self.rows.mapInArrow(_features(words, seed), "doc_id long, n_shingles long, class binary, branch array<long>, sig binary"), "features")
 

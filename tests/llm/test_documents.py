@@ -69,6 +69,12 @@ def test_near_duplicates_equal_brute_force(docs, block, monkeypatch):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+def test_the_estimate_excludes_few_pairs_at_the_threshold():
+    n, least = near_dedup.COORDINATES, near_dedup.least_estimate(80)
+    missed = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1) if k / n < least)
+    assert missed < 1e-5
+
+
 def test_near_duplicates_of_an_empty_table(docs):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
     assert near_dedup.near_duplicates(docs.where("text is null")).count() == 1
