@@ -77,6 +77,8 @@ def _encode(path: str | None, end_id: int, wide: bool):
             rows, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.frombuffer(encode(text.as_py()) + end, "<u4")
+                if not wide and int(ids.max()) > 0xFFFF:
+                    raise ValueError(f"id {ids.max()} needs 4 bytes: write the store with wide=True")
                 stored = ids if wide else ids.astype("<u2")
                 digests, start = [], 0
                 for stop in cut_points(ids):
@@ -132,7 +134,7 @@ class TokenStore:
         """Encodes every text (null: empty), with end_id behind, and writes the store.
 
         Ascending ids, null ones last; rows with equal ids are documents of their own, in the order of their roots.
-        An empty table gives an empty store.  Other columns are not read.
+        An empty table gives an empty store.  Other columns are not read.  An id over 65,535 is an error unless wide.
         """
         spark, work = docs.sparkSession, Workspace(docs.sparkSession, "token-store")
         rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))

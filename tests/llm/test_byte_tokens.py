@@ -131,6 +131,14 @@ def test_store_shares_chunks_and_finds_damage(spark, tmp_path):
         store.documents().collect()
 
 
+def test_store_refuses_ids_that_two_bytes_cannot_hold(spark, tmp_path):
+    frame = spark.createDataFrame([(0, "some words")], "doc_id long, text string")
+    with pytest.raises(Exception, match="wide=True"):
+        token_store.TokenStore.write(frame, str(tmp_path / "narrow"), end_id=70_000)
+    wide = token_store.TokenStore.write(frame, str(tmp_path / "wide"), end_id=70_000, wide=True)
+    assert np.frombuffer(wide.ids().first().ids, "<u4")[-1] == 70_000
+
+
 def test_checksums_combine():
     data = bytes(range(256)) * 40
     parts = [data[:400], data[400:404], data[404:]]
