@@ -7,9 +7,10 @@ their similarity at each step, so a pair at 0.8 survives a two-branch tree of an
 four trees miss less than one such pair in ten thousand.  Small nodes are compared exhaustively.
 
 What the trees find are families: classes joined by pairs that the minwise estimate doesn't exclude (five standard deviations
-below the threshold).  Large groups of near copies would fill nodes that no branching makes small, so every class first
-joins the families of the likely heads of its first nodes; nodes that hold one family are done, and nodes with few members outside
-their largest family are compared in blocks at once.
+below the threshold).  Large groups of near copies would fill nodes that no branching makes small, so large first nodes elect
+typical members by their commonest coordinate values, twice; what is alike to one of these is a family before
+the trees are grown.  Nodes that hold one family are done, nodes with few members outside their largest family compare
+those with all of them in blocks, and only the rest is branched.
 
 Links are then decided within families on the full shingle sets: intersections of all pairs of a cell are one product of
 0/1 matrices, and only a spanning forest leaves the task.  A large family is cut into blocks that share its most typical members;
@@ -25,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, col, small_enough
+from .common import Workspace, col, fresh, small_enough
 from .components import connected_components
 from .shingles import minima, multipliers, shingles
 
-COORDINATES, TREES, BRANCHES, LEVELS, LEAF = 128, 4, 2, 8, 24
-#: Members of a cell, shingles of a cell, and typical members that the blocks of a large family share.
-BLOCK, CELL_SHINGLES, TYPICAL, MODE_COORDINATES = 128, 2_000_000, 3, 24
-#: Classes that may be broadcast to pick their texts, at some 70 bytes each.
-MOST_BROADCAST = 500_000
+COORDINATES, TREES, BRANCHES, LEVELS, LEAF = 128, 4, 2, 8, 1024
+#: Elections of typical members in large first nodes; members outside a node's largest family up to which it is compared in blocks.
+ELECTIONS, OUTSIDE = 2, 4096
+#: Members of a cell, shingles of a cell, typical members of a group, and coordinates by which they are found.
+BLOCK, CELL_SHINGLES, TYPICAL, MODE_COORDINATES = 512, 2_000_000, 3, 16
+#: Rows that may be broadcast: classes that pick their texts, at some 70 bytes each; typical members, at some 300.
+MOST_BROADCAST, MOST_TYPICAL = 500_000, 50_000
 
 
 def _features(words: int, seed: int):
@@ -63,14 +66,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _likely(least: float):
-    """Keeps (a, b) whose signatures agree in at least that share of coordinates, and says in how many."""
+    """Keeps (a, b) whose signatures agree in at least that share of coordinates."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                same = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).sum(axis=1)
-                out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int32())], names=["a", "b", "same"])
-                yield out.filter(pa.array(same >= least * COORDINATES))
+                same = _agreements(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")))
+                yield batch.select(["a", "b"]).filter(pa.array(same >= np.ceil(least * COORDINATES)))
 
     return run
 
@@ -126,15 +128,17 @@ def _compare_leaves(least: float):
                 continue
             sig = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, COORDINATES)
             names, label = np.unique(np.array([r[2] for r in rows], object), return_inverse=True)
-            side = np.array([r[1] for r in rows])
-            forest, right = _Forest(len(names)), np.flatnonzero(side == 2)
+            side, root = np.array([r[1] for r in rows]), np.arange(len(names))
+            right, least_same = np.flatnonzero(side == 2), np.ceil(least * COORDINATES)
             for i in np.flatnonzero(side != 2):
+                mine = root[label[i]]
                 others = np.arange(i + 1, len(rows)) if side[i] == 0 else right
-                others = others[label[others] != label[i]]
+                others = others[root[label[others]] != mine]  # the rest is joined already
                 if len(others):
-                    for j in others[(sig[others] == sig[i]).sum(axis=1) >= least * COORDINATES]:
-                        if forest.union(label[i], label[j]):
-                            found.append((names[label[i]], names[label[j]]))
+                    alike = others[_agreements(sig[others], sig[i]) >= least_same]
+                    for r in np.unique(root[label[alike]]):
+                        found.append((names[mine], names[r]))
+                        root[root == r] = mine
             if len(found) > 20_000:
                 yield _pairs_batch(found)
         yield _pairs_batch(found)
@@ -142,13 +146,22 @@ def _compare_leaves(least: float):
     return run
 
 
+def _agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates each row of a agrees with b (or its row of b): bytes 0 and 1 summed eight at a time."""
+    lanes = (a == b).view(np.uint64).sum(axis=1, dtype=np.uint64)
+    return ((lanes & np.uint64(0x00FF00FF00FF00FF)) + ((lanes >> np.uint64(8)) & np.uint64(0x00FF00FF00FF00FF))) * np.uint64(0x0001000100010001) >> np.uint64(48)
+
+
 def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of x with all sets of y, as products of 0/1 matrices over what both sides have."""
+    """Sizes of the intersections of all sets of x with all sets of y (but of a set with itself), as products of 0/1 matrices over what both sides have."""
     out = np.zeros((len(x), len(y)), np.int64)
     if not x or not y:
         return out
     flat_x, flat_y = np.concatenate(x), np.concatenate(y)
     known = np.intersect1d(flat_x, flat_y)
+    if len(x) == len(y) and all(p is q for p, q in zip(x, y, strict=True)):  # what one set has alone counts for no pair
+        known, times = np.unique(flat_x, return_counts=True)
+        known = known[times > 1]
     of = lambda flat, sets: (np.searchsorted(known, flat), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
     (cx, rx), (cy, ry) = of(flat_x, x), of(flat_y, y)
     okx, oky = cx < len(known), cy < len(known)
@@ -232,21 +245,38 @@ class _Join:
 
     def families(self, classes: DataFrame) -> DataFrame:
         """class, family: joined by likely pairs."""
-        w = self.work
-        placed = classes.select("class", F.posexplode("branch").alias("j", "v"))
-        first = placed.where(f"j < {TREES}")
-        heads = w.save(first.groupBy("j", "v").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
-        met = w.save(first.join(heads, ["j", "v"]).where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct(), "met")
-        sig = classes.select("class", "sig")
-        likely = met.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_likely(self.least), "a binary, b binary, same int")
-        up = w.save(likely.select("a", "b"), "up")
-        near = w.save(connected_components(up, w).toDF("class", "root"), "near")
-        labels = w.save(classes.select("class").join(near, "class", "left").select("class", F.coalesce("root", "class").alias("label")), "labels")
-        pairs = self.joined(w.save(placed.join(labels, "class").select(F.xxhash64("j", "v").alias("node"), "class", "label"), "placed"), sig)
-        if not pairs.take(1):
-            return labels.toDF("class", "family")
-        merged = w.save(connected_components(pairs, w).toDF("label", "root"), "merged")
-        return w.save(labels.join(merged, "label", "left").select("class", F.coalesce("root", "label").alias("family")), "families")
+        w, sig = self.work, classes.select("class", "sig")
+        first = classes.select("class", F.posexplode("branch").alias("j", "v"))
+        shared = first.groupBy("j", "v").agg(F.count("*").alias("n")).where("n > 1")
+        placed = w.save(first.join(shared, ["j", "v"]).select(F.xxhash64("j", "v").alias("node"), "j", "class", "n"), "placed")
+        labels = self.elected(placed, sig)
+        named = placed.select("node", "class")
+        named = named.withColumn("label", F.col("class")) if labels is None else named.join(labels, "class", "left").select("node", "class", F.coalesce("label", "class").alias("label"))
+        pairs = self.joined(w.save(named, "named"), sig)
+        if labels is not None:
+            pairs = pairs.unionByName(labels.select(F.col("class").alias("a"), F.col("label").alias("b")))
+        families = connected_components(pairs, w).toDF("class", "family")
+        w.drop(placed)
+        return w.save(families, "families")
+
+    def elected(self, placed: DataFrame, sig: DataFrame) -> DataFrame | None:
+        """class, label: what is alike to typical members of large first nodes, which stand for one tree's first branch each time."""
+        w, up = self.work, None
+        for j in range(ELECTIONS):
+            crowd = placed.where(f"j = {j} and n > {LEAF}")
+            if up is not None:  # only what has no family yet
+                crowd = crowd.join(up.select(F.col("a").alias("class")).distinct(), "class", "left_anti")
+                crowd = crowd.join(crowd.groupBy("node").count().where(f"count > {LEAF}").select("node"), "node", "left_semi")
+            crowd = w.save(crowd.select(F.col("node").alias("family"), "class").join(sig, "class"), "crowd")
+            if not crowd.take(1):
+                break
+            heads = w.save(self.typical(crowd).join(sig, "class").select("family", F.col("class").alias("b"), F.col("sig").alias("sig_b")), "heads")
+            heads = F.broadcast(heads) if small_enough(heads, MOST_TYPICAL) else heads
+            met = crowd.select("family", F.col("class").alias("a"), F.col("sig").alias("sig_a")).join(heads, "family").where("a <> b")
+            alike = w.save(met.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(self.least), "a binary, b binary"), "alike")
+            w.drop(crowd)
+            up = alike if up is None else up.unionByName(alike)
+        return None if up is None or not up.take(1) else w.save(connected_components(up, w).toDF("class", "label"), "labels")
 
     def joined(self, placed: DataFrame, sig: DataFrame) -> DataFrame:
         """Pairs of labels that likely pairs join, found down the trees."""
@@ -255,7 +285,7 @@ class _Join:
             about = w.save(placed.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("node", "n"), "mixed")
             members = placed.join(about, "node")
             if level == 0:
-                members = w.save(members, "members").join(sig, "class")
+                members = members.join(sig, "class")
             members = w.save(members.select("node", "class", "label", "sig", "n"), "members")
             cells.append(members.where(f"n <= {LEAF}").select(F.col("node").alias("cell"), F.lit(0).alias("side"), "class", "label", "sig"))
             large = members.where(f"n > {LEAF}")
@@ -264,10 +294,10 @@ class _Join:
             by = large.groupBy("node", "label").agg(F.count("*").alias("c"))
             main = w.save(by.groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n_")).select("node", F.col("m.label").alias("main"), F.lit(None).cast("long").alias("size"), "n_", (F.col("n_") - F.col("m.c")).alias("others")), "main")
             last = level == LEVELS - 1
-            cells.append(self.grid(large.drop("n"), main if last else main.where(f"others <= {BLOCK}"), "node", "sig"))
-            if last:
+            cells.append(self.grid(large.drop("n"), main if last else main.where(f"others <= {OUTSIDE}"), "node", "sig"))
+            rest = large.join(main.where(f"others > {OUTSIDE}").select("node"), "node", "left_semi")
+            if last or not rest.take(1):
                 break
-            rest = large.join(main.where(f"others > {BLOCK}").select("node"), "node", "left_semi")
             children = []
             for k in range(BRANCHES):
                 j = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int")
@@ -298,7 +328,7 @@ class _Join:
         """Confirmed links (a, b) that connect what all confirmed links within families connect."""
         w = self.work
         n_shingles = self.features.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("k"))
-        sized = families.join(n_shingles, "class").groupBy("family").agg(F.count("*").alias("n"), F.sum("k").alias("size")).where("n > 1")
+        sized = families.join(n_shingles, "class").groupBy("family").agg(F.count("*").alias("n"), F.sum("k").alias("size"))
         sized = w.save(sized, "sized")
         members = w.save(families.join(sized, "family").join(classes.select("class", "doc_id", "sig"), "class"), "members")
         texts = self.texts(members)
@@ -397,13 +427,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     work = Workspace(docs.sparkSession, "near-dedup-rows")
     found = work.save(near_duplicates(docs, id_col, text_col, words, percent), "found")
     named = found.where("doc_id is not null")
-    per_id = work.save(named.groupBy("doc_id").agg(F.count("*").alias("gl_n"), F.max("kept").alias("gl_kept")), "ids")
-    keyed = docs.select(*[col(c) for c in docs.columns], col(id_col).cast("long").alias("gl_id"))
-    joined = keyed.join(per_id.withColumnRenamed("doc_id", "gl_id"), "gl_id", "left")
+    id_, n, kept, text = (fresh(docs, f"gl_{x}") for x in ("id", "n", "kept", "text"))
+    per_id = work.save(named.groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias(n), F.max("kept").alias(kept)), "ids")
+    own = [col(c) for c in docs.columns]
+    joined = docs.select(*own, col(id_col).cast("long").alias(id_)).join(per_id, id_, "left")
     blank = ~F.coalesce(F.regexp_like(col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    plain = joined.where(blank | F.col("gl_n").isNull() | ((F.col("gl_n") == 1) & F.col("gl_kept")))
+    plain = joined.where(blank | F.col(n).isNull() | ((F.col(n) == 1) & F.col(kept)))
     # ids on several rows: each different text once
-    again = joined.where(~blank & (F.col("gl_n") > 1) & F.col("gl_kept"))
+    again = joined.where(~blank & (F.col(n) > 1) & F.col(kept))
     order = F.struct(*[col(c) for c in docs.columns if not dict(docs.dtypes)[c].startswith(("map", "variant"))])
-    once = again.groupBy("gl_id", col(text_col).alias("gl_text")).agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), order).alias("gl_row")).select("gl_row.*")
-    return plain.select(*[col(c) for c in docs.columns]).unionByName(once)
+    once = again.groupBy(id_, col(text_col).alias(text)).agg(F.min_by(F.struct(*own), order).alias("row_")).select("row_.*")
+    return plain.select(*own).unionByName(once)

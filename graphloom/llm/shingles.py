@@ -5,23 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MOST_WORDS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 EMPTY = np.empty(0, np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MOST_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_hashes = _WordHashes()
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _Q
     return h ^ (h >> np.uint64(29))
@@ -36,7 +24,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return EMPTY
-    h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     k = min(words, len(h))
     n = len(h) - k + 1
     out = np.full(n, np.uint64(k), np.uint64)
