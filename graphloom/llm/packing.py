@@ -70,7 +70,7 @@ def _pack(path: str | None, end_id: int, window: int, most: int, scrap: int, kee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = worker_tokens(path).encode, end_id.to_bytes(4, "little")
+        tokens = worker_tokens(path)
         windows = Windows(TaskContext.get().partitionId() << 36, window, most, scrap)
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
         types = [*[pa.int64()] * 7, pa.binary(), pa.bool_()]
@@ -80,19 +80,16 @@ def _pack(path: str | None, end_id: int, window: int, most: int, scrap: int, kee
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
         for batch in batches:
-            rows, size = [], 0
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids, start = encode(text.as_py()) + end, 0
-                doc, total = doc.as_py(), len(ids) // 4
-                for w, offset, n in windows.place(total):
-                    part = ids[4 * start : 4 * (start + n)]
-                    rows.append((doc, start, n, zlib.crc32(part), total, w, offset, part if keep_ids else None, False))
-                    start += n
-                    size += 4 * n if keep_ids else 64
-                if size > 8 << 20:
-                    yield packed(rows)
-                    rows, size = [], 0
-            yield packed(rows)
+            docs = batch.column(0).to_pylist()
+            for first, ids, ends in tokens.batches(batch.column(1), end_id):
+                rows, data, ends = [], memoryview(ids.astype("<u4").tobytes()), ends.tolist()
+                for doc, base, stop in zip(docs[first:], ends, ends[1:], strict=False):
+                    start, total = 0, stop - base
+                    for w, offset, n in windows.place(total):
+                        part = data[4 * (base + start) : 4 * (base + start + n)]
+                        rows.append((doc, start, n, zlib.crc32(part), total, w, offset, bytes(part) if keep_ids else None, False))
+                        start += n
+                yield packed(rows)
         yield packed([(None, None, None, None, None, w, windows.window - room, None, True) for room, w in windows.room])
 
     return run

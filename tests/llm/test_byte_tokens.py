@@ -186,3 +186,37 @@ def test_counts_table(spark):
     got = token_counts.count_tokens(docs(spark)).collect()
     assert len(got) == len(TEXTS) + 3
     assert {r.n_tokens for r in got if r.doc_id in (0,)} == {0}
+
+
+def test_odd_texts_in_batches_equal_the_library(plain):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    parts = ["a", "Zed", "don't", "é", "ñu", "12", "3a", ".", ",", "|", "<", ">", "'s", "-", "()", "\"", " ", " ", " ", "  ", "\n", "\n", "\t", " ", "　", "​", "中", "😀", "<|endoftext|>", "endoftext|", "x|>", "_"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(4000)] + [None, ""]
+    tokens = ByteTokens(memory_bytes=160 * 300)
+    for _ in range(2):
+        for first, ids, ends in tokens.batches(pa.array(texts[7:] + texts[:7]).slice(0, 3000), 2):
+            for i in range(len(ends) - 1):
+                t = (texts[7:] + texts[:7])[first + i]
+                assert ids[ends[i] : ends[i + 1]].tolist() == [*plain(t), 2], t
+    assert len(tokens._memory.number) <= 2 * 300
+
+
+def test_copies_in_several_tasks_are_stored_once(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(4000))
+    frame = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").repartition(4)
+    store = token_store.TokenStore.write(frame, str(tmp_path / "s"))
+    assert store.chunks.count() == store.chunks.select("key").distinct().count()
+    assert store.documents().select("ids_crc32").distinct().count() == 1
+
+
+def test_batches_cut_like_single_texts():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 50257, n).astype("<u4") for n in (0, 5, 64, 65, 900, 3000, 1)]
+    flat, at = np.concatenate(texts), 0
+    hits = token_store.rolling_hits(flat).tolist()
+    for t in texts:
+        if len(t):
+            assert [e - at for e in token_store.cut_points(flat, hits, at, at + len(t))] == token_store.cut_points(t)
+        at += len(t)
