@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_tokens import worker_tokens
-from .common import Workspace, col
+from .common import Workspace, col, small_enough
 
 LEAST, MEAN_BITS, MOST, SPAN = 64, 8, 1024, 16
-#: Digests that a task remembers as sent; forgetting one costs a duplicate that the shuffle removes.
+#: Digests that a task remembers as sent; forgetting one costs a copy that is left out later.
 REMEMBERED = 200_000
+#: Copies of chunks, and volumes, that may be broadcast, at some 60 bytes each.
+MOST_BROADCAST = 500_000
 _GEAR = np.random.Generator(np.random.PCG64(2)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
@@ -42,61 +45,69 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the rolling hash of SPAN ids has MEAN_BITS zeros, no closer than LEAST, no farther than MOST."""
+def rolling_hits(ids: np.ndarray) -> np.ndarray:
+    """The places behind which the rolling hash of the last SPAN ids has MEAN_BITS zeros.  Within SPAN of an earlier text they are arbitrary."""
     n = len(ids)
     h, k = _GEAR[ids & 0xFFFF], 1
-    while k < SPAN:  # sums over 2, 4, ... ids, each place shifted by its distance
-        h[k:] += h[:-k] << np.uint64(k) if k < n else h[k:]
+    while k < min(SPAN, n):  # sums over 2, 4, ... ids, each place shifted by its distance
+        h[k:] += h[:-k] << np.uint64(k)
         k *= 2
-    hits = np.flatnonzero((h >> np.uint64(SPAN)) & np.uint64((1 << MEAN_BITS) - 1) == 0) + 1
-    ends, at, i = [], 0, 0
-    while n - at > LEAST:
-        i = int(np.searchsorted(hits, at + LEAST))
-        end = int(hits[i]) if i < len(hits) else n
-        at = min(end, at + MOST, n)
+    return np.flatnonzero((h >> np.uint64(SPAN)) & np.uint64((1 << MEAN_BITS) - 1) == 0) + 1
+
+
+def cut_points(ids: np.ndarray, hits: list[int] | None = None, first: int = 0, stop: int | None = None) -> list[int]:
+    """Ends of the chunks of ids[first:stop]: at hits, no closer than LEAST, no farther than MOST.
+
+    As LEAST is more than SPAN, hits of a whole batch of texts cut each text as its own hits would.
+    """
+    hits, stop = rolling_hits(ids).tolist() if hits is None else hits, len(ids) if stop is None else stop
+    ends, at = [], first
+    while stop - at > LEAST:
+        i = bisect_left(hits, at + LEAST)
+        end = min(hits[i], stop) if i < len(hits) else stop
+        at = min(end, at + MOST)
         ends.append(at)
-    if at < n:
-        ends.append(n)
+    if at < stop:
+        ends.append(stop)
     return ends
 
 
+_SENT = "kind byte, key binary, task int, row long, doc_id long, n_tokens long, data binary, root binary"
+
+
 def _encode(path: str | None, end_id: int, wide: bool):
+    """Recipes (kind 0; data: the chunks' digests) and chunks (kind 1), each chunk once a task as far as the task remembers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = worker_tokens(path).encode, end_id.to_bytes(4, "little")
+        tokens = worker_tokens(path)
         task, row, sent = TaskContext.get().partitionId(), 0, set()
-        types = [pa.int8(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        names = ["kind", "key", "doc_id", "n_tokens", "data", "root"]
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, types, strict=True)], names=names)
+        types = [pa.int8(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names, width = [f.split()[0] for f in _SENT.split(", ")], 4 if wide else 2
 
         for batch in batches:
-            rows, size = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encode(text.as_py()) + end, "<u4")
-                if not wide and int(ids.max()) > 0xFFFF:
+            docs = batch.column(0).to_pylist()
+            for first, ids, ends in tokens.batches(batch.column(1), end_id):
+                if not wide and len(ids) and int(ids.max()) > 0xFFFF:
                     raise ValueError(f"id {ids.max()} needs 4 bytes: write the store with wide=True")
-                stored = ids if wide else ids.astype("<u2")
-                digests, start = [], 0
-                for stop in cut_points(ids):
-                    data = stored[start:stop].tobytes()
-                    digests.append(key := digest(data))
-                    if key not in sent:
-                        if len(sent) >= REMEMBERED:
-                            sent.clear()
-                        sent.add(key)
-                        rows.append((1, key, None, None, data, None))
-                        size += len(data)
-                    start = stop
-                rows.append((0, task.to_bytes(8, "big") + row.to_bytes(8, "big"), doc, len(ids), b"".join(digests), merkle_root(digests)))
-                row, size = row + 1, size + 16 * len(digests) + 64
-                if size > 4 << 20:
-                    yield batch_of(rows)
-                    rows, size = [], 0
-            yield batch_of(rows)
+                rows, hits, ends = [], rolling_hits(ids).tolist(), ends.tolist()
+                stored = memoryview(ids.astype("<u4" if wide else "<u2").tobytes())
+                for doc, start, stop in zip(docs[first:], ends, ends[1:], strict=False):
+                    digests, at = [], start
+                    for end in cut_points(ids, hits, start, stop):
+                        data = stored[width * at : width * end]
+                        digests.append(key := digest(data))
+                        if key not in sent:
+                            if len(sent) >= REMEMBERED:
+                                sent.clear()
+                            sent.add(key)
+                            rows.append((1, key, task, row, None, None, bytes(data), None))
+                            row += 1
+                        at = end
+                    rows.append((0, None, task, row, doc, stop - start, b"".join(digests), merkle_root(digests)))
+                    row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
@@ -123,48 +134,44 @@ _MANIFEST = "volume int, documents long, n_tokens long, root binary"
 class TokenStore:
     """A written store: its folder and what its files hold."""
 
-    def __init__(self, spark: SparkSession, path: str, wide: bool = False):
+    def __init__(self, spark: SparkSession, path: str, wide: bool):
         self.spark, self.path, self.wide = spark, path, wide
         self.chunks = spark.read.schema("key binary, data binary").parquet(f"{path}/chunks")
         self.recipes = spark.read.schema("volume int, place long, doc_id long, n_tokens long, digests binary, root binary").parquet(f"{path}/recipes")
         self.manifests = spark.read.schema(_MANIFEST).parquet(f"{path}/manifests")
 
     @classmethod
-    def write(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, wide: bool = False) -> TokenStore:
+    def write(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, wide: bool | None = None) -> TokenStore:
         """Encodes every text (null: empty), with end_id behind, and writes the store.
 
         Ascending ids, null ones last; rows with equal ids are documents of their own, in the order of their roots.
-        An empty table gives an empty store.  Other columns are not read.  An id over 65,535 is an error unless wide.
+        An empty table gives an empty store.  Other columns are not read.  wide (4 bytes an id): null takes it from the
+        size of the vocabulary; an id over 65,535, as an end_id beyond the vocabulary may be, is an error unless wide.
+
+        Tasks write what they find; of chunks that several tasks found, only keys travel to tell which copy stays, and the
+        others are left out as the chunk files are written.
         """
         spark, work = docs.sparkSession, Workspace(docs.sparkSession, "token-store")
+        wide = worker_tokens(tokenizer).vocabulary > 1 << 16 if wide is None else wide
         rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-        sent = rows.mapInArrow(_encode(tokenizer, end_id, wide), "kind byte, key binary, doc_id long, n_tokens long, data binary, root binary")
-        once = sent.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_tokens", "data", "root")])
-        both = work.path("both")
-        once.write.partitionBy("kind").option("compression", "zstd").parquet(both)
-        spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle, which nothing reads again
-        schema = "key binary, doc_id long, n_tokens long, data binary, root binary"
-        chunks = spark.read.schema(schema + ", kind byte").parquet(both).where("kind = 1").select("key", "data")
-        recipes = spark.read.schema(schema + ", kind byte").parquet(both).where("kind = 0")
+        sent = work.save(rows.mapInArrow(_encode(tokenizer, end_id, wide), _SENT), "sent")
+        chunks = sent.where("kind = 1")
+        place = F.struct("task", "row")
+        shared = work.save(chunks.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "shared")
+        found = F.broadcast(shared) if small_enough(shared, MOST_BROADCAST) else shared
+        others = work.save(chunks.select("key", "task", "row").join(found, "key").where(place != F.col("first")).select("task", "row"), "others")
+        found = F.broadcast(others) if small_enough(others, MOST_BROADCAST) else others
+        chunks.join(found, ["task", "row"], "left_anti").select("key", "data").write.option("compression", "zstd").parquet(f"{path}/chunks")
+        recipes = sent.where("kind = 0").select("task", "row", "doc_id", "n_tokens", F.col("data").alias("digests"), "root")
         parts = max(1, recipes.count() // 1_000_000 + 8)
-        ranged = recipes.repartitionByRange(parts, F.asc_nulls_last("doc_id"), "root", "key").sortWithinPartitions(F.asc_nulls_last("doc_id"), "root", "key")
-        ranged = ranged.select(F.spark_partition_id().alias("volume"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("place"), "doc_id", "n_tokens", F.col("data").alias("digests"), "root")
+        ranged = recipes.repartitionByRange(parts, F.asc_nulls_last("doc_id"), "root", "task", "row").sortWithinPartitions(F.asc_nulls_last("doc_id"), "root", "task", "row")
+        ranged = ranged.select(F.spark_partition_id().alias("volume"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("place"), "doc_id", "n_tokens", "digests", "root")
         ranged.write.option("compression", "zstd").parquet(f"{path}/recipes")
-        cls._move_chunks(spark, both, path, chunks)
         store_recipes = spark.read.schema("volume int, place long, doc_id long, n_tokens long, digests binary, root binary").parquet(f"{path}/recipes")
         cls._roots(store_recipes).write.parquet(f"{path}/manifests")
+        work.drop(sent, shared, others)
         return cls(spark, path, wide)
 
-    @staticmethod
-    def _move_chunks(spark: SparkSession, both: str, path: str, chunks: DataFrame) -> None:
-        """The files of kind 1 become the chunk folder by a rename, which no store copies the data for but the plainest."""
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        source, target = hadoop.Path(f"{both}/kind=1"), hadoop.Path(f"{path}/chunks")
-        files = source.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not (files.exists(source) and files.rename(source, target)):
-            chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
-        files.delete(hadoop.Path(both), True)
-
     @staticmethod
     def _roots(recipes: DataFrame) -> DataFrame:
         few = recipes.select("volume", "place", "n_tokens", "root")
@@ -193,7 +200,8 @@ class TokenStore:
         before = Window.orderBy("volume").rowsBetween(Window.unboundedPreceding, -1)
         offsets = self.manifests.select("volume", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
         within = Window.partitionBy("volume").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        return checked.join(F.broadcast(offsets), "volume").select("doc_id", (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
+        offsets = F.broadcast(offsets) if small_enough(self.manifests, MOST_BROADCAST) else offsets
+        return checked.join(offsets, "volume").select("doc_id", (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
 
     def ids(self) -> DataFrame:
         """doc_id, ids (little-endian 32 bits) of every document, put together from its chunks."""
