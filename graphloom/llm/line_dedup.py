@@ -21,6 +21,12 @@ _ID = "named_struct('a', xxhash64(btrim(l, {b})), 'b', xxhash64(reverse(btrim(l,
 _SOLID = f"btrim(l, {BLANKS}) <> ''"
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port or a final dot; null where there is none."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#]*)", 1)
+    return F.nullif(F.regexp_replace(host, r"\.$", ""), F.lit(""))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -44,8 +50,9 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
     """docs with boilerplate lines taken out of the text, every row and column kept, and n_lines, n_dropped behind.
 
     Lines are parts between newlines, compared without ASCII white space at their ends; blank lines stay.  A null text
-    stays null with n_lines 0.  Rows with a null host are one host.  Equal rows count once each as pages.  Columns
-    named n_lines and n_dropped are replaced (name others by kept_col as a prefix).
+    stays null with n_lines 0.  Rows with a null host are one host.  Equal rows count once each as pages.  Texts and lines
+    of any length are taken whole.  An empty table gives an empty table.  Columns named n_lines and n_dropped are replaced
+    (name others by kept_col as a prefix).  host_of() gives the hosts of URLs.
     """
     n_lines, n_dropped = f"{kept_col or ''}n_lines", f"{kept_col or ''}n_dropped"
     work = Workspace(docs.sparkSession, "line-dedup")

@@ -13,7 +13,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, fresh
 
 SLOTS, SHARDS = 8209, 64
 
@@ -57,7 +57,8 @@ def assign_shards(df: DataFrame, key_cols: list[str], shards: list[str] | None =
     """df with the slot and the number of the shard of each row; columns of those names are replaced.
 
     The table travels with the plan as a constant of 4 bytes a slot: no join, no shuffle, constant time per row.
-    Rows with equal keys share a shard; null keys are the empty text.  Key columns are joined by a zero byte.
+    Rows with equal keys share a shard; null keys are the empty text; keys may be of any length, as only their md5 counts.
+    Key columns are joined by a zero byte.  An empty table gives an empty table with both columns.
     """
     shards = shards or shard_names()
     table = F.split(F.lit(",".join(map(str, lookup_table(shards, slots)))), ",").cast("array<int>")
@@ -68,7 +69,11 @@ def assign_shards(df: DataFrame, key_cols: list[str], shards: list[str] | None =
 
 
 def spread_hot_keys(df: DataFrame, key_cols: list[str], shards: list[str] | None = None, slots: int = SLOTS, ways: int = 16, row_key: str | None = None) -> DataFrame:
-    """assign_shards() for sinks in which one key may hold a large share of the rows: a key's rows go to up to ``ways`` shards by row_key."""
-    names = shards or shard_names()
-    salted = df.select(*[col(c) for c in df.columns], F.pmod(F.xxhash64(col(row_key)) if row_key else F.monotonically_increasing_id(), F.lit(ways)).cast("string").alias("gl_salt"))
-    return assign_shards(salted, [*key_cols, "gl_salt"], names, slots).drop("gl_salt")
+    """assign_shards() for sinks in which one key may hold a large share of the rows: a key's rows go to up to ``ways`` shards.
+
+    Which one is told by row_key, or by the whole row without it, so a task that runs again deals alike; equal rows stay together.
+    """
+    by = [col(row_key)] if row_key else [col(c) for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    salt = fresh(df, "gl_salt")
+    salted = df.select(*[col(c) for c in df.columns], F.pmod(F.xxhash64(*by), F.lit(ways)).cast("string").alias(salt))
+    return assign_shards(salted, [*key_cols, salt], shards or shard_names(), slots).drop(salt)

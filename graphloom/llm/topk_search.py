@@ -5,8 +5,8 @@ segment of n components adds at most n * m_q * m_v + d_q * d_v to an inner produ
 distance |q|^2 + |v|^2 - 2 <q, v>.  Bounds are taken with one segment, then more, ever finer ones; whatever may still beat a
 query's k-th best so far is computed exactly, in integers.
 
-Queries are broadcast in blocks of bounded size; each block is one pass over the vectors, in which a task keeps the
-k best of each query.
+Queries go out in blocks of bounded size, one after the other; each block is one pass over the vectors, in which a task keeps the
+k best of each query, and its result is written before the next block is fetched, so the driver never holds two.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, col
 
-#: Bytes of query components broadcast at once.
+#: Bytes of query components sent out at once.
 BLOCK_BYTES = 8 << 20
 SEGMENTS = (1, 4, 16)
 #: Components up to this size are exact in double precision sums of up to 2**13 products.
@@ -153,12 +153,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     asked = work.save(base.where("q").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n, longest = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-n * max(1, longest or 0) * 8 // BLOCK_BYTES))
-    found = None
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = lambda found: found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(f"rank <= {k}")
+    parts = []
     for b in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
         rows = sorted(block.collect())  # a block of bounded size
         search = _search(np.array([r.vec_id for r in rows], np.int64), [r.v for r in rows], k, scale, segments)
-        part = base.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(f"rank <= {k}")
+        del rows
+        parts.append(work.save(best(base.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score long")), "best").workspace_path)
+        del search
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(*parts)

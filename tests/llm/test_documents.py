@@ -295,3 +295,62 @@ def test_kept_rows_with_clashing_names(spark, docs):
     got = near_dedup.drop_near_duplicates(odd)
     assert got.columns == odd.columns
     assert sorted(r.doc_id or -1 for r in got.collect()) == sorted(r.doc_id or -1 for r in near_dedup.drop_near_duplicates(docs).collect())
+
+
+def test_features_behind_a_rejection_are_not_computed(spark):
+    rows = [(i, "word " * (5 if i % 2 else 60)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    short = quality.Rule("short", "size(words_)", "f < 50")
+    fatal = quality.Rule("fatal", "case when size(words_) < 50 then cast(raise_error('computed') as int) else 1 end", "f > 1")
+    words = quality.split_words(frame)
+    assert words.where(quality.verdict([short, fatal], ready=False).isNull()).count() == 20
+    with pytest.raises(Exception, match="computed"):
+        words.where(quality.verdict([fatal, short], ready=False).isNull()).count()
+
+
+def test_rules_are_ordered_by_rejections_for_their_cost(spark):
+    frame = spark.createDataFrame([(i, f"w{i} " * 200) for i in range(200)], "id long, text string")
+    dear = quality.Rule("dear", "size(array_sort(transform(sequence(1, 400), x -> md5(concat(text_, x)))))", "f > 0")
+    cheap = quality.Rule("cheap", "size(words_)", "f > 100")
+    useless = quality.Rule("useless", "size(words_)", "f < 0")
+    ordered = quality.order_rules(frame, (dear, useless, cheap), text_col="text")
+    assert [r.name for r, *_ in ordered] == ["cheap", "dear", "useless"]
+    assert [share for *_, share in ordered] == [1.0, 1.0, 0.0]
+
+
+def test_search_in_several_blocks_of_queries(spark, monkeypatch):
+    rng = random.Random(6)
+    frame = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(300)], "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(topk_search.top_k(frame, F.expr("vec_id % 10 = 0"), k=4).collect())
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", 16 * 8 * 4)
+    saved, save = [], topk_search.Workspace.save
+    monkeypatch.setattr(topk_search.Workspace, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+    assert sorted(topk_search.top_k(frame, F.expr("vec_id % 10 = 0"), k=4).collect()) == whole and len(whole) == 120
+    assert saved.count("best") == 8
+
+
+def test_sharding_of_empty_tables_long_keys_and_clashing_names(spark):
+    frame = spark.createDataFrame([("k" * 100_000, 1, "x"), ("k" * 100_000, 2, "y"), (None, 3, None)], "key string, gl_salt int, SLOT string")
+    got = sharding.assign_shards(frame, ["key"]).collect()
+    assert got[0].slot == got[1].slot and got[2].slot == int(hashlib.md5(b"").hexdigest()[:15], 16) % sharding.SLOTS
+    empty = sharding.assign_shards(frame.limit(0), ["key"])
+    assert empty.count() == 0 and empty.columns == ["key", "gl_salt", "slot", "shard"]
+    spread = sharding.spread_hot_keys(frame, ["key"])
+    assert sorted(spread.columns) == ["gl_salt", "key", "shard", "slot"] and sorted(r.gl_salt for r in spread.collect()) == [1, 2, 3]
+    assert sorted(spread.collect(), key=str) == sorted(sharding.spread_hot_keys(frame.repartition(2), ["key"]).collect(), key=str)
+
+
+def test_hosts_of_pages(spark):
+    urls = {"http://Example.org/a?b": "example.org", "https://u:p@a.b.c:80/x": "a.b.c", "https://h.": "h", "http://[::1]:8/": "[::1]", "no url": None, "": None, None: None}
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select("url", line_dedup.host_of(F.col("url")).alias("host")).collect()
+    assert {r.url: r.host for r in got} == urls
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", F.col("html").alias("text"), line_dedup.host_of(F.col("url")).alias("host"))
+    out = line_dedup.drop_boilerplate(pages, host_col="host")
+    assert out.count() == pages.count() and pages.where("host is null").count() == 0
+
+
+def test_very_long_lines_and_texts(spark):
+    long = "x" * 300_000
+    rows = [(i, f"{long}\n" + "\n".join(f"{i} {j}" for j in range(3000 if i == 0 else 2)), "s") for i in range(8)]
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(r.n_dropped == 1 and long not in r.text for r in got.values()) and got[0].n_lines == 3001
