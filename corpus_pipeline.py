@@ -1,6 +1,7 @@
 """A training corpus from documents: quality rules, line and near de-duplication, source mixing, packing.
 
-Every stage reads what its predecessor wrote and works on all of it.
+Every stage reads what its predecessor wrote and works on all of it.  All stages take an empty table (and return one), texts
+of any length as a whole, and further columns under any names; what they do with nulls, ties and repeated rows they say.
 """
 
 from __future__ import annotations
@@ -13,28 +14,47 @@ from graphloom.llm.common import Workspace, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects.
+
+    Null, empty and blank texts are rejected for their few words; nulls elsewhere don't matter.  Equal rows are kept or
+    rejected together.  Rows and columns stay as they are.
+    """
     return quality.keep_good(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go; the documents stay, with n_chars of the text that is left."""
+    """Lines that are boilerplate of their source go; the documents stay, with n_chars of the text that is left.
+
+    A null text stays null, with a null n_chars; blank lines stay.  Rows with a null source are one source.  Equal rows count
+    as a page each and stay equal.  A line at exactly the ratio stays.
+    """
     out = line_dedup.drop_boilerplate(docs)
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    The one with the smallest id stays.  Null and blank texts and rows with a null id are no duplicates and all stay.  Of
+    rows with one id and one text one stays; rows with one id and different texts stay if one of them would.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Null, empty and blank texts have no words and are never taken.  A null source is a source of its own, a null id an id
+    like others.  Rows with one id and one text are taken alike; ties of keys fall to smaller ids, then hashes of texts.
+    """
     return mixing.Mix(docs).documents()
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences with their ids."""
+    """Pieces of training sequences with their ids.
+
+    A null text is empty, so every row has its end id at least.  Rows with equal or null ids are documents of their own.
+    """
     return packing.pack_documents(docs)
 
 
