@@ -93,7 +93,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
 def _sample(df: DataFrame, text_col: str, rows: int) -> list[str]:
     """The first texts that are found, from as few partitions as hold them; at most rows * SAMPLE_CHARS characters."""
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    return [r[0].replace("\0", " ") for r in df.select(text.alias("text_")).where(F.length("text_") <= SAMPLE_CHARS).take(rows)]
+    return [r[0] for r in df.select(text.alias("text_")).where(F.length("text_") <= SAMPLE_CHARS).take(rows)]
 
 
 def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text_") -> list[tuple[Rule, float, float]]:
@@ -105,7 +105,9 @@ def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     texts = _sample(df, text_col, sample_rows)
     if not texts:
         return [(r, 0.0, 0.0) for r in rules]
-    one = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.split(F.lit("\0".join(texts)), "\0")).alias("text_"))
+    # a local table of the JVM: as literals the texts would stand in every plan, as a Python list they would need Python workers
+    spark = df.sparkSession
+    one = DataFrame(spark._jsparkSession.createDataset(texts, spark._jvm.org.apache.spark.sql.Encoders.STRING()), spark).toDF("text_").coalesce(1)
     sample = split_words(one, "text_").select("text_", "words_").persist(StorageLevel.MEMORY_AND_DISK)
 
     def timed(condition: Column, repeats: int) -> tuple[float, int]:
