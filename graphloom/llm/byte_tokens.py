@@ -19,7 +19,7 @@ import pyarrow as pa
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Most bytes of remembered pieces per worker, at some PIECE_BYTES each; beyond, the half that was met least is forgotten.
-MEMORY_BYTES, PIECE_BYTES = 80 << 20, 160
+MEMORY_BYTES, PIECE_BYTES = 128 << 20, 440
 #: Bytes of text that are cut into pieces at once.
 BATCH_BYTES = 4 << 20
 #: Longest string handed to the library at once if it can be cut; longer ones take memory many times their size.
