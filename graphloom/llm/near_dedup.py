@@ -35,8 +35,8 @@ COORDINATES, TREES, BRANCHES, LEVELS, LEAF = 128, 4, 2, 8, 1024
 ELECTIONS, OUTSIDE = 2, 4096
 #: Members of a cell, shingles of a cell, typical members of a group, and coordinates by which they are found.
 BLOCK, CELL_SHINGLES, TYPICAL, MODE_COORDINATES = 512, 2_000_000, 3, 16
-#: Rows that may be broadcast: classes that pick their texts, at some 70 bytes each; typical members, at some 300.
-MOST_BROADCAST, MOST_TYPICAL = 500_000, 50_000
+#: Rows that may be broadcast: classes that pick their texts, at some 70 bytes each; typical members, at some 300; ids of rows that go, at some 16.
+MOST_BROADCAST, MOST_TYPICAL, MOST_IDS = 500_000, 50_000, 2_000_000
 
 
 def _features(words: int, seed: int):
@@ -427,14 +427,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     work = Workspace(docs.sparkSession, "near-dedup-rows")
     found = work.save(near_duplicates(docs, id_col, text_col, words, percent), "found")
     named = found.where("doc_id is not null")
-    id_, n, kept, text = (fresh(docs, f"gl_{x}") for x in ("id", "n", "kept", "text"))
-    per_id = work.save(named.groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias(n), F.max("kept").alias(kept)), "ids")
+    id_, text = (fresh(docs, f"gl_{x}") for x in ("id", "text"))
+    per_id = named.groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    odd = work.save(per_id.where("n > 1 or not kept"), "ids")
+
+    def few(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if small_enough(ids, MOST_IDS) else ids
+
     own = [col(c) for c in docs.columns]
-    joined = docs.select(*own, col(id_col).cast("long").alias(id_)).join(per_id, id_, "left")
-    blank = ~F.coalesce(F.regexp_like(col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    plain = joined.where(blank | F.col(n).isNull() | ((F.col(n) == 1) & F.col(kept)))
+    # ids with a blank row are kept, so whole ids can go; this is the only join that may have to move the rows
+    left = docs.select(*own, col(id_col).cast("long").alias(id_)).join(few(odd.where("not kept").select(id_)), id_, "left_anti")
+    many = odd.where("n > 1 and kept").select(id_)
+    if not many.take(1):
+        return left.select(*own)
     # ids on several rows: each different text once
-    again = joined.where(~blank & (F.col(n) > 1) & F.col(kept))
+    blank = ~F.coalesce(F.regexp_like(col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    again = left.where(~blank).join(few(many), id_, "left_semi")
+    plain = left.where(blank).unionByName(left.where(~blank).join(few(many), id_, "left_anti"))
     order = F.struct(*[col(c) for c in docs.columns if not dict(docs.dtypes)[c].startswith(("map", "variant"))])
     once = again.groupBy(id_, col(text_col).alias(text)).agg(F.min_by(F.struct(*own), order).alias("row_")).select("row_.*")
     return plain.select(*own).unionByName(once)
