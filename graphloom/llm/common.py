@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -35,12 +36,22 @@ def _filesystem(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        fs, jpath = _filesystem(spark, path)
+        fs.delete(jpath, True)
+
+
 class Workspace:
-    """Intermediate tables of one operator run, written as Parquet so that a lost executor costs no upstream work."""
+    """Intermediate tables of one operator run, written as Parquet so that a lost executor costs no upstream work.
+
+    Results are read from them later, so they stay until drop() or the driver's end.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(_remove, spark, self.root)
 
     def path(self, name: str) -> str:
         self._n += 1

@@ -220,3 +220,10 @@ def test_batches_cut_like_single_texts():
         if len(t):
             assert [e - at for e in token_store.cut_points(flat, hits, at, at + len(t))] == token_store.cut_points(t)
         at += len(t)
+
+
+def test_counts_of_empty_tables_and_long_odd_texts(spark, unigram):
+    assert token_counts.count_tokens(docs(spark).limit(0)).count() == 0
+    counter = token_counts.UnigramCounter(token_counts.zipf_vocabulary())
+    for t in ("word " * 3000, "x" * 5000, "日本" * 2500):
+        assert counter.count(t)[0] == unigram(t)
