@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bare_text, gram_set
-from ..session import save
+from ..functions.text import bare_text, gram_hash_set, gram_hashes
+from ..session import save, small_enough
 
 # fixed values
 GRAM, LIKELY, POSSIBLE = 5, 0.40, 0.20
 SHORTEST_PASSAGE, SHORTEST_EXACT, SHORTEST_CITATION = 5, 6, 6
+#: What may go to every task: passages and their postings (16 bytes each); different needles and their letters.
+MOST_PASSAGES, MOST_POSTINGS, MOST_NEEDLES, MOST_NEEDLE_CHARS = 5_000, 1_000_000, 20_000, 4_000_000
 
 
 def corpus(parts: DataFrame, fold=bare_text) -> DataFrame:
@@ -23,48 +29,148 @@ def corpus(parts: DataFrame, fold=bare_text) -> DataFrame:
 def overlaps(cases: DataFrame, passages: DataFrame, case_id: str = "case_id", passage_id: str = "passage_id") -> DataFrame:
     """case_id, passage_id, shared, jaccard, graph_in_case, case_in_graph, overlap for every pair that shares a gram.
 
-    Both sides: (id, canon).  An equi-join on grams with a count for each pair; grams of equal text meet once on each side.
+    Both sides: (id, canon).  An equi-join on 64-bit hashes of grams with a count for each pair; grams of equal text meet once on each side.
+    Grams that the other side doesn't have are left out before rows are shuffled by grams.
     """
-    a = save(cases.select(F.col(case_id).alias("case_id"), gram_set(F.col("canon"), GRAM).alias("g")), "case-grams")
-    b = save(passages.select(F.col(passage_id).alias("passage_id"), gram_set(F.col("canon"), GRAM).alias("g")), "passage-grams")
-    grams = a.select("case_id", F.explode("g").alias("gram"))
-    shared = b.select("passage_id", F.explode("g").alias("gram")).join(grams, "gram").groupBy("case_id", "passage_id").agg(F.count("*").alias("shared"))
+    a = save(cases.select(F.col(case_id).alias("case_id"), gram_hash_set(F.col("canon"), GRAM).alias("g")), "case-grams")
+    b = save(passages.select(F.col(passage_id).alias("passage_id"), gram_hash_set(F.col("canon"), GRAM).alias("g")), "passage-grams")
+    theirs = b.select("passage_id", F.explode("g").alias("gram"))
+    known = theirs.select("gram").distinct()
+    grams = a.select("case_id", F.explode("g").alias("gram")).join(F.broadcast(known) if small_enough(known, MOST_POSTINGS) else known, "gram", "left_semi")
+    shared = theirs.join(grams, "gram").groupBy("case_id", "passage_id").agg(F.count("*").alias("shared"))
     sized = shared.join(a.select("case_id", F.size("g").alias("n")), "case_id").join(b.select("passage_id", F.size("g").alias("m")), "passage_id")
+    return _shares(sized)
+
+
+def _shares(sized: DataFrame) -> DataFrame:
     s = sized.select("case_id", "passage_id", "shared", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.col("m")).alias("graph_in_case"), (F.col("shared") / F.col("n")).alias("case_in_graph"))
     return s.withColumn("overlap", F.greatest("jaccard", "graph_in_case", "case_in_graph"))
 
 
+def _best_of_few(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray):
+    """For each case the best of the few passages, whose postings (sorted by gram) are at hand: place, -1 without a shared gram, and counts.
+
+    Places are in the order of the passages' ids, so the first of equals has the smallest id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, first = np.unique(grams, return_index=True)
+        last = np.r_[first[1:], len(grams)]
+        for batch in batches:
+            out = []
+            for at in range(0, batch.num_rows, 256):
+                flat, ends = gram_hashes(batch.column(1).slice(at, 256), GRAM)
+                where = np.searchsorted(values, flat)
+                where[where == len(values)] = 0
+                hits = np.flatnonzero(values[where] == flat) if len(values) else np.zeros(0, np.int64)
+                case, where = np.searchsorted(ends, hits, "right") - 1, where[hits]
+                times = last[where] - first[where]
+                # every posting of every hit, one after another
+                postings = np.repeat(first[where] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                n = np.diff(ends)
+                shared = np.bincount(np.repeat(case, times) * len(sizes) + owner[postings], minlength=len(n) * len(sizes)).reshape(len(n), len(sizes)) if len(sizes) else np.zeros((len(n), 1), np.int64)
+                own = sizes if len(sizes) else np.ones(1, np.int64)
+                most = np.maximum(n, 1)[:, None]
+                score = np.round(np.maximum(np.maximum(shared / (most + own[None, :] - shared), shared / own[None, :]), shared / most), 9)
+                best = np.lexsort((np.broadcast_to(np.arange(score.shape[1]), score.shape), -shared, -score), axis=1)[:, 0]
+                k = shared[np.arange(len(n)), best]
+                out.append((np.where(k > 0, best, -1), k, n, own[best]))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype(np.int64)) for c in columns]], names=["case_id", "place", "shared", "n", "m"])
+
+    return run
+
+
 def best_overlap(cases: DataFrame, passages: DataFrame) -> DataFrame:
-    """Each case's best passage (of equal ones the one that shares more grams, then the smaller id); cases without a shared gram have zeros."""
+    """Each case's best passage (of equal ones the one that shares more grams, then the smaller id); cases without a shared gram have zeros.
+
+    Passages with few postings (a checked number) go to every task, and a case is compared where it lies; more meet the cases' grams in a join.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    listed = save(passages.select("passage_id", gram_hash_set(F.col("canon"), GRAM).alias("g")).where("size(g) > 0"), "passage-grams")
+    if small_enough(listed, MOST_PASSAGES) and (listed.agg(F.sum(F.size("g"))).first()[0] or 0) <= MOST_POSTINGS:
+        few = sorted((r.passage_id, np.array(r.g, np.int64).view(np.uint64)) for r in listed.collect())
+        grams, owner = np.concatenate([*(g for _, g in few), np.zeros(0, np.uint64)]), np.repeat(np.arange(len(few)), [len(g) for _, g in few])
+        order = np.argsort(grams, kind="stable")
+        kind = cases.schema["case_id"].dataType.simpleString()
+        found = cases.select("case_id", "canon").mapInArrow(_best_of_few(grams[order], owner[order], np.array([len(g) for _, g in few], np.int64)), f"case_id {kind}, place long, shared long, n long, m long")
+        names = listed.sparkSession.createDataFrame([(i, p) for i, (p, _) in enumerate(few)], f"place long, passage_id {passages.schema['passage_id'].dataType.simpleString()}")
+        return _shares(found.join(F.broadcast(names), "place", "left")).select("case_id", "passage_id", *[F.when(F.col("shared") > 0, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in ("jaccard", "graph_in_case", "case_in_graph", "overlap")])
     o = overlaps(cases, passages)
     w = Window.partitionBy("case_id").orderBy(F.desc(F.round("overlap", 9)), F.desc("shared"), "passage_id")
     best = o.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return cases.select("case_id").join(best, "case_id", "left").select("case_id", "passage_id", zero("jaccard"), zero("graph_in_case"), zero("case_in_graph"), zero("overlap"))
 
 
+def _holding(needles: list[str]):
+    """passage_id, place of the needles that each passage holds: one pass of an automaton."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for i, needle in enumerate(needles):
+            machine.add_word(needle, i)
+        if needles:
+            machine.make_automaton()
+        for batch in batches:
+            ids, places = [], []
+            for i, text in enumerate(batch.column(1).to_pylist() if needles else []):
+                if text:
+                    found = {place for _, place in machine.iter(text)}
+                    ids += [i] * len(found)
+                    places += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(places, pa.int64())], names=["passage_id", "place"])
+
+    return run
+
+
 def exact_parts(parts: DataFrame, passages: DataFrame) -> DataFrame:
-    """case_id, part, passage_id of parts(case_id, part, canon) that a passage holds verbatim.
+    """case_id, part, passage_id (the least) of parts(case_id, part, canon) that a passage holds verbatim.
 
-    Candidates must have one gram of the part, its rarest; only those are searched.
+    Different parts up to a checked number and length are an automaton that every passage runs through once.  More of them are
+    looked for among passages that have one gram of the part, its rarest.
     """
     some = parts.where(F.length("canon") >= SHORTEST_EXACT)
-    p = save(passages.select("passage_id", "canon", gram_set(F.col("canon"), GRAM).alias("g")), "passages")
-    listed = some.select("case_id", "part", "canon", F.explode(gram_set(F.col("canon"), GRAM)).alias("gram"))
-    counts = p.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    rare = listed.join(counts, "gram", "left").groupBy("case_id", "part", "canon").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram").alias("gram"))).alias("m"))
-    found = rare.where("m.df > 0").select("case_id", "part", F.col("canon").alias("needle"), F.col("m.gram").alias("gram")).join(p.select("passage_id", F.explode("g").alias("gram")), "gram")
+    needles = save(some.select("canon").distinct(), "needles")
+    if small_enough(needles, MOST_NEEDLES) and (needles.agg(F.sum(F.length("canon"))).first()[0] or 0) <= MOST_NEEDLE_CHARS:
+        listed = sorted(r.canon for r in needles.collect())
+        kind = passages.schema["passage_id"].dataType.simpleString()
+        held = passages.select("passage_id", "canon").mapInArrow(_holding(listed), f"passage_id {kind}, place long").groupBy("place").agg(F.min("passage_id").alias("passage_id"))
+        # a needle's place is its rank, which the needles' own table gives as well
+        named = held.select(F.element_at(F.lit(listed) if listed else F.array().cast("array<string>"), (F.col("place") + 1).cast("int")).alias("canon"), "passage_id") if len(listed) <= 1000 else held.join(needles.sparkSession.createDataFrame(list(enumerate(listed)), "place long, canon string"), "place").select("canon", "passage_id")
+        return some.join(named, "canon").select("case_id", "part", "passage_id").groupBy("case_id", "part").agg(F.min("passage_id").alias("passage_id"))
+    p = save(passages.select("passage_id", "canon", gram_hash_set(F.col("canon"), GRAM).alias("g")), "passages")
+    listed = some.select("case_id", "part", "canon", F.explode(gram_hash_set(F.col("canon"), GRAM)).alias("gram"))
+    wanted = listed.select("gram").distinct()
+    postings = save(p.select("passage_id", F.explode("g").alias("gram")).join(wanted, "gram", "left_semi"), "postings")
+    rare = listed.join(postings.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").groupBy("case_id", "part", "canon").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram").alias("gram"))).alias("m"))
+    found = rare.where("m.df > 0").select("case_id", "part", F.col("canon").alias("needle"), F.col("m.gram").alias("gram")).join(postings, "gram")
     found = found.select("case_id", "part", "needle", "passage_id").join(p.select("passage_id", "canon"), "passage_id")
     return found.where(F.contains(F.col("canon"), F.col("needle"))).groupBy("case_id", "part").agg(F.min("passage_id").alias("passage_id"))
 
 
 def cited_sources(cases: DataFrame, titles: DataFrame) -> DataFrame:
-    """case_id, title: titles of six letters or more in the case, or the case in the title.  Titles are few: a broadcast of a checked size."""
+    """case_id, title (the least): titles of six letters or more in the case, or the case in the title.
+
+    Titles in cases and cases in titles are two searches for exact parts, so neither side needs to be small.
+    """
     t = titles.select("title", bare_text(F.col("title")).alias("t")).where(F.length("t") >= SHORTEST_CITATION)
-    if t.limit(50_001).count() > 50_000:
-        raise ValueError("more titles than a broadcast may hold; cut them by their first gram")
     c = cases.select("case_id", "canon").where(F.length("canon") >= SHORTEST_CITATION)
-    return c.join(F.broadcast(t), F.contains("canon", "t") | F.contains("t", "canon")).groupBy("case_id").agg(F.min("title").alias("title"))
+    held = _all_holding(t.select(F.col("title").alias("needle_id"), F.col("t").alias("canon")), c.select(F.col("case_id").alias("id"), "canon")).select(F.col("id").alias("case_id"), F.col("needle_id").alias("title"))
+    holds = _all_holding(c.select(F.col("case_id").alias("needle_id"), "canon"), t.select(F.col("title").alias("id"), F.col("t").alias("canon"))).select(F.col("needle_id").alias("case_id"), F.col("id").alias("title"))
+    return held.unionByName(holds).groupBy("case_id").agg(F.min("title").alias("title"))
+
+
+def _all_holding(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """needle_id, id of every needle (needle_id, canon) that a hay (id, canon) holds: they meet in the needle's rarest gram."""
+    n = save(needles.select("needle_id", F.col("canon").alias("needle"), gram_hash_set(F.col("canon"), GRAM).alias("g")), "needles")
+    h = save(hay.select("id", "canon", gram_hash_set(F.col("canon"), GRAM).alias("g")), "hay")
+    listed = n.select("needle_id", F.explode("g").alias("gram"))
+    postings = save(h.select("id", F.explode("g").alias("gram")).join(listed.select("gram").distinct(), "gram", "left_semi"), "postings")
+    rare = listed.join(postings.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").groupBy("needle_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m"))
+    pairs = rare.where("m.df > 0").select("needle_id", F.col("m.gram").alias("gram")).join(postings, "gram").select("needle_id", "id")
+    return pairs.join(n.select("needle_id", "needle"), "needle_id").join(h.select("id", "canon"), "id").where(F.contains("canon", "needle")).select("needle_id", "id").distinct()
 
 
 def stratum(overlap: Column, exact: Column, cited: Column) -> Column:

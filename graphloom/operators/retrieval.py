@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import save, small_enough
+
 # fixed values
 K1, B = 1.2, 0.75
 WEIGHTS = {"semantic": 0.60, "graph": 0.25, "source": 0.15}
@@ -23,31 +30,137 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+#: Query terms that may go to every task, at some 50 bytes each, and scores held at once.
+MOST_ASKED, SCORES = 300_000, 2_000_000
+
+
 class Bm25Index:
-    """Postings (part, term, id, tf, dl) with statistics for each part, say a domain: N, average length and document frequencies differ by part."""
+    """Term lists (part, id, terms) with statistics for each part, say a domain: N, average length and document frequencies differ by part.
+
+    The lists are written on first use, and by save_to() where they are to stay; load() reads such an index.
+    """
 
     def __init__(self, docs: DataFrame, terms, id_col: str = "id", text_col: str = "text", part: Column | None = None):
         part = F.lit("all") if part is None else part
-        listed = docs.select(part.alias("part"), F.col(id_col).alias("id"), terms(F.col(text_col)).alias("terms")).where("size(terms) > 0")
-        self.lengths = listed.select("part", "id", F.size("terms").cast("long").alias("dl"))
-        self.stats = self.lengths.groupBy("part").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-        self.postings = listed.select("part", "id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term")).groupBy("part", "term", "id", "dl").agg(F.count("*").alias("tf"))
+        self._keep(docs.select(part.cast("string").alias("part"), F.col(id_col).alias("id"), terms(F.col(text_col)).alias("terms")).where("size(terms) > 0").select("part", "id", F.size("terms").cast("long").alias("dl"), "terms"))
+
+    def _keep(self, listed: DataFrame) -> None:
+        self.listed = listed
+        self.stats = listed.groupBy("part").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+
+    def save_to(self, path: str) -> Bm25Index:
+        """Writes the index; what is read back serves later searches."""
+        self.listed.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.load(self.listed.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Bm25Index:
+        self = cls.__new__(cls)
+        self._keep(spark.read.parquet(path))
+        return self
 
     def search(self, queries: DataFrame, terms, query_id: str = "query_id", text_col: str = "text", part_col: str | None = None, limit: int = POOL) -> DataFrame:
         """query_id, id, score, rank: the best by summed term weights, a term's repeats in the query damped by ln(1 + n).
 
-        Only the query's terms of the postings take part (a semi join), so document frequencies are counted for those alone.
+        Only the query's terms of the documents take part.  Queries up to a checked number of terms go to every task, where
+        scores are sums over arrays and a task keeps the best of each query; more meet the postings in joins.
         """
-        part = F.lit("all") if part_col is None else F.col(part_col)
+        part = F.lit("all") if part_col is None else F.col(part_col).cast("string")
         asked = queries.select(part.alias("part"), F.col(query_id).alias("query_id"), F.explode(terms(F.col(text_col))).alias("term")).groupBy("part", "query_id", "term").agg(F.count("*").alias("qf"))
-        used = self.postings.join(asked.select("part", "term").distinct(), ["part", "term"], "left_semi")
-        df = used.groupBy("part", "term").agg(F.count("*").alias("df"))
-        idf = df.join(F.broadcast(self.stats), "part").select("part", "term", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl"))) * F.log(1 + F.col("qf"))
-        scored = asked.join(idf, ["part", "term"]).join(used, ["part", "term"]).groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
+        asked = save(asked, "asked")
+        scored = self._scored_in_tasks(asked, limit) if small_enough(asked, MOST_ASKED) else self._scored_by_joins(asked)
         w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
         return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
+    def _scored_in_tasks(self, asked: DataFrame, limit: int) -> DataFrame:
+        rows = sorted((r.part or "", r.term, r.query_id, r.qf) for r in asked.collect())
+        terms, queries = sorted({r[1] for r in rows}), sorted({r[2] for r in rows})
+        id_kind, query_kind = self.listed.schema["id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+        # term frequencies of what is asked for, a row a document
+        used = save(self.listed.where(F.coalesce("part", F.lit("")).isin(sorted({r[0] for r in rows}))).mapInArrow(_frequencies(terms), f"part string, id {id_kind}, dl long, ix array<int>, tf array<int>"), "frequencies")
+        df = {(r.part or "", r.ix): r.df for r in used.select("part", F.explode("ix").alias("ix")).groupBy("part", "ix").agg(F.count("*").alias("df")).collect()}
+        stats = {r.part or "": (r.n_docs, r.avg_dl) for r in self.stats.collect()} if rows else {}
+        at, place = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(queries)}
+        by_part: dict[str, list] = {}
+        for p, term, query, qf in rows:
+            if (p, at[term]) in df:
+                n, k = stats[p][0], df[p, at[term]]
+                by_part.setdefault(p, []).append((at[term], place[query], np.log(1 + (n - k + 0.5) / (k + 0.5)) * np.log(1 + qf)))
+        weights = {p: (stats[p][1], *(np.array(c) for c in zip(*w, strict=True))) for p, w in by_part.items()}
+        found = used.mapInArrow(_scores(weights, len(terms), len(queries), limit), f"q long, id {id_kind}, score double")
+        names = asked.select("query_id").distinct().withColumn("q", F.array_position(F.lit(queries), F.col("query_id")).cast("long") - 1) if 0 < len(queries) <= 1000 else asked.sparkSession.createDataFrame([(i, q) for i, q in enumerate(queries)], f"q long, query_id {query_kind}")
+        return found.join(F.broadcast(names), "q").select("query_id", "id", "score")
+
+    def _scored_by_joins(self, asked: DataFrame) -> DataFrame:
+        listed = self.listed.select("part", "id", "dl", F.explode("terms").alias("term")).join(asked.select("part", "term").distinct(), ["part", "term"], "left_semi")
+        used = save(listed.groupBy("part", "term", "id", "dl").agg(F.count("*").alias("tf")), "postings")
+        df = used.groupBy("part", "term").agg(F.count("*").alias("df"))
+        idf = df.join(self.stats, "part").select("part", "term", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl"))) * F.log(1 + F.col("qf"))
+        return asked.join(idf, ["part", "term"]).join(used, ["part", "term"]).groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
+
+
+def _frequencies(terms: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for batch in batches:
+            lists = batch.column(3)
+            flat = pc.index_in(lists.flatten(), value_set=known) if len(terms) else pa.nulls(len(lists.flatten()), pa.int32())
+            own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            ix = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+            keys, tf = np.unique((own * max(1, len(terms)) + ix)[ix >= 0], return_counts=True)
+            ends = np.searchsorted(keys // max(1, len(terms)), np.arange(batch.num_rows + 1)).astype(np.int32)
+            listed = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v.astype(np.int32))) for v in (keys % max(1, len(terms)), tf)]
+            out = pa.RecordBatch.from_arrays([*batch.columns[:3], *listed], names=["part", "id", "dl", "ix", "tf"])
+            yield out.filter(pa.array(np.diff(ends) > 0))
+
+    return run
+
+
+def _scores(weights: dict, n_terms: int, n_queries: int, limit: int):
+    """weights: part -> average length, and term, query and weight of each asked term, sorted by term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list = []
+
+        def best():
+            """The rows of each query that can still be among its best."""
+            q, ids, score = (np.concatenate(c) for c in zip(*kept, strict=True))
+            order = np.lexsort((np.unique(ids, return_inverse=True)[1], -np.round(score, 9), q))
+            q = q[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            order = order[rank < limit]
+            kept[:] = [tuple(np.concatenate(c)[order] for c in zip(*kept, strict=True))]
+
+        step, kind = max(1, SCORES // max(1, n_queries)), None
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            for at in range(0, batch.num_rows, step):
+                rows = batch.slice(at, step)
+                parts = np.array([p or "" for p in rows.column(0).to_pylist()], object)
+                for p in set(parts) & set(weights):
+                    some = rows.filter(pa.array(parts == p))
+                    average, term, query, weight = weights[p]
+                    ix, tf = (some.column(c).flatten().to_numpy(zero_copy_only=False) for c in (3, 4))
+                    own = np.repeat(np.arange(some.num_rows), pc.list_value_length(some.column(3)).to_numpy(zero_copy_only=False))
+                    dl = some.column(2).to_numpy(zero_copy_only=False)[own]
+                    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+                    first, last = np.searchsorted(term, ix, "left"), np.searchsorted(term, ix, "right")
+                    times = last - first
+                    postings = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                    cell = np.repeat(own, times) * n_queries + query[postings]
+                    score = np.bincount(cell, np.repeat(part, times) * weight[postings], minlength=some.num_rows * n_queries)
+                    hit = np.flatnonzero(score > 0)
+                    ids = np.array(some.column(1).to_pylist())
+                    kept.append((hit % n_queries, ids[hit // n_queries], score[hit]))
+                if sum(len(k[0]) for k in kept) > SCORES:
+                    best()
+        if kept:
+            best()
+            yield pa.RecordBatch.from_arrays([pa.array(kept[0][0].astype(np.int64)), pa.array(kept[0][1].tolist(), kind), pa.array(kept[0][2])], names=["q", "id", "score"])
+
+    return run
+
 
 def normalised(pool: DataFrame) -> DataFrame:
     """Scores as shares of the best of the query's whole pool."""

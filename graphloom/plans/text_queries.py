@@ -81,8 +81,15 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", F.lit("document").alias("type"))
     pool = save(_bm25(spark, d, rt.POOL), "pool")
     anchor = pool.where("rank = 1").select("query_id", F.col("id").alias("anchor")).join(docs.select(F.col("id").alias("anchor"), "lang", "source"), "anchor")
-    reached = anchor.select("query_id", "anchor", "source").join(docs.select("id", "source"), "source").select("query_id", "id", F.when(F.col("id") == F.col("anchor"), 1.0).otherwise(0.25).alias("score"))
-    same = anchor.select("query_id", "lang").join(docs.select("id", "lang"), "lang").select("query_id", "id", F.lit(1.0).alias("overlap"))
+    anchor = save(anchor, "anchor")
+    # what only the graph reaches scores alike within a source and a language: the first of these by id are enough behind a pool
+    first = lambda *by: docs.withColumn("n_", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(f"n_ <= {rt.POOL + 10}").select("id", *by)
+    near = anchor.join(first("source", "lang"), ["source", "lang"]).select("query_id", "id")
+    far = anchor.select("query_id", "source").join(first("source"), "source").select("query_id", "id")
+    asked = pool.select("query_id", "id").unionByName(near).unionByName(far).distinct().join(docs.select("id", F.col("lang").alias("l"), F.col("source").alias("s")), "id").join(anchor, "query_id")
+    asked = save(asked, "candidates")
+    reached = asked.where("s = source").select("query_id", "id", F.when(F.col("id") == F.col("anchor"), 1.0).otherwise(0.25).alias("score"))
+    same = asked.where("l = lang").select("query_id", "id", F.lit(1.0).alias("overlap"))
     out = rt.hybrid(rt.normalised(pool), reached, same, docs, 10)
     return out.select("query_id", "id", F.round("semantic", 4).alias("semantic"), "graph", "source", F.round("score", 4).alias("score"), "rank")
 
