@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 # fixed values
 CONDITIONS = ("M0", "M1", "M2", "M3", "M4", "M2C", "M3C")
-CONTRASTS = (("M0", "M1"), ("M1", "M2"), ("M2", "M3"), ("M3", "M4"), ("M2C", "M3"), ("M3C", "M4"), ("M0", "M4"))
+CONTRASTS = (("M0", "M1"), ("M1", "M2"), ("M2", "M3"), ("M3", "M4"), ("M2C", "M3"), ("M3C", "M4"), ("M0", "M3"))
+#: Arms that one invocation makes together: their pairs must share a branch group.
+TOGETHER = (("M3", "M3C"), ("M3", "M4"), ("M3C", "M4"), ("M2C", "M3"))
 PARITY_RANGE = (0.8, 1.25)
+LIST_FALLBACK = 5
 
 
 def metric_means(items: DataFrame, keys: list[str], metrics: Sequence[str]) -> DataFrame:
@@ -55,16 +58,17 @@ def majority(votes: DataFrame, keys: list[str], value: str) -> DataFrame:
     return best.select(*keys, F.col("m.value").alias(value), (-F.col("m.neg")).alias("votes"), "n")
 
 
-def consensus(picks: DataFrame, keys: list[str], sample: str, option: str, theta: float = 0.5) -> DataFrame:
-    """Options with more than theta of the samples' votes, sorted; without any, the one with most votes (the least of equals).
+def consensus(picks: DataFrame, keys: list[str], sample: str, option: str, theta: float = 0.5, fallback: int = 1) -> DataFrame:
+    """Options with more than theta of the samples' votes, sorted; without any, the ``fallback`` ones with most votes (the least of equals first).
 
-    picks(keys, sample, option); a sample without options has one row with a null option.
+    picks(keys, sample, option); a sample without options has one row with a null option.  Letters fall back to 1, lists of findings to LIST_FALLBACK.
     """
     n = picks.groupBy(*keys).agg(F.countDistinct(sample).alias("n_samples"))
     votes = picks.where(F.col(option).isNotNull()).groupBy(*keys, option).agg(F.countDistinct(sample).alias("votes")).join(n, keys)
     need = F.when(F.col("n_samples") > 1, F.floor(F.lit(theta) * F.col("n_samples")) + 1).otherwise(F.lit(1))
-    kept = votes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("votes") >= need, F.col(option)))).alias("kept"), F.min(F.struct((-F.col("votes")).alias("v"), F.col(option).alias("o"))).alias("best"))
-    picked = F.when(F.col("kept").isNull() | (F.size("kept") == 0), F.when(F.col("best.o").isNotNull(), F.array("best.o")).otherwise(F.array().cast("array<string>"))).otherwise(F.col("kept"))
+    kept = votes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("votes") >= need, F.col(option)))).alias("kept"), F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), F.col(option).alias("o")))).alias("best"))
+    most = F.transform(F.slice("best", 1, fallback), lambda b: b["o"])
+    picked = F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.coalesce(most, F.array().cast("array<string>")))
     return n.join(kept, keys, "left").select(*keys, "n_samples", picked.alias("consensus"))
 
 
@@ -87,20 +91,34 @@ def latest(items: DataFrame, keys: list[str], order: str) -> DataFrame:
     return items.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(order)).alias("m_")).select(*keys, "m_.*")
 
 
-def pair_conditions(items: DataFrame, first: str, last: str, metric: str, keys=("model", "case_id"), order: str = "ord") -> DataFrame:
-    """keys, a, b for cases that both conditions have, in which the metric is present, parity holds and group and stratum agree."""
-    side = lambda c, n: latest(items.where(F.col("condition") == c), list(keys), order).select(*keys, F.col(metric).cast("double").alias(n), F.col("parity_error").alias(f"p{n}"), F.col("branch_group").alias(f"g{n}"), F.col("verification_stratum").alias(f"s{n}"))
-    both = side(first, "a").join(side(last, "b"), list(keys))
-    ok = "a is not null and b is not null and coalesce(pa, '') = '' and coalesce(pb, '') = '' and ga <=> gb and sa <=> sb"
-    return both.where(ok).select(*keys, "a", "b")
+def _arms(items: DataFrame, first: str, last: str, metric: Column, keys: list[str], order: str, cluster: Column) -> DataFrame:
+    """keys, a, b, broken, split, stratum, cluster for every case that both conditions have, the latest record of each."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = items.select(*keys, "condition", F.col(order).alias("o_"), metric.cast("double").alias("v"), text("parity_error").alias("p"), text("branch_group").alias("g"), text("verification_stratum").alias("s"), cluster.cast("string").alias("c"))
+    side = lambda condition, n: latest(own.where(F.col("condition") == condition).drop("condition"), keys, "o_").select(*keys, *[F.col(x).alias(f"{x}{n}") for x in "vpgsc"])
+    both = side(first, "a").join(side(last, "b"), keys)
+    split = (F.col("ga") == "") | (F.col("ga") != F.col("gb")) if (first, last) in TOGETHER else F.lit(False)
+    return both.select(*keys, F.col("va").alias("a"), F.col("vb").alias("b"), ((F.col("pa") != "") | (F.col("pb") != "")).alias("broken"), split.alias("split"), F.when(F.col("sb") != "", F.col("sb")).otherwise(F.col("sa")).alias("stratum"), F.coalesce("ca", F.col(keys[-1]).cast("string")).alias("cluster"))
+
+
+def pair_conditions(items: DataFrame, first: str, last: str, metric: str, keys=("model", "case_id"), order: str = "ord", stratum: str | None = None, cluster: str | None = None) -> DataFrame:
+    """keys, a, b, cluster for cases that both conditions have and that can be compared.
+
+    Both have the metric and neither a parity error.  Arms that one invocation makes together need one branch group, and a
+    missing or blank group is none; other arms need no group.  stratum: only cases whose verification (the last arm's, else the
+    first's) came to it.  cluster: a column of the first arm to resample by, the case itself where that is null or blank.
+    """
+    by = F.lit(None) if cluster is None else F.nullif(F.col(cluster).cast("string"), F.lit(""))
+    both = _arms(items, first, last, F.col(metric), list(keys), order, by).where("a is not null and b is not null and not broken and not split")
+    return (both if stratum is None else both.where(F.col("stratum") == stratum)).select(*keys, "a", "b", "cluster")
 
 
 def dropped_pairs(items: DataFrame, first: str, last: str, keys=("model", "case_id"), order: str = "ord") -> DataFrame:
-    """model, n_pairs, n_parity, n_split_group: pairs a contrast can't use."""
-    side = lambda c, n: latest(items.where(F.col("condition") == c), list(keys), order).select(*keys, F.col("parity_error").alias(f"p{n}"), F.col("branch_group").alias(f"g{n}"))
-    both = side(first, "a").join(side(last, "b"), list(keys))
-    parity = F.expr("coalesce(pa, '') <> '' or coalesce(pb, '') <> ''")
-    return both.groupBy(keys[0]).agg(F.count("*").alias("n_pairs"), F.count_if(parity).alias("n_parity"), F.count_if(~parity & ~F.col("ga").eqNullSafe(F.col("gb"))).alias("n_split_group"))
+    """model, n_pairs, n_parity, n_split_group of every model of the items: pairs that a contrast can't use, broken parity before split groups."""
+    both = _arms(items, first, last, F.lit(None), list(keys), order, F.lit(None))
+    counted = both.groupBy(keys[0]).agg(F.count("*").alias("n_pairs"), F.count_if(F.col("broken")).alias("n_parity"), F.count_if(~F.col("broken") & F.col("split")).alias("n_split_group"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pairs", "n_parity", "n_split_group")]
+    return items.select(keys[0]).distinct().join(counted, keys[0], "left").select(keys[0], *zero)
 
 
 def parity_table(items: DataFrame, control: str, arm: str, calls: str = "n_llm_calls", tokens: str = "total_tokens") -> DataFrame:
@@ -117,7 +135,7 @@ def contrast_pairs(items: DataFrame, contrasts: Sequence[tuple[str, str]], metri
     """contrast, model, case_id, a, b for all contrasts at once."""
     out = None
     for first, last in contrasts:
-        part = pair_conditions(items, first, last, metric).withColumn("contrast", F.lit(f"{first}->{last}"))
+        part = pair_conditions(items, first, last, metric).drop("cluster").withColumn("contrast", F.lit(f"{first}->{last}"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -136,11 +154,18 @@ def quota_table(counts: list[tuple[str, int]], limit: int) -> dict[str, int]:
 
 
 def stratified_quota(df: DataFrame, stratum: str, order: str, limit: int) -> DataFrame:
-    """The first rows of each stratum up to its quota, in all ``limit`` rows.  Only the strata's counts come to the driver."""
-    quotas = quota_table([(r[0], r[1]) for r in df.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit(""))).count().collect()], limit)
+    """The first rows of each stratum up to its quota, in all ``limit`` rows.
+
+    Null, empty, zero and false strata are one, "unknown", as they are for quotas.  Only the strata's counts come to the driver.
+    """
+    name, rank = "stratum_", "rn_"
+    plain = df.schema[stratum].dataType.simpleString() == "string"
+    label = F.coalesce(F.nullif(F.col(stratum), F.lit("")), F.lit("unknown")) if plain else label_or_unknown(F.col(stratum))
+    named = df.withColumn(name, label)
+    quotas = quota_table([(r[0], r[1]) for r in named.groupBy(name).count().collect()], limit)
     known = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]) if quotas else F.create_map(F.lit(""), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
-    return df.withColumn("rn_", rank).where(F.col("rn_") <= known[F.coalesce(F.col(stratum).cast("string"), F.lit(""))]).drop("rn_")
+    ranked = named.withColumn(rank, F.row_number().over(Window.partitionBy(name).orderBy(order)))
+    return ranked.where(F.col(rank) <= limit).where(F.col(rank) <= known[F.col(name)]).drop(name, rank)
 
 
 def unique_ids(df: DataFrame, id_col: str, order: str) -> DataFrame:

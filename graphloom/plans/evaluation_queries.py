@@ -171,26 +171,40 @@ def unique_id_suffix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    runs = _runs(spark, d).withColumn("parity_error", F.lit(None).cast("string"))
-    return runs.select(F.lit("m").alias("model"), "case_id", "condition", F.when(F.col("score") > 5, F.col("score")).alias("score"), F.when(F.col("n_llm_calls") > 40, "broken").alias("parity_error"), F.lit("g").alias("branch_group"), F.when(F.col("n_llm_calls") % 3 == 0, "audit_only").otherwise("deterministic").alias("verification_stratum"), F.lit(0).alias("ord"), "n_llm_calls", (F.col("n_llm_calls") * 10).alias("total_tokens"))
+    """Two models; some parity errors, groups that are null, blank or differ between the arms, strata of one arm only."""
+    n = F.col("n_llm_calls")
+    group = F.when(n % 5 == 0, F.lit(None)).when(n % 7 == 0, "").otherwise(F.concat(F.lit("g"), (F.col("case_id") % 3 + ((F.col("condition") == "M3") & (n % 4 == 0)).cast("int")).cast("string")))
+    stratum = F.when(n % 3 == 0, "audit_only").when(n % 3 == 1, "deterministic")
+    return _runs(spark, d).select(F.concat(F.lit("m"), (F.col("case_id") % 2).cast("string")).alias("model"), "case_id", "condition", F.when(F.col("score") > 5, F.col("score")).alias("score"), F.when(n > 40, "broken").when(n % 2 == 0, "").alias("parity_error"), group.alias("branch_group"), stratum.alias("verification_stratum"), F.lit(0).alias("ord"), n, (n * 10).alias("total_tokens"))
 
 
-_ITEMS = f"{_RUNS}, items as (select case_id, condition, case when score > 5 then score end as score, n_llm_calls, n_llm_calls > 40 as broken, n_llm_calls % 3 = 0 as s from runs)"
+_ITEMS = f"""{_RUNS}, items as (select 'm' || (case_id % 2) as model, case_id, condition, case when score > 5 then score end as score, n_llm_calls, n_llm_calls > 40 as broken,
+  case when n_llm_calls % 5 = 0 then null when n_llm_calls % 7 = 0 then '' else 'g' || (case_id % 3 + (condition = 'M3' and n_llm_calls % 4 = 0)::int) end as grp,
+  case n_llm_calls % 3 when 0 then 'audit_only' when 1 then 'deterministic' end as stratum from runs),
+pairs as (select a.condition || '->' || b.condition as contrast, a.model, a.case_id, a.score as a, b.score as b, a.broken or b.broken as broken, coalesce(b.stratum, a.stratum) as stratum,
+  (a.condition, b.condition) in (('M3', 'M3C'), ('M3', 'M4'), ('M3C', 'M4'), ('M2C', 'M3')) and (coalesce(a.grp, '') = '' or a.grp is distinct from b.grp) as split from items a join items b on a.model = b.model and a.case_id = b.case_id)"""
+_CONTRASTS = (("M2C", "M3"), ("M3C", "M4"), ("M3", "M4"), ("M2C", "M4"))
 
 
-@query(f"""with {_ITEMS} select 'M2C->M3' as contrast, 'm' as model, a.case_id, round(a.score, 6) as a, round(b.score, 6) as b from items a join items b using (case_id) where a.condition = 'M2C' and b.condition = 'M3' and a.score is not null and b.score is not null and not a.broken and not b.broken and a.s = b.s
-union all select 'M3C->M4', 'm', a.case_id, round(a.score, 6), round(b.score, 6) from items a join items b using (case_id) where a.condition = 'M3C' and b.condition = 'M4' and a.score is not null and b.score is not null and not a.broken and not b.broken and a.s = b.s""")
+@query(f"""with {_ITEMS} select contrast, model, case_id, round(a, 6) as a, round(b, 6) as b from pairs
+where contrast in ('M2C->M3', 'M3C->M4', 'M3->M4', 'M2C->M4') and a is not null and b is not null and not broken and not split""")
 def contrast_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _r(ev.contrast_pairs(_items(spark, d), (("M2C", "M3"), ("M3C", "M4")), "score"), "a", "b")
+    return _r(ev.contrast_pairs(_items(spark, d), _CONTRASTS, "score"), "a", "b")
 
 
-@query(f"""with {_ITEMS} select 'm' as model, count(*) as n_pairs, count(*) filter (a.broken or b.broken) as n_parity, 0::bigint as n_split_group from items a join items b using (case_id) where a.condition = 'M2C' and b.condition = 'M3'""")
+@query(f"""with {_ITEMS} select model, case_id, round(a, 6) as a, round(b, 6) as b from pairs where contrast = 'M3C->M4' and a is not null and b is not null and not broken and not split and stratum = 'deterministic'""")
+def stratum_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _r(ev.pair_conditions(_items(spark, d), "M3C", "M4", "score", stratum="deterministic").drop("cluster"), "a", "b")
+
+
+@query(f"""with {_ITEMS}, p as (select * from pairs where contrast = 'M2C->M3')
+select m.model, count(p.case_id) as n_pairs, count(*) filter (broken) as n_parity, count(*) filter (not broken and split) as n_split_group from (select distinct model from items) m left join p using (model) group by m.model""")
 def dropped_pairs(spark: SparkSession, d: str) -> DataFrame:
     return ev.dropped_pairs(_items(spark, d), "M2C", "M3")
 
 
-@query(f"""with {_ITEMS}, g as (select avg(n_llm_calls) filter (condition = 'M2C') as c, avg(n_llm_calls) filter (condition = 'M3') as a, count(*) filter (broken) as k from items where condition in ('M2C', 'M3'))
-select 'm' as model, round(c, 6) as control_calls, round(a, 6) as arm_calls, round(10 * c, 6) as control_tokens, round(10 * a, 6) as arm_tokens, k as breaks, round(c / a, 6) as call_ratio, round(c / a, 6) as token_ratio, case when k = 0 and c / a between 0.8 and 1.25 then 'ok' else 'check' end as verdict from g""")
+@query(f"""with {_ITEMS}, g as (select model, avg(n_llm_calls) filter (condition = 'M2C') as c, avg(n_llm_calls) filter (condition = 'M3') as a, count(*) filter (broken) as k from items where condition in ('M2C', 'M3') group by model)
+select model, round(c, 6) as control_calls, round(a, 6) as arm_calls, round(10 * c, 6) as control_tokens, round(10 * a, 6) as arm_tokens, k as breaks, round(c / a, 6) as call_ratio, round(c / a, 6) as token_ratio, case when k = 0 and c / a between 0.8 and 1.25 then 'ok' else 'check' end as verdict from g""")
 def parity_table(spark: SparkSession, d: str) -> DataFrame:
     return _r(ev.parity_table(_items(spark, d), "M2C", "M3"), "control_calls", "arm_calls", "control_tokens", "arm_tokens", "call_ratio", "token_ratio")
 
@@ -242,8 +256,8 @@ def spearman_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return _r(st.spearman(_labelled(spark, d).where("quality is not null"), ["lang"], "n_chars", "quality"), "r")
 
 
-#: Draws of the SQL below; the queries draw statistics.RESAMPLES.
-REPS = 400
+#: Draws of the SQL below.
+REPS = st.RESAMPLES
 
 
 def _boot(unit: str, groups: str, slot: str = "s") -> str:
@@ -380,7 +394,7 @@ def discriminable_stages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with g as (select n_nationkey as item, n_name as value, n_regionkey from nation), w as (select g.item, b.n_name as value from g join nation b on b.n_regionkey <> g.n_regionkey),
 d as (select item, value, row_number() over (partition by item order by md5('20260829:' || item || ':' || value), value) as k from w),
-e as (select item, value, true as is_gold from g union all select item, value, false from d where k <= 3)
+e as (select item, value, true as is_gold from g union all select item, value, false from d where k <= 5)
 select item, chr((64 + row_number() over (partition by item order by md5('20260830:' || item || ':' || value), value))::int) as letter, value, is_gold from e""")
 def option_sets(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
