@@ -9,6 +9,7 @@ from ..functions import scores as sc
 from ..functions import text as tx
 from ..operators import benchmark as bm
 from ..operators import evaluation as ev
+from ..operators import reports as rp
 from ..operators import rules
 from ..operators import statistics as st
 from ..operators import traces as tr
@@ -415,3 +416,52 @@ def invariant_violations(spark: SparkSession, d: str) -> DataFrame:
 @query("""select p_partkey, ('0x' || substr(md5('20260829:' || p_partkey), 1, 8))::bigint % 100 < 25 as kept from part""")
 def seeded_cap(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", bm.under_cap(F.col("p_partkey")).alias("kept"))
+
+
+# ---- report tables ------------------------------------------------------------------------------------------------
+
+_MEANS = f"""{_ITEMS}, audited as (select *, case case_id % 4 when 0 then 'likely' when 1 then 'clean' when 2 then 'clean' end as audit from pairs join (select distinct model as m2, case_id as c2 from items) on m2 = model and c2 = case_id),
+usable as (select * from audited where contrast in ('M2C->M3', 'M3C->M4') and a is not null and b is not null and not broken and not split)"""
+
+
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    audit = F.when(F.col("case_id") % 4 == 0, "likely").when((F.col("case_id") % 4).isin(1, 2), "clean")
+    return _items(spark, d).withColumn("contamination_stratum", audit)
+
+
+@query(f"""with {_MEANS}, f as (select model, contrast, count(*) as n, avg(b) - avg(a) as delta from usable group by all), c as (select model, contrast, count(*) as n_clean, avg(b) - avg(a) as delta_clean from usable where audit = 'clean' group by all)
+select model, contrast, n, round(delta, 6) as delta, coalesce(n_clean, 0) as n_clean, round(delta_clean, 6) as delta_clean, round(delta_clean - delta, 6) as shift from f left join c using (model, contrast)""")
+def contamination_table(spark: SparkSession, d: str) -> DataFrame:
+    return _r(rp.contamination_table(_audited(spark, d), "score", contrasts=(("M2C", "M3"), ("M3C", "M4"))), "delta", "delta_clean", "shift")
+
+
+@query(f"""with {_RUNS}, s as (select distinct case_id, case case_id % 4 when 0 then 'likely' when 3 then 'unaudited' else 'clean' end as stratum from runs) select stratum, count(*) as n_cases from s group by stratum""")
+def case_strata(spark: SparkSession, d: str) -> DataFrame:
+    return rp.case_strata(_audited(spark, d))
+
+
+@query(f"""with {_ITEMS}, m as (select model, count(*) as n, avg(a) as mean_a, avg(b) as mean_b, avg(b) - avg(a) as delta from pairs where contrast = 'M2C->M4' and a is not null and b is not null and not broken group by model)
+select model, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(delta, 6) as delta from m""")
+def compensation_table(spark: SparkSession, d: str) -> DataFrame:
+    return _r(rp.compensation_table(_items(spark, d), "score", "M2C", "M4"), "mean_a", "mean_b", "delta")
+
+
+@query(f"""with {_ITEMS}, v as (select model, coalesce(stratum, '') as stratum, count(*) as n, avg(a) as mean_a, avg(b) as mean_b from pairs where contrast = 'M3C->M4' and a is not null and b is not null and not broken and not split and stratum in ('deterministic', 'audit_only', 'not_applicable') group by all)
+select model, stratum, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(mean_b - mean_a, 6) as delta from v""")
+def verification_strata(spark: SparkSession, d: str) -> DataFrame:
+    return _r(rp.verification_stratum_table(_items(spark, d), "score").select("model", "stratum", "n", "mean_a", "mean_b", "delta"), "mean_a", "mean_b", "delta")
+
+
+@query(f"""with {_L}, p as (select lang as model, doc_id, toxic::double as a, quality::double as b from x where quality is not null),
+g as (select model, count(*) as n, avg(a) as mean_a, avg(b) as mean_b, count(*) filter (a = 0 and b = 1) as w, count(*) filter (a = 1 and b = 0) as l from p group by model),
+k as (select *, unnest(range(0, least(w, l) + 1)) as i from g),
+t as (select model, case when max(w + l) = 0 then 1.0::double else least(1.0::double, 2 * sum(exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2)))) end as p from k group by model),
+h as (select *, round(least(1.0::double, (count(*) over () - row_number() over (order by p, model) + 1) * p), 9) as step from t)
+select g.model, 'M0->M1' as contrast, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(mean_b - mean_a, 6) as delta, 'mcnemar' as test, round(p + 1e-9, 5) as p_value, round(max(step) over (order by p, g.model rows unbounded preceding) + 1e-9, 5) as p_holm from g join h using (model)""")
+def contrast_table(spark: SparkSession, d: str) -> DataFrame:
+    x = _labelled(spark, d).where("quality is not null")
+    none = [F.lit(None).cast("string").alias(c) for c in ("parity_error", "branch_group", "verification_stratum")]
+    arm = lambda c, v: x.select(F.col("lang").alias("model"), F.lit(c).alias("condition"), F.col("doc_id").alias("case_id"), F.lit(0).alias("ord"), F.col(v).cast("double").alias("score"), *none)
+    out = rp.contrast_table(arm("M0", "toxic").unionByName(arm("M1", "quality")), "score")
+    near = lambda c: F.round(F.col(c) + 1e-9, 5).alias(c)
+    return _r(out.select("model", "contrast", "n", "mean_a", "mean_b", "delta", "test", near("p_value"), near("p_holm")), "mean_a", "mean_b", "delta")
