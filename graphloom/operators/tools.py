@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import graph as gr
-from . import rules
+from . import ontology, rules
+from . import retrieval as rt
 from .ontology import values_frame
 
 # ---- fixed values -------------------------------------------------------------------------------------------------
@@ -43,6 +44,17 @@ TREATMENTS = (("TREATED_BY_PRINCIPLE", "treatment_principles"), ("USES_FORMULA",
 CONSTRAINTS = ("CONTRAINDICATED_FOR", "CAUTION_FOR")
 STAGE_FIELDS = ("entry_criteria", "exit_criteria", "monitoring_items", "outcome_indicators", "day_actions", "nursing_items")
 MIN_NAME_SIMILARITY = 0.5
+#: Attributes of a type that are searched, beside name, first sentence, pharmacopoeia entry, aliases and evidence.
+SEARCHED = {
+    "Disease": ("full_name", "tcm_name", "western_name"),
+    "DiseaseSubtype": ("disease",),
+    "SafetyContext": ("disease",),
+    "PharmacoPoeiaEntry": ("part_used", "nature_taste_meridian", "pharmacopoeial_functions"),
+    "DocumentSource": ("title", "doc_type", "department", "version_label", "institution_attribution"),
+    "PathwayStage": ("disease", "variant", "entry_criteria", "exit_criteria", "monitoring_items", "outcome_indicators"),
+}
+ENTRY_FIELDS = ("canonical_name", "part_used", "nature_taste_meridian", "pharmacopoeial_functions")
+TOP_K, MOST_HITS, BLOCK_ENTITIES, HOPS, DECAY = 8, 20, 8, 2, 0.5
 # -------------------------------------------------------------------------------------------------------------------
 
 
@@ -63,12 +75,28 @@ def _listed(df: DataFrame, keys: list[str], name: str, *fields: str, order: str
     return first.groupBy(*keys).agg((rows if most is None else F.slice(rows, 1, most)).alias(name))
 
 
+def text_pieces(nodes: DataFrame, edges: DataFrame, with_evidence: bool = True) -> DataFrame:
+    """id, ord, piece: what is searched of a node, in order: names, attributes of its type, first sentence, entry, aliases, evidence of its edges."""
+    get = lambda path: F.get_json_object("attrs", f"$.{path}")
+    many = lambda path: F.coalesce(F.from_json(get(path), "array<string>"), F.array(get(path)))
+    own = [F.array("name"), F.array(F.when(F.col("type") == "Herb", tx.herb_base(F.col("name"))))]
+    own += [F.when(F.col("type") == kind, many(f)) for kind, fields in SEARCHED.items() for f in fields]
+    own += [F.array(F.col("first_mention.sentence")), *[F.array(get(f"pharmacopoeia_entry.{f}")) for f in ENTRY_FIELDS], many("pharmacopoeia_entry.common_aliases"), many("common_aliases")]
+    every = F.array_compact(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in own]))
+    pieces = nodes.select("id", F.posexplode(every).alias("pos", "piece")).select("id", F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "pos").alias("ord"), "piece")
+    if with_evidence:
+        for way, end in ((1, "source"), (2, "target")):
+            said = edges.select(F.col(end).alias("id"), F.col("ord").alias("b"), F.posexplode(gr.evidence_sentences(F.col("evidence"))).alias("pos", "piece"))
+            pieces = pieces.unionByName(said.select("id", F.struct(F.lit(way).cast("long").alias("a"), F.col("b").cast("long").alias("b"), "pos").alias("ord"), "piece"))
+    return pieces
+
+
 class Tools:
     """nodes(id, type, name, source_docs, first_mention, attrs as JSON, ord) and edges as read_node_link() gives them; names and clusters are made once."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, names: DataFrame | None = None, roots: DataFrame | None = None, pool: DataFrame | None = None):
         """pool(key, id, rank): lexical hits for folded names that no node bears, where a search has been run for them."""
-        self.nodes, self.edges, self.pool = nodes, edges, pool
+        self.nodes, self.edges, self.pool, self._indexes = nodes, edges, pool, {}
         based = nodes.withColumn("base_name", F.when(F.col("type") == "Herb", tx.herb_base(F.col("name"))))
         self.names = names if names is not None else gr.save(gr.names_table(based, tx.fold_text), "names")
         self.roots = roots if roots is not None else gr.clusters(edges, nodes, F.col("name"))
@@ -123,6 +151,64 @@ class Tools:
         filled = out.select("call_id", *kept)
         return filled.select("call_id", coverage.alias("coverage"), *[f.name for f in arrays])
 
+    # ---- search ---------------------------------------------------------------------------------------------------
+
+    def index(self, domain: str, verification: bool = False) -> rt.Bm25Index:
+        """The index of the types that a domain may see: statistics are of these alone, so hidden types leave no trace in scores."""
+        key = (domain, verification)
+        if key not in self._indexes:
+            visible = ontology.visible(self.nodes, domain, verification)
+            docs = gr.save(rt.virtual_documents(text_pieces(visible, self.edges)), "virtual-documents")
+            self._indexes[key] = rt.Bm25Index(docs, lambda t: tx.char_ngrams(t, (1, 2, 3)))
+        return self._indexes[key]
+
+    def search_tcm_entities(self, calls: DataFrame, domain: str) -> DataFrame:
+        """calls(call_id, query, entity_types, anchors, top_k): the best nodes by text, nearness to the anchors and documents shared with them.
+
+        Asked types that the domain doesn't show leave a call without any type: not_covered, with an error.  No types: all that it shows.
+        """
+        shown = F.array(*[F.lit(t) for t in ontology.visible_types(domain)])
+        asked = F.size(F.coalesce("entity_types", F.array().cast("array<string>"))) > 0
+        c = calls.select("call_id", F.trim("query").alias("query"), F.when(asked, F.array_intersect("entity_types", shown)).otherwise(shown).alias("types"), F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"), F.greatest(F.lit(1), F.least(F.lit(MOST_HITS), F.coalesce(F.nullif("top_k", F.lit(0)), F.lit(TOP_K)))).alias("k"))
+        pool = rt.normalised(gr.save(self.index(domain).search(c.where("size(types) > 0"), lambda t: tx.char_ngrams(t, (1, 2, 3)), query_id="call_id", text_col="query"), "pool"))
+        anchors = c.select(F.col("call_id").alias("query_id"), F.explode("anchors").alias("seed"))
+        near = gr.expand(anchors.select("seed").distinct(), self.edges, self.nodes, HOPS, DECAY, allowed=ontology.visible_types(domain))
+        reached = anchors.join(near.select("seed", "id", "score"), "seed").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        docs = anchors.join(gr.documents_of(self.nodes).withColumnRenamed("id", "seed"), "seed").select("query_id", "doc")
+        overlap = gr.document_overlap(docs, gr.documents_of(self.nodes).select("doc", "id").distinct())
+        known = self.nodes.select("id", "type")
+        ranked = rt.hybrid(pool, reached, overlap, known.join(ontology.visible(self.nodes, domain).select("id"), "id", "left_semi"), 10**6)
+        fit = ranked.withColumnRenamed("query_id", "call_id").join(self.brief, "id").join(c.select("call_id", "types", "k"), "call_id").where(F.array_contains("types", F.col("type")))
+        best = fit.withColumn("ord", F.row_number().over(gr.Window.partitionBy("call_id").orderBy("rank"))).where("ord <= k")
+        refused = c.select("call_id", F.when(F.size("types") == 0, "no asked type is visible in this domain").alias("error"))
+        out = self._answer(calls, F.lit("empty"), _listed(best, ["call_id"], "results", "id", "type", "name", "score", "semantic", "graph", "source"), refused)
+        return out.withColumn("coverage", F.when(F.col("error").isNotNull(), "not_covered").when(F.size("results") > 0, "supported").otherwise("empty"))
+
+    def look_up_options(self, cases: DataFrame) -> DataFrame:
+        """call_id, options(letter, name, found, id, diseases) for cases(call_id, options as a map): every option, found or not, by its name or its canonical one."""
+        options = cases.select("call_id", F.explode("options").alias("letter", "name"))
+        asked = options.select(F.concat_ws("\x1f", F.col("call_id").cast("string"), "letter").alias("q"), "call_id", "letter", F.trim("name").alias("name"))
+        first = lambda name: self.resolve(asked.select("q", name.alias("name")), ("Syndrome",)).where("rank = 1").select("q", "id")
+        plain, canonical = first(F.col("name")), first(tx.canonical_syndrome(F.col("name"))).withColumnRenamed("id", "other")
+        found = asked.join(plain, "q", "left").join(canonical, "q", "left").select("call_id", "letter", "name", F.coalesce("id", "other").alias("id"))
+        above = self.step(found.where("id is not null"), ("HAS_SYNDROME", "SUBTYPE_HAS_SYNDROME"), out=False).select("id", F.col("name").alias("disease"), "ord")
+        named = _listed(above, ["id"], "d_", "disease", most=4).select("id", F.transform("d_", lambda d: d["disease"]).alias("diseases"))
+        rows = found.join(named, "id", "left").select("call_id", "letter", "name", F.col("id").isNotNull().alias("found"), "id", "diseases", F.col("letter").alias("ord"))
+        return _listed(rows, ["call_id"], "options", "letter", "name", "found", "id", "diseases")
+
+    def static_context(self, cases: DataFrame, domain: str = "clinical_reasoning", most: int = BLOCK_ENTITIES) -> DataFrame:
+        """call_id, anchors, syndromes, options of cases(call_id, text, options): the likeliest diseases with their syndromes, syndromes like the text, and the options' look-up."""
+        c = cases.select("call_id", tx.clinical_query(F.col("text")).alias("query"), "options")
+        none = lambda kind: F.lit(None).cast(kind)
+        ask = lambda types, anchors, k, df: self.search_tcm_entities(df.select("call_id", "query", F.array(*[F.lit(t) for t in types]).alias("entity_types"), anchors.alias("anchors"), F.lit(k).alias("top_k")), domain)
+        ill = gr.save(ask(("Disease", "DiseaseSubtype"), none("array<string>"), 3, c).select("call_id", "results"), "anchors")
+        ids = F.transform("results", lambda r: r["id"])
+        like = ask(("Syndrome",), F.col("ids"), most, c.join(ill.select("call_id", ids.alias("ids")), "call_id")).select("call_id", F.col("results").alias("syndromes"))
+        anchors = ill.select("call_id", F.posexplode("results").alias("ord", "r")).select("call_id", F.col("ord").cast("long").alias("ord"), F.col("r.id").alias("disease"), F.col("r.name").alias("name"), F.round("r.score", 3).alias("score"))
+        below = gr.leaves_of(self.contexts()).join(self.brief.select(F.col("id").alias("leaf"), F.col("name").alias("syndrome")), "leaf").groupBy(F.col("top").alias("disease")).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "syndrome"))), lambda x: x["syndrome"]), 1, most).alias("candidates"))
+        listed = _listed(anchors.join(below, "disease", "left"), ["call_id"], "anchors", "disease", "name", "score", "candidates")
+        return c.select("call_id", "query").join(listed, "call_id", "left").join(like, "call_id", "left").join(self.look_up_options(c), "call_id", "left")
+
     # ---- facts ----------------------------------------------------------------------------------------------------
 
     def members(self, ids: DataFrame) -> DataFrame:

@@ -139,3 +139,29 @@ def test_plans(spark, box):
     a, b, c = ask(spark, box.retrieve_treatment_plan, "syndrome string, disease string", ("心虚胆怯证", "心悸（心律失常）"), ("气阴两虚证", "消渴病肾病"), ("无据证", "消渴病肾病"))
     assert {t.other for t in a.disease_specific} == {"p1", "f1"} and {t.other for t in a.cross_disease_general} == {"f2", "m1", "x1"}
     assert (a.coverage, b.coverage, c.coverage) == ("supported", "partially_supported", "empty")
+
+
+def test_search_sees_only_its_domain(spark, box):
+    calls = spark.createDataFrame([(0, "心悸 善惊易恐", ["Syndrome"], None, None), (1, "安神定志丸", ["Formula"], None, None), (2, "心悸", None, ["ds"], 3), (3, "zzz", None, None, None)], "call_id int, query string, entity_types array<string>, anchors array<string>, top_k int")
+    got = {r.call_id: r for r in box.search_tcm_entities(calls, "clinical_reasoning").collect()}
+    assert got[0].coverage == "supported" and got[0].results[0].id == "s1" and {x.type for x in got[0].results} == {"Syndrome"}
+    assert got[1].coverage == "not_covered" and got[1].error and got[1].results == []
+    assert got[2].results[0].id == "ds" and got[2].results[0].graph == 1.0 and len(got[2].results) == 3
+    assert got[3].coverage == "empty"
+    assert {r.call_id: r for r in box.search_tcm_entities(calls, "prescription_safety").collect()}[1].results[0].id == "f1"
+
+
+def test_virtual_documents_hold_names_attributes_and_evidence(box):
+    from graphloom.operators import retrieval
+
+    text = {r.id: r.text for r in retrieval.virtual_documents(tools.text_pieces(box.nodes, box.edges)).collect()}
+    assert text["ds"].startswith("心悸（心律失常） 心悸") and "坐卧不安" in text["s1"] and "善惊易恐" in text["s1"]
+    assert text["h1"].count("石膏（先煎）") == 1 and "辛、甘，大寒" in text["h1"] and "心率恢复正常" in text["g1"]
+
+
+def test_static_context(spark, box):
+    cases = spark.createDataFrame([(0, "患者心悸，善惊易恐", {"A": "心虚胆怯证", "B": "①痰火扰心证", "C": "杜撰证"})], "call_id int, text string, options map<string,string>")
+    (r,) = box.static_context(cases).collect()
+    assert r.anchors[0].disease == "ds" and "心虚胆怯证" in r.anchors[0].candidates and "痰火扰心证" in r.anchors[0].candidates
+    assert r.syndromes[0].id == "s1" and [(o.letter, o.found, o.id) for o in r.options] == [("A", True, "s1"), ("B", True, "s3"), ("C", False, None)]
+    assert r.options[0].diseases == ["心悸（心律失常）"]
