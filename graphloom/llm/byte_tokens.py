@@ -19,7 +19,7 @@ import pyarrow as pa
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Most bytes of remembered pieces per worker, at some PIECE_BYTES each; beyond, the half that was met least is forgotten.
-MEMORY_BYTES, PIECE_BYTES = 128 << 20, 440
+MEMORY_BYTES, PIECE_BYTES = 112 << 20, 270
 #: Bytes of text that are cut into pieces at once.
 BATCH_BYTES = 4 << 20
 #: Longest string handed to the library at once if it can be cut; longer ones take memory many times their size.
@@ -157,23 +157,23 @@ class ByteTokens:
             numbers = self._numbers(pieces.dictionary.to_pylist())
             indices = pieces.indices.to_numpy(zero_copy_only=False)
             which = numbers[indices]
-            # empty texts have no piece; a text that begins with white space has an unsafe end
-            own = np.searchsorted(offsets, cuts[:-1], "right") - 1
             memory = self._memory
             memory.met[numbers] += np.bincount(indices, minlength=len(numbers))
             n_ids = memory.length[which]
-            whole[own[n_ids < 0]] = True
-            starts = offsets[:-1][lengths > 0]
-            led = (data[starts] == 32) | (data[starts] == 10)
-            whole[np.flatnonzero(lengths > 0)[led]] = True
-            n_ids[whole[own]] = 0
-            total = int(n_ids.sum())
-            ends = np.cumsum(n_ids)
-            gather = np.repeat(memory.start[which] - (ends - n_ids), n_ids)
-            gather += np.arange(total)
+            # where each text's pieces begin: empty texts have none
+            first = np.searchsorted(cuts, offsets)
+            filled = lengths > 0
+            led = (data[offsets[:-1][filled]] == 32) | (data[offsets[:-1][filled]] == 10)
+            whole[np.flatnonzero(filled)[led]] = True  # white space at a text's start, and pieces that are unsafe
+            whole[np.searchsorted(first, np.flatnonzero(n_ids < 0), "right") - 1] = True
+            for i in np.flatnonzero(whole).tolist():
+                n_ids[first[i] : first[i + 1]] = 0
+            ends = np.r_[0, np.cumsum(n_ids)]
+            gather = np.repeat(memory.start[which] - ends[:-1], n_ids)
+            gather += np.arange(ends[-1])
             ids = memory.ids[gather]
             del gather
-            per_text = np.bincount(own, weights=n_ids, minlength=len(lengths)).astype(np.int64)
+            per_text = np.diff(ends[first])
             memory.shrink()
         else:
             ids, per_text = np.zeros(0, np.uint32), np.zeros(len(lengths), np.int64)

@@ -194,7 +194,7 @@ def test_odd_texts_in_batches_equal_the_library(plain):
     rng = np.random.default_rng(5)
     parts = ["a", "Zed", "don't", "é", "ñu", "12", "3a", ".", ",", "|", "<", ">", "'s", "-", "()", "\"", " ", " ", " ", "  ", "\n", "\n", "\t", " ", "　", "​", "中", "😀", "<|endoftext|>", "endoftext|", "x|>", "_"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(4000)] + [None, ""]
-    tokens = ByteTokens(memory_bytes=440 * 300)
+    tokens = ByteTokens(memory_bytes=270 * 300)
     for _ in range(2):
         for first, ids, ends in tokens.batches(pa.array(texts[7:] + texts[:7]).slice(0, 3000), 2):
             for i in range(len(ends) - 1):
