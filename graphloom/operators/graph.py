@@ -210,8 +210,3 @@ def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = df.select(row.alias("h"))
     parts = rows.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("content_hash"), F.sum("n").alias("n_rows"))
-
-
-def case_set_hash(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
-    """One row: sha256 over the ids in order, parted by zero bytes."""
-    return df.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(id_col).cast("string").alias("i")))), lambda x: x["i"]), "\0"), 256).alias("case_set_hash"), F.count("*").alias("n_cases"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import provenance as pv
 from ..operators import ontology, rules
 from .views import EDGES_SQL, NODES_SQL, edges, nodes, table
 
@@ -194,9 +195,9 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return g.content_hash(table(spark, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
 
 
-@query("select sha256(string_agg(item_id, chr(0) order by item_id)) as case_set_hash, count(*) as n_cases from benchmark")
+@query("select sha256(string_agg(item_id || chr(0), '' order by item_id)) as case_set_hash, count(*) as n_cases from benchmark")
 def case_set_hash(spark: SparkSession, d: str) -> DataFrame:
-    return g.case_set_hash(table(spark, d, "benchmark"), "item_id", "item_id")
+    return pv.case_set_hash(table(spark, d, "benchmark"), "item_id", "item_id")
 
 
 @query("select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts, event_id) = 1")

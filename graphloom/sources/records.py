@@ -38,6 +38,21 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").json(path)
 
 
+SCORE = "case_id string, dataset string, condition string, model_key string, sample int, metrics map<string,double>, trace_metrics map<string,string>"
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Scored items as the report tables take them: model, ord (place in the files), one column for parity, group and stratum, and the maps; broken lines are an error."""
+    lines = spark.read.schema(SCORE).option("mode", "FAILFAST").json(path)
+    part = lambda k: F.try_element_at("trace_metrics", F.lit(k)).alias(k)
+    return lines.select("case_id", "dataset", "condition", F.col("model_key").alias("model"), "sample", "metrics", "trace_metrics", part("parity_error"), part("branch_group"), part("verification_stratum"), F.monotonically_increasing_id().alias("ord"))
+
+
+def with_metrics(scores: DataFrame, names: list[str]) -> DataFrame:
+    """scores with a column for each metric."""
+    return scores.select("*", *[F.try_element_at("metrics", F.lit(n)).alias(n) for n in names])
+
+
 def submission_lines(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     """value: id@t1@t2@t3@t4 for every case in order, blank parts where there is no prediction."""
     joined = cases.select("id", "ord").join(predictions, "id", "left")
