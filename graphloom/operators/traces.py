@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_enough
+
+#: Tool specifications that may be broadcast.
+MOST_SPECS = 10_000
 # fixed values
 BUDGET_TOTAL, BUDGET_PER_TOOL, RESULT_CHARS = 12, 4, 4000
 GROUPED = ("M3", "M3C", "M4", "M2C")
@@ -60,7 +64,8 @@ def gate(calls: DataFrame, specs: DataFrame, domain: str, phase: str) -> DataFra
 
     specs(tool, domains, phases, required); calls(tool, arguments as a map).
     """
-    joined = calls.join(F.broadcast(specs.withColumn("known_", F.lit(True))), "tool", "left")
+    known = specs.withColumn("known_", F.lit(True))
+    joined = calls.join(F.broadcast(known) if small_enough(specs, MOST_SPECS) else known, "tool", "left")
     blank = lambda v: v.isNull() | v.isin("", "[]", "{}", "null")
     missing = F.filter("required", lambda r: blank(F.try_element_at(F.col("arguments"), r)))
     why = F.when(F.col("known_").isNull(), "unknown_tool").when(~F.array_contains("domains", domain), "domain").when(~F.array_contains("phases", phase), "phase").when(F.size(missing) > 0, "missing_arguments")

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import drop_dangling
+from ..session import small_enough
 
 # fixed values
 JSON_ATTRIBUTES = ("source_docs", "first_mention", "pharmacopoeia_entry", "evidence", "common_aliases", "entry_criteria", "exit_criteria", "monitoring_items", "outcome_indicators", "day_actions", "nursing_items")
 
+#: Keys of a GraphML file that may be broadcast; more meet the data in a shuffled join.
+MOST_KEYS = 10_000
 _NODE_FIELDS = "id string, type string, name string, title string, doc_id string, source_docs array<string>, first_mention struct<doc_id:string,sentence:string>"
 
 
@@ -47,13 +50,12 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
     keys = xml("key", "_id string, `_attr.name` string").select(F.col("_id").alias("k"), F.coalesce(F.col("`_attr.name`"), F.col("_id")).alias("field"))
-    if keys.limit(10_001).count() > 10_000:
-        raise ValueError("a GraphML file of more than 10,000 keys")
+    few = F.broadcast(keys) if small_enough(keys, MOST_KEYS) else keys
 
     def attributes(df: DataFrame, ids: list[Column]) -> DataFrame:
         numbered = df.withColumn("ord", F.monotonically_increasing_id())
         flat = numbered.select("ord", *ids, F.explode_outer("data").alias("d"))
-        named = flat.join(F.broadcast(keys), F.col("d._key") == F.col("k"), "left")
+        named = flat.join(few, F.col("d._key") == F.col("k"), "left")
         cols = [c for c in flat.columns if c not in ("ord", "d")]
         return named.groupBy("ord", *cols).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", F.col("d._VALUE").alias("value")))))).alias("attrs"))
 
