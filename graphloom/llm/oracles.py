@@ -115,4 +115,33 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 from m
 """
 
-ORACLES = {"op1_topk_search": OP1, "op4_sharding": OP4, "op5_warc": OP5, "op6_mixing": OP6, "op7_near_dedup": OP7, "op9_line_dedup": OP9, "op10_quality": OP10}
+OP12 = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+w as (select r, lang, source, unnest(terms) as term from d),
+k as (select lang, term, count(*) as in_lang from w group by all having count(distinct r) >= 30),
+l as (select lang, count(*) as v, sum(in_lang) as total from k group by lang),
+c as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by all),
+g as (select distinct lang, source from d),
+s as (select g.lang, g.source, coalesce(sum(n), 0) as total from g left join c using (lang, source) group by all),
+f as (
+  select s.lang, s.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (s.total + 5 * l.v)::hugeint as p,
+    1 + (1000000000::hugeint * (k.in_lang + 5)) // (l.total + 5 * l.v)::hugeint as q
+  from s join k using (lang) join l using (lang) left join c using (lang, source, term)),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(v.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from f x join f y using (lang, term) where x.source <> y.source group by all) v
+    on v.lang = a.lang and v.source = a.source and v.item = b.source),
+terms as (select lang, source, term as item, (p - q)::bigint as value from f where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, encode(item))::int as rank from pairs
+union all
+select * from (
+  select lang, source, 'term' as part, item, value, row_number() over (partition by lang, source order by value desc, encode(item))::int as rank from terms)
+where rank <= 50
+"""
+
+ORACLES = {"op1_topk_search": OP1, "op4_sharding": OP4, "op5_warc": OP5, "op6_mixing": OP6, "op7_near_dedup": OP7, "op9_line_dedup": OP9, "op10_quality": OP10, "op12_source_divergence": OP12}
