@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, quality, sharding, source_divergence, token_counts, token_store, topk_search, warc
+from . import conversation_repair, line_dedup, mixing, near_dedup, packing, quality, sharding, source_divergence, token_counts, token_store, topk_search, warc
 from .common import table
 
 
@@ -52,8 +52,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("row_.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversation_repair.repair(table(spark, sf_dir, "conversations"), texts=False, damage=True)
+    return out.drop("repaired").withColumnRenamed("conv", "conv_id")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_packing, op3_token_counts, op4_sharding, op5_warc, op6_mixing, op7_near_dedup, op8_token_store, op9_line_dedup, op10_quality, op12_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_packing, op3_token_counts, op4_sharding, op5_warc, op6_mixing, op7_near_dedup, op8_token_store, op9_line_dedup, op10_quality, op11_conversation_repair, op12_source_divergence)}
