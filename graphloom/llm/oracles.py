@@ -144,4 +144,20 @@ select * from (
 where rank <= 50
 """
 
-ORACLES = {"op1_topk_search": OP1, "op4_sharding": OP4, "op5_warc": OP5, "op6_mixing": OP6, "op7_near_dedup": OP7, "op9_line_dedup": OP9, "op10_quality": OP10, "op12_source_divergence": OP12}
+OP13 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, h, unnest(range(0, length(h) // 2 - 49)) as i from d),
+k as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from w),
+m as (select s, min(doc_id) as least from k group by s having count(*) > 1),
+hit as (select k.doc_id, k.i from k join m using (s) where m.least < k.doc_id),
+run as (select *, case when i > coalesce(max(i) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) + 50, -1) then 1 else 0 end as new from hit),
+num as (select *, sum(new) over (partition by doc_id order by i) as n from run),
+span as (select doc_id, n, min(i) as a, max(i) + 50 as b from num group by all),
+sums as (select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, list(a order by a) as starts, list(b order by a) as ends from span group by doc_id)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(case when starts is null then h else
+    array_to_string(list_transform(list_zip(list_prepend(0, ends), list_append(starts, length(h) // 2)), lambda z: substr(h, 2 * z[1] + 1, 2 * (z[2] - z[1]))), '') end)) as kept_sha256
+from d left join sums using (doc_id)
+"""
+
+ORACLES = {"op1_topk_search": OP1, "op4_sharding": OP4, "op5_warc": OP5, "op6_mixing": OP6, "op7_near_dedup": OP7, "op9_line_dedup": OP9, "op10_quality": OP10, "op12_source_divergence": OP12, "op13_suffix_dedup": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, line_dedup, mixing, near_dedup, packing, quality, sharding, source_divergence, token_counts, token_store, topk_search, warc
+from . import conversation_repair, line_dedup, mixing, near_dedup, packing, quality, sharding, source_divergence, suffix_dedup, token_counts, token_store, topk_search, warc
 from .common import table
 
 
@@ -61,4 +61,9 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_packing, op3_token_counts, op4_sharding, op5_warc, op6_mixing, op7_near_dedup, op8_token_store, op9_line_dedup, op10_quality, op11_conversation_repair, op12_source_divergence)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return out.select(F.col("id_").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_packing, op3_token_counts, op4_sharding, op5_warc, op6_mixing, op7_near_dedup, op8_token_store, op9_line_dedup, op10_quality, op11_conversation_repair, op12_source_divergence, op13_suffix_dedup)}
