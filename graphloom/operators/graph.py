@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..session import save
 from .ontology import IDENTITY_EDGES
 
@@ -41,7 +42,20 @@ def summary(nodes: DataFrame, edges: DataFrame, roots: DataFrame | None = None)
     return out if roots is None else out.crossJoin(roots.agg(F.countDistinct("root").alias("n_clusters")))
 
 
-def names_table(nodes: DataFrame, key, alias_cols: tuple[str, ...] = ("base_name", "aliases")) -> DataFrame:
+def with_aliases(nodes: DataFrame) -> DataFrame:
+    """nodes with `aliases`: what else a node is called.  Herbs and formulas by their names without preparation notes, syndromes by their
+    canonical ones, and any node by the aliases and the canonical name of its pharmacopoeia entry and by its own aliases.
+
+    attrs is a JSON text; an entry may be an object in it or, as in GraphML, a text that holds one.
+    """
+    entry = F.get_json_object("attrs", "$.pharmacopoeia_entry")
+    many = lambda v: F.coalesce(F.from_json(v, "array<string>"), F.array().cast("array<string>"))
+    own = F.when(F.col("type").isin("Herb", "Formula"), tx.herb_base(F.col("name"))).when(F.col("type") == "Syndrome", tx.canonical_syndrome(F.col("name")))
+    called = F.concat(F.array(own), many(F.get_json_object(entry, "$.common_aliases")), F.array(F.get_json_object(entry, "$.canonical_name")), many(F.get_json_object("attrs", "$.common_aliases")))
+    return nodes.withColumn("aliases", F.array_distinct(F.array_compact(F.filter(called, lambda a: a != F.col("name")))))
+
+
+def names_table(nodes: DataFrame, key, alias_cols: tuple[str, ...] = ("aliases",)) -> DataFrame:
     """key, id, type, priority, ord: the name first, other names after; each key of a node once.
 
     key: the function that folds a name.

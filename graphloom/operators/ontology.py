@@ -89,16 +89,15 @@ def guard_domain(nodes: DataFrame, domain: str, verification: bool = False) -> D
 
 
 def violations(nodes: DataFrame, edges: DataFrame, allowed: DataFrame, node_types: tuple[str, ...] = NODE_TYPES) -> DataFrame:
-    """problem, id, detail for unknown types, edges that dangle and signatures that aren't allowed; empty for a sound graph."""
+    """problem, id, detail for unknown types, edges that dangle and signatures that aren't allowed; empty for a sound graph.
+
+    Of an edge only the first problem is told: its type, its source, its target, its signature.
+    """
     known = nodes.select("id", "type")
     ends = edges.join(known.select(F.col("id").alias("source"), F.col("type").alias("source_type")), "source", "left").join(known.select(F.col("id").alias("target"), F.col("type").alias("target_type")), "target", "left")
     row = lambda problem, detail: (F.lit(problem).alias("problem"), F.col("id"), detail.alias("detail"))
     bad_nodes = nodes.where(~F.col("type").isin(*node_types)).select(*row("unknown_node_type", F.col("type")))
-    unknown_edge = edges.join(allowed.select("type").distinct(), "type", "left_anti").select(*row("unknown_edge_type", F.col("type")))
-    dangling = [ends.where(F.col(f"{side}_type").isNull()).select(*row(f"dangling_{side}", F.col(side))) for side in ("source", "target")]
-    triple = ends.where("source_type is not null and target_type is not null").join(allowed, ["source_type", "type", "target_type"], "left_anti")
-    unsigned = triple.select(*row("unknown_signature", F.concat_ws(" ", "source_type", "type", "target_type")))
-    out = bad_nodes
-    for part in (unknown_edge, *dangling, unsigned):
-        out = out.unionByName(part)
-    return out
+    judged = ends.join(allowed.select("type").distinct().withColumn("typed_", F.lit(True)), "type", "left").join(allowed.distinct().withColumn("signed_", F.lit(True)), ["source_type", "type", "target_type"], "left")
+    problem = F.when(F.col("typed_").isNull(), "unknown_edge_type").when(F.col("source_type").isNull(), "dangling_source").when(F.col("target_type").isNull(), "dangling_target").when(F.col("signed_").isNull(), "unknown_signature")
+    detail = F.when(problem == "unknown_edge_type", F.col("type")).when(problem == "dangling_source", F.col("source")).when(problem == "dangling_target", F.col("target")).otherwise(F.concat_ws(" ", "source_type", "type", "target_type"))
+    return bad_nodes.unionByName(judged.select(problem.alias("problem"), "id", detail.alias("detail")).where("problem is not null"))

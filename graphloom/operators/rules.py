@@ -22,12 +22,6 @@ def overall_verdict(verdicts: Column) -> Column:
     return F.when(F.exists(verdicts, lambda v: v == "contradicted"), "contradicted").when(F.forall(verdicts, lambda v: v == "supported") & (F.size(verdicts) > 0), "supported").otherwise("partially_supported")
 
 
-def resolve_items(items: DataFrame, names: DataFrame) -> DataFrame:
-    """items(list_id, item, key) with id: the first node of that name; null where there is none."""
-    first = names.groupBy("key").agg(F.min(F.struct("priority", "ord", "id")).alias("m")).select("key", F.col("m.id").alias("id"))
-    return items.join(first, "key", "left")
-
-
 def item_overlap(contents: DataFrame, group: str, container: str, part: str, least: int = 1) -> DataFrame:
     """group, a, b, shared, jaccard (3 digits) for containers of one group that share parts, a < b.
 
@@ -54,12 +48,12 @@ def loose_in_container(items: DataFrame, containers: DataFrame, contents: DataFr
 
 
 def pair_cooccurrence(pairs: DataFrame, contents: DataFrame, container: str, part: str) -> DataFrame:
-    """a, b, n for asked pairs(a, b), a < b: containers with both; 0 counts as not covered, never as safe."""
+    """a, b, n for asked pairs(a, b), a < b: containers with both.  The verdict is always not_covered: to be held together says nothing of what agrees."""
     c = contents.select(F.col(container).alias("c_"), F.col(part).alias("p_")).distinct()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("p_")).distinct()
     some = c.join(ids, "p_", "left_semi")
     both = pairs.join(some.withColumnRenamed("p_", "a"), "a").join(some.withColumnRenamed("p_", "b"), ["b", "c_"]).groupBy("a", "b").agg(F.count("*").alias("n"))
-    return pairs.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n") > 0, "attested").otherwise("not_covered").alias("verdict"))
+    return pairs.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.lit("not_covered").alias("verdict"))
 
 
 def constraints(items: DataFrame, edges: DataFrame, roots: DataFrame, types=("CONTRAINDICATED_FOR", "CAUTION_FOR")) -> DataFrame:

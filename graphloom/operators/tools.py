@@ -97,8 +97,7 @@ class Tools:
     def __init__(self, nodes: DataFrame, edges: DataFrame, names: DataFrame | None = None, roots: DataFrame | None = None, pool: DataFrame | None = None):
         """pool(key, id, rank): lexical hits for folded names that no node bears, where a search has been run for them."""
         self.nodes, self.edges, self.pool, self._indexes = nodes, edges, pool, {}
-        based = nodes.withColumn("base_name", F.when(F.col("type") == "Herb", tx.herb_base(F.col("name"))))
-        self.names = names if names is not None else gr.save(gr.names_table(based, tx.fold_text), "names")
+        self.names = names if names is not None else gr.save(gr.names_table(gr.with_aliases(nodes), tx.fold_text), "names")
         self.roots = roots if roots is not None else gr.clusters(edges, nodes, F.col("name"))
         self.brief = nodes.select("id", "type", "name")
 
@@ -265,10 +264,22 @@ class Tools:
         verdict = F.when(F.col("n_patent") > 0, "partially_supported").when(F.col("n_known") > 0, "supported").otherwise("empty")
         return self._answer(calls, verdict, _listed(alias, ["call_id"], "alias_duplicates", "root", "listed_as"), _listed(overlap, ["call_id"], "formula_overlap", "a", "b", "shared", "jaccard"), _listed(loose, ["call_id"], "herb_in_formula", "herb", "formula"), kinds, self.unresolved(d)).drop("n_known", "n_patent")
 
-    def check_restricted_item(self, calls: DataFrame) -> DataFrame:
-        """calls(call_id, items, patient_context): what items are contraindicated or to be used with caution for, and whether that is the patient's context."""
+    def check_restricted_item(self, calls: DataFrame, domain: str = "prescription_safety") -> DataFrame:
+        """calls(call_id, items, patient_context): what items are contraindicated or to be used with caution for, and whether that is the patient's context.
+
+        A context that names nothing is searched among safety contexts and syndromes; hits whose names hold it are meant.  Without
+        any context every restriction matches.
+        """
         d = gr.save(self.drugs(calls, ("RestrictedItem", "Herb", "ExternalTherapy")), "items")
-        context = self.resolve(calls.select(F.col("call_id").alias("q"), F.col("patient_context").alias("name")), ("Syndrome", "SafetyContext", "Disease")).select(F.col("q").alias("call_id"), F.col("id").alias("applies_to")).withColumn("hit_", F.lit(True))
+        context = self.resolve(calls.select(F.col("call_id").alias("q"), F.col("patient_context").alias("name")), ("Syndrome", "SafetyContext", "Disease")).select(F.col("q").alias("call_id"), F.col("id").alias("applies_to"))
+        context = gr.save(context, "contexts")
+        lost = gr.save(calls.select("call_id", F.trim("patient_context").alias("query")).where("query <> ''").join(context.select("call_id"), "call_id", "left_anti"), "lost-contexts")
+        if not lost.isEmpty():
+            kinds = F.array(*[F.lit(t) for t in ("SafetyContext", "Syndrome")])
+            hits = self.search_tcm_entities(lost.select("call_id", "query", kinds.alias("entity_types"), F.lit(None).cast("array<string>").alias("anchors"), F.lit(TOP_K).alias("top_k")), domain)
+            meant = hits.select("call_id", F.explode("results").alias("r")).join(lost, "call_id").where(F.contains("r.name", "query"))
+            context = context.unionByName(meant.select("call_id", F.col("r.id").alias("applies_to")))
+        context = context.withColumn("hit_", F.lit(True))
         some = context.select("call_id").distinct().withColumn("any_", F.lit(True))
         edges = self.members(d.where("id is not null")).join(self.edges.where(F.col("type").isin(*CONSTRAINTS)).select(F.col("source").alias("member"), "type", F.col("target").alias("applies_to"), F.col("ord").alias("o2")), "member")
         hits = d.join(edges, "id").join(context, ["call_id", "applies_to"], "left").join(some, "call_id", "left")

@@ -43,17 +43,20 @@ _SIGNATURES = (("region", "HAS_NATION", "nation"), ("nation", "HAS_CUSTOMER", "c
 
 
 @query(f"""with {NODES_SQL}, {EDGES_SQL},
-every as (select type, source, target from edges union all select 'VIEWED', 'customer:' || user_id, 'order:' || (event_id * 1000) from events),
+every as (select type, source, target from edges union all select event_type, 'customer:' || user_id, 'order:' || (event_id * 1000) from events
+  union all select 'PLACED', 'customer:' || (user_id * 7), case when event_id % 3 = 0 then 'part:' || event_id else 'order:' || event_id end from events),
 e as (select type || '|' || source || '|' || target as id, * from every),
 j as (select e.*, s.type as st, t.type as tt from e left join nodes s on s.id = e.source left join nodes t on t.id = e.target),
 a(st, type, tt) as (values {", ".join(f"('{s}', '{t}', '{x}')" for s, t, x in _SIGNATURES)})
 select 'unknown_edge_type' as problem, id, type as detail from e where type not in (select type from a)
-union all select 'dangling_source', id, source from j where st is null
-union all select 'dangling_target', id, target from j where tt is null
-union all select 'unknown_signature', id, st || ' ' || type || ' ' || tt from j where st is not null and tt is not null and not exists (select 1 from a where a.st = j.st and a.type = j.type and a.tt = j.tt)""")
+union all select 'dangling_source', id, source from j where st is null and type in (select type from a)
+union all select 'dangling_target', id, target from j where st is not null and tt is null and type in (select type from a)
+union all select 'unknown_signature', id, st || ' ' || type || ' ' || tt from j where st is not null and tt is not null and type in (select type from a) and not exists (select 1 from a where a.st = j.st and a.type = j.type and a.tt = j.tt)""")
 def ontology_violations(spark: SparkSession, d: str) -> DataFrame:
-    viewed = table(spark, d, "events").select(F.lit("VIEWED").alias("type"), F.concat_ws(":", F.lit("customer"), "user_id").alias("source"), F.concat(F.lit("order:"), F.col("event_id") * 1000).alias("target"))
-    every = edges(spark, d).select("type", "source", "target").unionByName(viewed).withColumn("id", F.concat_ws("|", "type", "source", "target"))
+    e = table(spark, d, "events")
+    seen = e.select(F.col("event_type").alias("type"), F.concat_ws(":", F.lit("customer"), "user_id").alias("source"), F.concat(F.lit("order:"), F.col("event_id") * 1000).alias("target"))
+    placed = e.select(F.lit("PLACED").alias("type"), F.concat(F.lit("customer:"), F.col("user_id") * 7).alias("source"), F.concat(F.when(F.col("event_id") % 3 == 0, "part:").otherwise("order:"), F.col("event_id")).alias("target"))
+    every = edges(spark, d).select("type", "source", "target").unionByName(seen).unionByName(placed).withColumn("id", F.concat_ws("|", "type", "source", "target"))
     return ontology.violations(nodes(spark, d), every, ontology.signatures(spark, _SIGNATURES), tuple(k for k in ("region", "nation", "customer", "supplier", "part", "order")))
 
 
@@ -65,12 +68,18 @@ def domain_filter(spark: SparkSession, d: str) -> DataFrame:
     return g.type_counts(ontology.visible(nodes(spark, d), "sales", verification=True, domains=_DOMAINS))
 
 
-@query(f"""with {NODES_SQL}, q as (select distinct upper(p_name) as text from part union select r_name from region union select n_name from nation)
-select q.text as query_id, n.id, n.type, row_number() over (partition by q.text order by n.ord, n.id)::bigint as rank from q join nodes n on lower(n.name) = lower(q.text)""")
+@query(f"""with {NODES_SQL}, q as (select distinct upper(p_name) as text from part union select distinct p_brand from part union select r_name from region union select n_name from nation),
+m as (select id, type, ord, lower(name) as key, 0 as p from nodes union all select 'part:' || p_partkey, 'part', 4 * 10**12 + p_partkey, lower(p_brand), 1 from part union all select 'part:' || p_partkey, 'part', 4 * 10**12 + p_partkey, lower(p_type), 1 from part),
+k as (select id, type, ord, key, min(p) as p from m group by all)
+select q.text as query_id, k.id, k.type, row_number() over (partition by q.text order by k.p, k.ord, k.id)::bigint as rank from q join k on key = lower(q.text)""")
 def find_by_name(spark: SparkSession, d: str) -> DataFrame:
     key = lambda c: F.lower(c)
-    asked = table(spark, d, "part").select(F.upper("p_name").alias("query_id")).union(table(spark, d, "region").select("r_name")).union(table(spark, d, "nation").select("n_name")).distinct()
-    found = g.find_by_name(asked.withColumn("key", key(F.col("query_id"))), g.names_table(nodes(spark, d), key, ()))
+    parts = table(spark, d, "part")
+    asked = parts.select(F.upper("p_name").alias("query_id")).union(parts.select("p_brand")).union(table(spark, d, "region").select("r_name")).union(table(spark, d, "nation").select("n_name")).distinct()
+    # a part is also called by its brand (its entry's canonical name) and its type (an alias of its own)
+    attrs = F.to_json(F.struct(F.struct(F.col("p_brand").alias("canonical_name")).alias("pharmacopoeia_entry"), F.array("p_type").alias("common_aliases")))
+    named = nodes(spark, d).join(parts.select(F.concat_ws(":", F.lit("part"), "p_partkey").alias("id"), attrs.alias("attrs")), "id", "left")
+    found = g.find_by_name(asked.withColumn("key", key(F.col("query_id"))), g.names_table(g.with_aliases(named), key))
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -182,7 +191,7 @@ def alias_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with c as (select distinct l_orderkey, l_partkey from lineitem), p as (select p_partkey as a, p_partkey + 1 as b from part),
 n as (select x.l_partkey as a, y.l_partkey as b, count(*) as n from c x join c y on x.l_orderkey = y.l_orderkey and y.l_partkey = x.l_partkey + 1 group by all)
-select a, b, coalesce(n, 0)::bigint as n, case when n > 0 then 'attested' else 'not_covered' end as verdict from p left join n using (a, b)""")
+select a, b, coalesce(n, 0)::bigint as n, 'not_covered' as verdict from p left join n using (a, b)""")
 def part_pair_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
     return rules.pair_cooccurrence(pairs, table(spark, d, "lineitem"), "l_orderkey", "l_partkey")

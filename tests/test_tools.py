@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import ontology, tools, traces
+from graphloom.operators import graph, ontology, tools, traces
 from graphloom.sources.graph_files import load_graph
 
 N = lambda i, kind, name, docs=(), mention=None, **attrs: {"id": i, "type": kind, "name": name, "source_docs": list(docs), "first_mention": {"doc_id": "d0", "sentence": mention} if mention else None, **attrs}
@@ -96,6 +96,24 @@ def test_restrictions(spark, box):
     assert (e.coverage, g.coverage) == ("supported", "not_covered")
 
 
+def test_names_and_aliases_resolve_alike(spark, box):
+    entry = ask(spark, box.retrieve_pharmacopeia_entry, "herb string", ("半夏",), ("法半夏",), ("杜撰",))
+    assert [e.coverage for e in entry] == ["supported", "supported", "empty"]
+    assert [x.entry for x in entry[1].entries] == ["e4"] and entry[1].entries[0].common_aliases == ["法半夏"]
+
+
+def test_other_names_of_a_node(spark):
+    rows = [("h", "Herb", "大黄(后下)", None), ("f", "Formula", "白虎汤（先煎）", None), ("s", "Syndrome", "①湿热下注证：口苦", None), ("p", "PharmacoPoeiaEntry", "半夏", '{"common_aliases": ["法半夏", "半夏"]}'), ("q", "Herb", "生姜", '{"pharmacopoeia_entry": {"canonical_name": "姜", "common_aliases": ["鲜姜"]}}'), ("x", "Herb", "乌头", '{"pharmacopoeia_entry": "{\\"canonical_name\\": \\"川乌\\"}"}'), ("d", "Disease", "消渴(先煎)", "{}")]
+    got = {r.id: r.aliases for r in graph.with_aliases(spark.createDataFrame(rows, "id string, type string, name string, attrs string")).collect()}
+    assert got == {"h": ["大黄"], "f": ["白虎汤"], "s": ["湿热下注证"], "p": ["法半夏"], "q": ["鲜姜", "姜"], "x": ["川乌"], "d": []}
+
+
+def test_a_context_that_names_nothing_is_searched(spark, box):
+    a, b, c = ask(spark, box.check_restricted_item, "items array<string>, patient_context string", (["大黄"], "孕"), (["生冷食物"], "孕"), (["大黄"], "全无此人"))
+    assert [r.matches_context for r in a.restrictions] == [True] and [r.matches_context for r in b.restrictions] == [False]
+    assert [r.matches_context for r in c.restrictions] == [True]
+
+
 def test_decisions(spark, box):
     schema = "syndrome string, disease string, treatment_principle string, clinical_features array<string>"
     good, bad, off, plain, atom, cure, feature = ask(spark, box.verify_tcm_decision, schema, ("心虚胆怯证", "心悸（心律失常）", None, None), ("心虚胆怯证", "消渴病肾病", None, None), ("杜撰不存在证", None, None, None), ("心虚胆怯证", None, None, None), ("杜撰证，气阴两虚证", "消渴病肾病", None, None), ("心虚胆怯证", "心悸", "镇惊定志，养心安神", None), ("心虚胆怯证", "心悸", "活血化瘀", ["坐卧不安"]))
