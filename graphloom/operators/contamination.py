@@ -26,24 +26,77 @@ def corpus(parts: DataFrame, fold=bare_text) -> DataFrame:
     return first.select(F.xxhash64("canon").alias("passage_id"), F.col("m.origin").alias("origin"), F.col("m.text").alias("text"), "canon")
 
 
-def overlaps(cases: DataFrame, passages: DataFrame, case_id: str = "case_id", passage_id: str = "passage_id") -> DataFrame:
-    """case_id, passage_id, shared, jaccard, graph_in_case, case_in_graph, overlap for every pair that shares a gram.
+class GramJoin:
+    """Pairs of cases(case_id, canon) and passages(passage_id, canon) by the grams they share, from a least overlap on.
 
-    Both sides: (id, canon).  An equi-join on 64-bit hashes of grams with a count for each pair; grams of equal text meet once on each side.
-    Grams that the other side doesn't have are left out before rows are shuffled by grams.
+    The overlap is the largest of Jaccard and both containments, which is shared / min(n, m).  A set orders its grams from rare
+    to common (by how many pairs a gram makes; grams that one side lacks make none and are left out before anything is joined).
+    With s the grams that a pair has to share, its first common gram stands s or more from the end in both sets.  So the smaller
+    set joins with a prefix only, and a match too near the end of either set forms no pair.
     """
-    a = save(cases.select(F.col(case_id).alias("case_id"), gram_hash_set(F.col("canon"), GRAM).alias("g")), "case-grams")
-    b = save(passages.select(F.col(passage_id).alias("passage_id"), gram_hash_set(F.col("canon"), GRAM).alias("g")), "passage-grams")
-    theirs = b.select("passage_id", F.explode("g").alias("gram"))
-    known = theirs.select("gram").distinct()
-    grams = a.select("case_id", F.explode("g").alias("gram")).join(F.broadcast(known) if small_enough(known, MOST_POSTINGS) else known, "gram", "left_semi")
-    shared = theirs.join(grams, "gram").groupBy("case_id", "passage_id").agg(F.count("*").alias("shared"))
-    sized = shared.join(a.select("case_id", F.size("g").alias("n")), "case_id").join(b.select("passage_id", F.size("g").alias("m")), "passage_id")
-    return _shares(sized)
+
+    def __init__(self, cases: DataFrame, passages: DataFrame):
+        self.sets, listed = {}, {}
+        for side, df, key in (("a", cases, "case_id"), ("b", passages, "passage_id")):
+            sets = save(df.select(F.col(key).alias("id"), gram_hash_set(F.col("canon"), GRAM).alias("g")).where("size(g) > 0"), f"grams-{side}")
+            self.sets[side] = sets
+            listed[side] = sets.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+        counts = [listed[x].groupBy("gram").agg(F.count("*").alias(f"d{x}")) for x in "ab"]
+        self.common = save(counts[0].join(counts[1], "gram").select("gram", (F.col("da") * F.col("db")).alias("w")), "common-grams")
+        self.ranked = {x: save(self._ranked(listed[x]), f"ranked-{x}") for x in "ab"}
+
+    def _ranked(self, listed: DataFrame) -> DataFrame:
+        """id, n, gram, left: how many of the set's common grams stand at this gram or behind it."""
+        few = F.broadcast(self.common) if small_enough(self.common, MOST_POSTINGS) else self.common
+        w = Window.partitionBy("id").orderBy(F.desc("w"), "gram")
+        return listed.join(few, "gram").select("id", "n", "gram", F.row_number().over(w).alias("left"))
+
+    def candidates(self, least: float, cases: DataFrame | None = None) -> DataFrame:
+        """case_id, passage_id of every pair that can reach the overlap, some that can't among them; of some cases(case_id) only, if given."""
+        need = lambda n: F.greatest(F.lit(1), F.ceil(F.round(F.lit(least) * n, 9)))
+        a, b = (self.ranked[x].select(F.col("id").alias(key), F.col("n").alias(f"n{x}"), "gram", F.col("left").alias(f"l{x}")) for x, key in (("a", "case_id"), ("b", "passage_id")))
+        if cases is not None:
+            a = a.join(cases.select("case_id"), "case_id", "left_semi")
+        one = a.where(F.col("la") >= need(F.col("na"))).join(b, "gram").where((F.col("na") <= F.col("nb")) & (F.col("lb") >= need(F.col("na"))))
+        two = a.join(b.where(F.col("lb") >= need(F.col("nb"))), "gram").where((F.col("nb") < F.col("na")) & (F.col("la") >= need(F.col("nb"))))
+        return one.select("case_id", "passage_id").unionByName(two.select("case_id", "passage_id")).distinct()
+
+    def pairs(self, least: float, cases: DataFrame | None = None) -> DataFrame:
+        """case_id, passage_id, shared, jaccard, graph_in_case, case_in_graph, overlap of every pair with the overlap, decided on whole sets."""
+        a, b = (self.sets[x].select(F.col("id").alias(key), F.col("g").alias(f"g{x}")) for x, key in (("a", "case_id"), ("b", "passage_id")))
+        met = self.candidates(least, cases).join(a, "case_id").join(b, "passage_id")
+        sized = met.select("case_id", "passage_id", F.size(F.array_intersect("ga", "gb")).alias("shared"), F.size("ga").alias("n"), F.size("gb").alias("m"))
+        return _shares(sized).where(F.round("overlap", 9) >= least)
+
+    def best(self, steps: tuple[float, ...] = (LIKELY, POSSIBLE, 0.1, 0.05, 0.0)) -> DataFrame:
+        """The best pair of every case that shares a gram: cases look for high overlaps first, and only those without one look for lower ones."""
+        left, found = save(self.sets["a"].select(F.col("id").alias("case_id")), "cases-left"), None
+        for least in steps:
+            order = F.struct(F.round(-F.col("overlap"), 9).alias("o"), (-F.col("shared")).alias("s"), F.col("passage_id").alias("p"))
+            now = save(self.pairs(least, None if found is None else left).groupBy("case_id").agg(F.min_by(F.struct("passage_id", "jaccard", "graph_in_case", "case_in_graph", "overlap"), order).alias("best")), "best")
+            found = now if found is None else found.unionByName(now)
+            left = save(left.join(now, "case_id", "left_anti"), "cases-left")
+            if left.isEmpty():
+                break
+        return found.select("case_id", "best.*")
+
+
+def similar_pairs(cases: DataFrame, passages: DataFrame, least: float = POSSIBLE) -> DataFrame:
+    """Every pair with that overlap or more: case_id, passage_id, shared, jaccard, graph_in_case, case_in_graph, overlap."""
+    return GramJoin(cases, passages).pairs(least)
+
+
+def best_by_join(cases: DataFrame, passages: DataFrame) -> DataFrame:
+    """What best_overlap() gives, without a limit on either side."""
+    best = GramJoin(cases, passages).best()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return cases.select("case_id").join(best, "case_id", "left").select("case_id", "passage_id", *map(zero, ("jaccard", "graph_in_case", "case_in_graph", "overlap")))
 
 
 def _shares(sized: DataFrame) -> DataFrame:
-    s = sized.select("case_id", "passage_id", "shared", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.col("m")).alias("graph_in_case"), (F.col("shared") / F.col("n")).alias("case_in_graph"))
+    """The three shares of shared grams; zeros where a side has none."""
+    share = lambda by, c: F.coalesce(F.try_divide("shared", by), F.lit(0.0)).alias(c)
+    s = sized.select("case_id", "passage_id", "shared", share(F.col("n") + F.col("m") - F.col("shared"), "jaccard"), share(F.col("m"), "graph_in_case"), share(F.col("n"), "case_in_graph"))
     return s.withColumn("overlap", F.greatest("jaccard", "graph_in_case", "case_in_graph"))
 
 
@@ -84,9 +137,8 @@ def _best_of_few(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray):
 def best_overlap(cases: DataFrame, passages: DataFrame) -> DataFrame:
     """Each case's best passage (of equal ones the one that shares more grams, then the smaller id); cases without a shared gram have zeros.
 
-    Passages with few postings (a checked number) go to every task, and a case is compared where it lies; more meet the cases' grams in a join.
+    Passages with few postings (a checked number) go to every task, and a case is compared where it lies; more meet the cases in a GramJoin.
     """
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     listed = save(passages.select("passage_id", gram_hash_set(F.col("canon"), GRAM).alias("g")).where("size(g) > 0"), "passage-grams")
     if small_enough(listed, MOST_PASSAGES) and (listed.agg(F.sum(F.size("g"))).first()[0] or 0) <= MOST_POSTINGS:
         few = sorted((r.passage_id, np.array(r.g, np.int64).view(np.uint64)) for r in listed.collect())
@@ -96,10 +148,7 @@ def best_overlap(cases: DataFrame, passages: DataFrame) -> DataFrame:
         found = cases.select("case_id", "canon").mapInArrow(_best_of_few(grams[order], owner[order], np.array([len(g) for _, g in few], np.int64)), f"case_id {kind}, place long, shared long, n long, m long")
         names = listed.sparkSession.createDataFrame([(i, p) for i, (p, _) in enumerate(few)], f"place long, passage_id {passages.schema['passage_id'].dataType.simpleString()}")
         return _shares(found.join(F.broadcast(names), "place", "left")).select("case_id", "passage_id", *[F.when(F.col("shared") > 0, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in ("jaccard", "graph_in_case", "case_in_graph", "overlap")])
-    o = overlaps(cases, passages)
-    w = Window.partitionBy("case_id").orderBy(F.desc(F.round("overlap", 9)), F.desc("shared"), "passage_id")
-    best = o.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
-    return cases.select("case_id").join(best, "case_id", "left").select("case_id", "passage_id", zero("jaccard"), zero("graph_in_case"), zero("case_in_graph"), zero("overlap"))
+    return best_by_join(cases, passages)
 
 
 def _holding(needles: list[str]):

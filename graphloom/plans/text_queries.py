@@ -181,6 +181,24 @@ def contamination_strata(spark: SparkSession, d: str) -> DataFrame:
     return cn.strata(best.select(cn.stratum(F.col("overlap"), F.lit(False), F.lit(False)).alias("stratum"))).withColumn("share_clean", F.round("share_clean", 6))
 
 
+_ITEM_GRAMS = _GRAMS.replace("m as (select * from o qualify", "m2 as (select * from o qualify").replace("partition by c order by round(greatest(j, gc, cg), 9) desc, k desc, b)", "partition by b order by round(greatest(j, gc, cg), 9) desc, k desc, c)")
+
+
+@query(f"with {_GRAMS} select c as case_id, b as passage_id, k as shared, round(j, 4) as jaccard, round(greatest(j, gc, cg), 4) as overlap from o where round(greatest(j, gc, cg), 9) >= 0.2")
+def contamination_pairs(spark: SparkSession, d: str) -> DataFrame:
+    found = cn.similar_pairs(*_case_passages(spark, d))
+    return found.select("case_id", "passage_id", F.col("shared").cast("long").alias("shared"), F.round("jaccard", 4).alias("jaccard"), F.round("overlap", 4).alias("overlap"))
+
+
+@query(f"""with {_ITEM_GRAMS} select b.id as case_id, c as passage_id, coalesce(round(j, 4), 0) as jaccard, coalesce(round(cg, 4), 0) as graph_in_case, coalesce(round(gc, 4), 0) as case_in_graph,
+  case when coalesce(greatest(j, gc, cg), 0) >= 0.4 then 'likely' when coalesce(greatest(j, gc, cg), 0) >= 0.2 then 'possible' else 'clean' end as stratum from b left join m2 on m2.b = b.id""")
+def contamination_by_join(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = _case_passages(spark, d)
+    best = cn.best_by_join(items.select(F.col("passage_id").alias("case_id"), "canon"), docs.select(F.col("case_id").alias("passage_id"), "canon"))
+    r = lambda c: F.round(c, 4).alias(c)
+    return best.select("case_id", "passage_id", r("jaccard"), r("graph_in_case"), r("case_in_graph"), cn.stratum(F.col("overlap"), F.lit(False), F.lit(False)).alias("stratum"))
+
+
 @query(r"""with c as (select doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) as t from documents), b as (select item_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) as t from benchmark)
 select item_id as case_id, 'whole' as part, min(doc_id) as passage_id from b join c on contains(c.t, b.t) where length(b.t) >= 6 group by item_id""")
 def exact_passage_contains(spark: SparkSession, d: str) -> DataFrame:
