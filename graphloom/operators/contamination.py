@@ -151,7 +151,7 @@ def best_overlap(cases: DataFrame, passages: DataFrame) -> DataFrame:
     return best_by_join(cases, passages)
 
 
-def _holding(needles: list[str]):
+def holding(needles: list[str]):
     """passage_id, place of the needles that each passage holds: one pass of an automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def exact_parts(parts: DataFrame, passages: DataFrame) -> DataFrame:
     if small_enough(needles, MOST_NEEDLES) and (needles.agg(F.sum(F.length("canon"))).first()[0] or 0) <= MOST_NEEDLE_CHARS:
         listed = sorted(r.canon for r in needles.collect())
         kind = passages.schema["passage_id"].dataType.simpleString()
-        held = passages.select("passage_id", "canon").mapInArrow(_holding(listed), f"passage_id {kind}, place long").groupBy("place").agg(F.min("passage_id").alias("passage_id"))
+        held = passages.select("passage_id", "canon").mapInArrow(holding(listed), f"passage_id {kind}, place long").groupBy("place").agg(F.min("passage_id").alias("passage_id"))
         # a needle's place is its rank, which the needles' own table gives as well
         named = held.select(F.element_at(F.lit(listed) if listed else F.array().cast("array<string>"), (F.col("place") + 1).cast("int")).alias("canon"), "passage_id") if len(listed) <= 1000 else held.join(needles.sparkSession.createDataFrame(list(enumerate(listed)), "place long, canon string"), "place").select("canon", "passage_id")
         return some.join(named, "canon").select("case_id", "part", "passage_id").groupBy("case_id", "part").agg(F.min("passage_id").alias("passage_id"))

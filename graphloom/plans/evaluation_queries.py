@@ -13,7 +13,9 @@ from ..operators import reports as rp
 from ..operators import rules
 from ..operators import statistics as st
 from ..operators import traces as tr
-from .views import STEPS_SQL, table, tool_steps
+from ..operators import verification as vf
+from ..operators.tools import Tools
+from .views import ANSWERS_SQL, STEPS_SQL, answers, clinic, table, tool_steps
 
 QUERIES, ORACLES = {}, {}
 
@@ -418,6 +420,38 @@ def seeded_cap(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", bm.under_cap(F.col("p_partkey")).alias("kept"))
 
 
+# ---- verification of answers --------------------------------------------------------------------------------------
+
+
+@query(r"""with w as (select item_id, unnest(string_split_regex(text, '\s+')) as name from benchmark),
+n as (select name, min(item_id % 3) as t from w where length(name) >= 4 group by name),
+f as (select doc_id, name, row_number() over (partition by doc_id order by t, name) as k from documents join n on contains(text, name))
+select doc_id, array_to_string(list(name order by k), ' ') as names from f where k <= 6 group by doc_id""")
+def names_in_documents(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", r"\s+")).alias("name")).where("length(name) >= 4")
+    kind = F.element_at(F.array(*[F.lit(x) for x in vf.NAMED_TYPES]), (F.col("item_id") % 3 + 1).cast("int"))
+    names = words.select("name", kind.alias("type"), F.lit(0).cast("long").alias("ord"))
+    found = vf.names_in_play(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), names)
+    return found.select(F.col("id").alias("doc_id"), F.array_join("names", " ").alias("names"))
+
+
+@query(f"""with {ANSWERS_SQL},
+v as (
+  select k, 'not_covered' as v from ans where kind = 0
+  union all select h.k, case when '先煎' in (select m from att where att.herb = h.herb) then 'supported' when exists (select 1 from att where att.herb = h.herb) then 'contradicted_by_graph' else 'not_covered' end from hb h where kind = 1
+  union all select x.k, 'contradicted' from fm x join lineitem i on i.l_orderkey = x.f join fm y on y.k = x.k and y.f <> x.f join lineitem j on j.l_orderkey = y.f and j.l_partkey = i.l_partkey where x.kind = 2
+  union all select h.k, 'supported' from hb h join part on p_partkey = herb where kind = 3 and p_size % 3 = 0
+  union all select k, 'not_covered' from ans where kind = 4),
+r as (select k, min(list_position(['contradicted', 'contradicted_by_graph', 'partially_supported', 'not_in_graph', 'not_covered', 'supported'], v)) as r from v group by k)
+select k as case_id, (kind <> 5)::bigint as n_checks, case when kind = 5 then 'not_applicable' when r is null then 'no_verdict' else (['contradicted', 'contradicted_by_graph', 'partially_supported', 'not_in_graph', 'not_covered', 'supported'])[r] end as verdict
+from ans left join r using (k)""")
+def answer_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = clinic(spark, d)
+    given = answers(spark, d)
+    plans = vf.safety_plans(given, vf.node_names(nodes))
+    return vf.reports(given, vf.check_safety(Tools(nodes, edges), plans))
+
+
 # ---- report tables ------------------------------------------------------------------------------------------------
 
 _MEANS = f"""{_ITEMS}, audited as (select *, case case_id % 4 when 0 then 'likely' when 1 then 'clean' when 2 then 'clean' end as audit from pairs join (select distinct model as m2, case_id as c2 from items) on m2 = model and c2 = case_id),

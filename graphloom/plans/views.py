@@ -60,3 +60,41 @@ STEPS_SQL = """steps as (
   select user_id, event_id as idx, event_type as tool, case when k % 3 = 0 then 'verification' else 'agent' end as phase, value >= 10 as ok,
     case when k % 5 = 0 then 'not_covered' when k % 5 = 1 then 'empty' else 'supported' end as coverage, value as latency_ms, k as result_chars
   from (select *, (props->>'$.k')::bigint as k from events))"""
+
+
+def clinic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a typed graph: parts are herbs, orders formulas that hold them, nations cohorts that some herbs are forbidden for.
+
+    Herbs of a size that 4 divides are toxic by their entry; a line of over 40 is evidence of how its herb is prepared.
+    """
+    t = lambda n: table(spark, d, n)
+    named = lambda head, key: F.concat(F.lit(head), key.cast("string"), F.lit("号"))
+    ref = lambda kind, c: F.concat_ws(":", F.lit(kind), c)
+    entry = F.to_json(F.struct(F.struct(F.when(F.col("p_size") % 4 == 0, "辛，有毒").otherwise("甘").alias("nature_taste_meridian")).alias("pharmacopoeia_entry")))
+    row = lambda df, kind, head, key, at, attrs=None: df.select(ref(kind, key).alias("id"), F.lit(head[0]).alias("type"), named(head[1], F.col(key)).alias("name"), F.array().cast("array<string>").alias("source_docs"), F.lit(None).cast("struct<doc_id:string,sentence:string>").alias("first_mention"), (attrs if attrs is not None else F.lit("{}")).alias("attrs"), (F.lit(at * 10**12) + F.col(key)).cast("long").alias("ord"))
+    nodes = row(t("part"), "part", ("Herb", "药"), "p_partkey", 0, entry).unionByName(row(t("orders"), "order", ("Formula", "方"), "o_orderkey", 1)).unionByName(row(t("nation"), "nation", ("SafetyContext", "人群"), "n_nationkey", 2))
+    held = t("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    said = F.when(F.col("q") > 40, F.array(F.struct(F.concat(named("药", F.col("l_partkey")), F.when(F.col("l_orderkey") % 2 == 0, "（先煎）").otherwise("（后下）")).alias("sentence")))).otherwise(F.array().cast("array<struct<sentence:string>>"))
+    edge = lambda df, kind, a, b, evidence, o: df.select(F.concat_ws("|", a, F.lit(kind), b).alias("id"), F.lit(kind).alias("type"), a.alias("source"), b.alias("target"), F.array().cast("array<string>").alias("source_docs"), evidence.alias("evidence"), F.col(o).cast("long").alias("ord"))
+    none = F.array().cast("array<struct<sentence:string>>")
+    edges = edge(held, "CONTAINS_HERB", ref("order", F.col("l_orderkey")), ref("part", F.col("l_partkey")), said, "l_orderkey")
+    banned = t("part").where("p_size % 3 = 0").withColumn("n", F.col("p_partkey") % 25)
+    return nodes, edges.unionByName(edge(banned, "CONTRAINDICATED_FOR", ref("part", F.col("p_partkey")), ref("nation", F.col("n")), none, "p_partkey"))
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """case_id, category, letters, options, question: an order's first two lines as options, itself and the order before it in the question."""
+    l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("单味药剂量", "先煎方法", "重复用药", "禁忌症", "规则 a-009 一类", "心情")]), (F.col("l_orderkey") % 6 + 1).cast("int"))
+    herb = lambda i: F.concat(F.lit("药"), F.get("p", F.lit(i)).cast("string"), F.lit("号"))
+    options = F.create_map(F.lit("A"), F.concat(herb(0), F.lit("（先煎）")), F.lit("B"), F.coalesce(herb(1), F.lit("无")), F.lit("C"), F.lit("方1号"))
+    question = F.concat(F.lit("病人服方"), F.col("l_orderkey"), F.lit("号与方"), F.col("l_orderkey") - 1, F.lit("号，如何"))
+    letters = F.when(F.col("l_orderkey") % 4 == 0, F.array(F.lit("A"), F.lit("K"))).otherwise(F.array(F.lit("A"), F.lit("B")))
+    return l.select(F.col("l_orderkey").alias("case_id"), kind.alias("category"), letters.alias("letters"), options.alias("options"), question.alias("question"))
+
+
+ANSWERS_SQL = """lp as (select l_orderkey as k, list_sort(list(distinct l_partkey)) as p from lineitem group by l_orderkey),
+ans as (select k, k % 6 as kind, p[1] as a, case when k % 4 <> 0 then p[2] end as b from lp),
+hb as (select k, kind, a as herb from ans union all select k, kind, b from ans where b is not null),
+fm as (select k, kind, o_orderkey as f from ans join orders on o_orderkey in (k, k - 1)),
+att as (select distinct l_partkey as herb, case when l_orderkey % 2 = 0 then '先煎' else '后下' end as m from (select l_orderkey, l_partkey, max(l_quantity) as q from lineitem group by all) where q > 40)"""
