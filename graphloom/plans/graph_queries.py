@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import provenance as pv
-from ..operators import ontology, rules
-from .views import EDGES_SQL, NODES_SQL, edges, nodes, table
+from ..operators import coverage, ontology, rules
+from .views import ANSWERS_SQL, EDGES_SQL, NODES_SQL, clinic, edges, nodes, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -212,3 +212,23 @@ def case_set_hash(spark: SparkSession, d: str) -> DataFrame:
 @query("select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts, event_id) = 1")
 def first_per_key(spark: SparkSession, d: str) -> DataFrame:
     return g.first_per_key(table(spark, d, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("""select lang, sum((length(text) - length(replace(text, 'the', ''))) // 3)::bigint as the, sum((length(text) - length(replace(text, 'anan', ''))) // 4 + (length(text) - length(replace(text, '. ', ''))) // 2)::bigint as others
+from documents group by lang""")
+def literal_counts(spark: SparkSession, d: str) -> DataFrame:
+    words = {"the": ("the",), "others": ("anan", ". ")}
+    return table(spark, d, "documents").groupBy("lang").agg(*coverage.mentions(F.col("text"), words))
+
+
+@query(f"""with {ANSWERS_SQL},
+f(fact, detail, value) as (
+  select 'n_herbs', null, count(*) from part union all select 'n_formulas', null, count(*) from orders
+  union all select 'n_formulas_with_composition', null, count(distinct l_orderkey) from lineitem
+  union all select 'n_herbs_with_preparation', null, count(distinct herb) from att
+  union all select 'safety_edges', 'herb', count(*) from part where p_size % 3 = 0
+  union all select unnest(['n_syndromes', 'n_syndromes_with_definition', 'n_pharmacopoeia_entries', 'n_toxicity_flagged', 'n_patent_medicines', 'n_patent_with_composition', 'n_pregnancy_contexts', 'n_paediatric_contexts', 'n_identity_clusters',
+    'mentions_junchen', 'mentions_shibafan', 'mentions_dosage_field', 'mentions_validity', 'mentions_controlled', 'mentions_neonate']), null, 0)
+select fact, detail, value::bigint as value from f""")
+def coverage_facts(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.graph_facts(*clinic(spark, d))
