@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,3 +100,30 @@ def leaf_strings(json_text: Column) -> Column:
         return s.map(of)
 
     return leaves(json_text)
+
+
+def leaves(df: DataFrame, json_col: str, ids: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
+    """ids, key, path, text: every string in a JSON document, however deep, with the top-level key that it stands under.
+
+    Documents are variants that are opened a level a round until nothing is left to open; what is left is written in between, so
+    a round holds one level.  `path` orders the leaves: top-level keys as the document has them, elements of arrays as they
+    come, keys of inner objects by name.  Keys in skip are left out; a document that isn't an object or doesn't parse has none.
+    """
+    from ..session import save
+
+    spark = df.sparkSession
+    keys = F.json_object_keys(F.when(F.try_parse_json(json_col).isNotNull(), F.col(json_col)))
+    top = df.select(*ids, F.try_parse_json(json_col).alias("v_"), keys.alias("k_")).where("k_ is not null")
+    opened = top.lateralJoin(spark.tvf.variant_explode(F.col("v_").outer()))
+    level = opened.where(~F.col("key").isin(*skip)) if skip else opened
+    level = level.select(*ids, "key", F.array(F.array_position("k_", F.col("key")).cast("long")).alias("path"), F.col("value").alias("v_"))
+    found = None
+    while True:
+        level = save(level.withColumn("kind_", F.substring(F.schema_of_variant("v_"), 1, 5)).where("kind_ in ('STRIN', 'OBJEC', 'ARRAY')").withColumn("v_", F.to_json("v_")), "json-level")
+        here = level.where("kind_ = 'STRIN'").select(*ids, "key", "path", F.try_variant_get(F.parse_json("v_"), "$", "string").alias("text"))
+        found = here if found is None else found.unionByName(here)
+        inner = level.where("kind_ <> 'STRIN'")
+        if inner.isEmpty():
+            return found
+        rest = inner.select(*ids, F.col("key").alias("key_"), "path", F.parse_json("v_").alias("v_")).lateralJoin(spark.tvf.variant_explode(F.col("v_").outer()))
+        level = rest.select(*ids, F.col("key_").alias("key"), F.concat("path", F.array(F.col("pos").cast("long"))).alias("path"), F.col("value").alias("v_"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsons import leaves
 from ..functions.text import bare_text, gram_hash_set, gram_hashes
 from ..session import save, small_enough
 
@@ -26,6 +27,36 @@ def corpus(parts: DataFrame, fold=bare_text) -> DataFrame:
     return first.select(F.xxhash64("canon").alias("passage_id"), F.col("m.origin").alias("origin"), F.col("m.text").alias("text"), "canon")
 
 
+#: Attributes that are no text of a node's own.
+NOT_TEXT = ("id", "type", "name", "source_docs", "first_mention")
+
+
+def corpus_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """origin, text, ord: all that a reader of the graph can see, for corpus().
+
+    Of each node, in the graph's order: what is searched of it as one text (vdoc:id), every string in its attributes (node:id:key),
+    its first sentence (node:id); then the evidence of the edges (edge:id).  Of equal texts corpus() keeps the first.
+    """
+    from . import graph as gr
+    from . import retrieval as rt
+    from .tools import text_pieces
+
+    at = lambda *parts: F.array(*[p.cast("long") for p in parts])
+    zero, one, two = F.lit(0), F.lit(1), F.lit(2)
+    places = nodes.select("id", F.col("ord").alias("n_"))
+    whole = rt.virtual_documents(text_pieces(nodes, edges, with_evidence=False)).join(places, "id").select(F.concat(F.lit("vdoc:"), "id").alias("origin"), "text", at(zero, F.col("n_"), zero).alias("ord"))
+    own = leaves(nodes, "attrs", ["id", "ord"], skip=NOT_TEXT).select(F.concat_ws(":", F.lit("node"), "id", "key").alias("origin"), "text", F.concat(at(zero, F.col("ord"), one), "path").alias("ord"))
+    first = nodes.select(F.concat(F.lit("node:"), "id").alias("origin"), F.col("first_mention.sentence").alias("text"), at(zero, F.col("ord"), two).alias("ord")).where("text is not null")
+    said = edges.select(F.concat(F.lit("edge:"), "id").alias("origin"), "ord", F.posexplode(gr.evidence_sentences(F.col("evidence"))).alias("pos", "text")).select("origin", "text", at(one, F.col("ord"), F.col("pos")).alias("ord"))
+    return whole.unionByName(own).unionByName(first).unionByName(said).withColumn("text", F.trim("text"))
+
+
+def document_titles(nodes: DataFrame) -> DataFrame:
+    """title of every document that cited_sources() looks for: its name, title and file name."""
+    get = lambda f: F.coalesce(F.get_json_object("attrs", f"$.{f}"), F.lit(""))
+    return nodes.where("type = 'DocumentSource'").select(F.concat_ws(" ", "name", get("title"), get("source_filename")).alias("title"))
+
+
 class GramJoin:
     """Pairs of cases(case_id, canon) and passages(passage_id, canon) by the grams they share, from a least overlap on.
 

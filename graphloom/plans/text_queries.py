@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.jsons import leaves
 from ..operators import contamination as cn
 from ..operators import retrieval as rt
 from ..session import save, small_enough
@@ -181,6 +182,24 @@ def contamination_strata(spark: SparkSession, d: str) -> DataFrame:
     return cn.strata(best.select(cn.stratum(F.col("overlap"), F.lit(False), F.lit(False)).alias("stratum"))).withColumn("share_clean", F.round("share_clean", 6))
 
 
+@query(r"""with e as (select event_id, event_type as t, user_id as u, (props->>'$.k')::bigint as k from events),
+p as (
+  select event_id, 'node:' || event_id || ':kind' as origin, t || ' seen' as text, 1 as a from e
+  union all select event_id, 'node:' || event_id || ':notes', 'item ' || k, 2 from e union all select event_id, 'node:' || event_id || ':notes', t || ', ' || u || '!', 3 from e
+  union all select event_id, 'node:' || event_id || ':deep', 'user (' || u || ')', 4 from e where k % 2 = 0),
+c as (select *, regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g') as canon from p)
+select origin, text, canon from c where length(canon) >= 5 qualify row_number() over (partition by canon order by event_id, a) = 1""")
+def corpus_passages(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    note = F.to_json(F.struct(F.concat_ws(" ", "event_type", F.lit("seen")).alias("kind"), F.lit(7).alias("n")))
+    inner = F.concat(F.lit('["item '), "k", F.lit('", 5, null, {"b": true, "c": "'), "event_type", F.lit(", "), "user_id", F.lit('!"}]'))
+    deep = F.when(F.col("k") % 2 == 0, F.concat(F.lit('{"x": [[{"y": "user ('), "user_id", F.lit(')"}]]}'))).otherwise(F.lit("[]"))
+    made = F.concat(F.rtrim(note, F.lit("}")), F.lit(', "notes": '), inner, F.lit(', "deep": '), deep, F.lit("}"))
+    parts = leaves(e.select(F.col("event_id").alias("id"), made.alias("attrs")), "attrs", ["id"])
+    listed = parts.select(F.concat_ws(":", F.lit("node"), "id", "key").alias("origin"), "text", F.concat(F.array(F.col("id").cast("long")), "path").alias("ord"))
+    return cn.corpus(listed).select("origin", "text", "canon")
+
+
 _ITEM_GRAMS = _GRAMS.replace("m as (select * from o qualify", "m2 as (select * from o qualify").replace("partition by c order by round(greatest(j, gc, cg), 9) desc, k desc, b)", "partition by b order by round(greatest(j, gc, cg), 9) desc, k desc, c)")
 
 

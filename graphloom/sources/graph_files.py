@@ -40,13 +40,21 @@ def read_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return nodes, drop_dangling(edges, nodes)
 
 
+def _as_json(attrs: Column) -> Column:
+    """A map as a JSON object in which the listed attributes that hold JSON are values, not texts."""
+    text = lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
+    holds = lambda k, v: k.isin(*JSON_ATTRIBUTES) & F.ltrim(v).rlike(r"^[\[{]") & F.try_parse_json(v).isNotNull()
+    entries = F.transform(F.map_entries(F.map_filter(attrs, lambda k, v: v.isNotNull())), lambda e: F.concat(text(e["key"]), F.lit(":"), F.when(holds(e["key"], e["value"]), e["value"]).otherwise(text(e["value"]))))
+    return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
+
+
 _DATA = "array<struct<_key:string,_VALUE:string>>"
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a GraphML file: data elements become a map by the names of the file's keys.
 
-    Values of the listed attributes that are JSON stay JSON in the map; integers stay text until a caller casts them.
+    Values of the listed attributes that are JSON are JSON in ``attrs``; integers stay text until a caller casts them.
     """
     xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
     keys = xml("key", "_id string, `_attr.name` string").select(F.col("_id").alias("k"), F.coalesce(F.col("`_attr.name`"), F.col("_id")).alias("field"))
@@ -63,7 +71,7 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     docs = lambda m: F.coalesce(F.from_json(F.try_element_at(m, F.lit("source_docs")), "array<string>"), F.array().cast("array<string>"))
     at = lambda k: F.try_element_at(F.col("attrs"), F.lit(k))
     name = F.coalesce(*[F.nullif(at(k), F.lit("")) for k in ("name", "title", "doc_id")], F.lit(""))
-    nodes = nodes.select("id", at("type").alias("type"), name.alias("name"), docs(F.col("attrs")).alias("source_docs"), F.from_json(at("first_mention"), "doc_id string, sentence string").alias("first_mention"), F.to_json("attrs").alias("attrs"), "ord")
+    nodes = nodes.select("id", at("type").alias("type"), name.alias("name"), docs(F.col("attrs")).alias("source_docs"), F.from_json(at("first_mention"), "doc_id string, sentence string").alias("first_mention"), _as_json(F.col("attrs")).alias("attrs"), "ord")
     edges = attributes(xml("edge", f"_id string, _source string, _target string, data {_DATA}"), [F.col("_id").alias("eid"), F.col("_source").alias("source"), F.col("_target").alias("target")])
     edges = edges.select(F.coalesce(at("_id"), "eid").alias("id"), at("type").alias("type"), "source", "target", docs(F.col("attrs")).alias("source_docs"), _evidence(F.coalesce(at("evidence"), F.lit(""))).alias("evidence"), at("evidence_type").alias("evidence_type"), at("claim_type").alias("claim_type"), "ord")
     return nodes, drop_dangling(edges, nodes)
