@@ -74,22 +74,17 @@ def contrast_table(items: DataFrame, metric: str, contrasts: Sequence[tuple[str,
 def macro_contrast_table(items: DataFrame, metric: str, family: str, subtask: str, cluster: str, contrasts: Sequence[tuple[str, str]] = ev.CONTRASTS, resamples: int = st.RESAMPLES) -> DataFrame:
     """contrast_table() for the mean over families of the means over their subtasks: interval and test are of that very mean.
 
-    Models and contrasts are few; each of them is one bootstrap, and only its name comes to the driver.
+    All models and contrasts are one job.
     """
     labels = ev.latest(items, ["model", "condition", "case_id"], "ord").select("model", F.col("condition").alias("first_"), "case_id", F.col(family).cast("string").alias("family"), F.coalesce(F.col(subtask).cast("string"), F.lit("unknown")).alias("stratum"))
     pairs = all_pairs(items, metric, contrasts, cluster).withColumn("first_", F.substring_index("contrast", "->", 1))
     pairs = save(pairs.join(labels, ["model", "first_", "case_id"]).drop("first_"), "macro-pairs")
-    out = None
-    for r in pairs.select("model", "contrast").distinct().collect():
-        own = pairs.where((F.col("model") == r.model) & (F.col("contrast") == r.contrast))
-        boot = st.macro_bootstrap(own, "family", "stratum", "cluster", resamples=resamples)
-        by = own.groupBy("family", "stratum").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.count("*").alias("n")).groupBy("family").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.sum("n").alias("n"))
-        mean = by.agg(F.sum("n").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
-        row = mean.crossJoin(boot).select(F.lit(r.model).alias("model"), F.lit(r.contrast).alias("contrast"), "n", "mean_a", "mean_b", "delta", "ci_low", "ci_high", "p_value")
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        return items.sparkSession.createDataFrame([], "model string, contrast string, n long, mean_a double, mean_b double, delta double, ci_low double, ci_high double, p_value double, p_holm double, significant boolean")
-    return corrected(save(out, "macro"), ["model", "contrast"])
+    keys = ["model", "contrast"]
+    boot = st.macro_bootstrap(pairs, "family", "stratum", "cluster", resamples=resamples, keys=keys)
+    by = pairs.groupBy(*keys, "family", "stratum").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.count("*").alias("n")).groupBy(*keys, "family").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.sum("n").alias("n"))
+    mean = by.groupBy(*keys).agg(F.sum("n").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
+    out = mean.join(boot, keys).select(*keys, "n", "mean_a", "mean_b", "delta", "ci_low", "ci_high", "p_value")
+    return corrected(save(out, "macro"), keys)
 
 
 def verification_stratum_table(items: DataFrame, metric: str, first: str = "M3C", last: str = "M4", least: int = st.MIN_STRATUM, resamples: int = st.RESAMPLES) -> DataFrame:

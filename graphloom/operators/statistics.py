@@ -68,24 +68,27 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], unit: str, **kwargs) ->
     return out.join(signs, keys) if keys else out.crossJoin(signs)
 
 
-def macro_bootstrap(pairs: DataFrame, family: str | None, stratum: str, cluster: str, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """delta, ci_low, ci_high, p_value of the mean over families of the mean over their strata; clusters are drawn within strata.
+def macro_bootstrap(pairs: DataFrame, family: str | None, stratum: str, cluster: str, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA, keys: list[str] | None = None) -> DataFrame:
+    """keys, delta, ci_low, ci_high, p_value of the mean over families of the mean over their strata; clusters are drawn within strata.
 
-    Without families all strata count alike.  A stratum in two families is an error.
+    All keys are one job, and the same draws serve each of them.  Without families all strata count alike.  A stratum in two
+    families is an error.
     """
+    keys = keys or []
     fam = F.lit("all") if family is None else F.col(family)
-    base = pairs.select(fam.alias("fam"), F.col(stratum).alias("st"), F.col(cluster).alias("c_"), (F.col("b") - F.col("a")).alias("d"))
-    twice = base.select("fam", "st").distinct().groupBy("st").count().where("count > 1")
-    sums = base.groupBy("fam", "st", "c_").agg(F.sum("d").alias("d"), F.count("*").alias("n"))
+    base = pairs.select(*keys, fam.alias("fam"), F.col(stratum).alias("st"), F.col(cluster).alias("c_"), (F.col("b") - F.col("a")).alias("d"))
+    twice = base.select(*keys, "fam", "st").distinct().groupBy(*keys, "st").count().where("count > 1")
+    sums = base.groupBy(*keys, "fam", "st", "c_").agg(F.sum("d").alias("d"), F.count("*").alias("n"))
     guard = twice.agg(F.when(F.count("*") > 0, F.raise_error(F.lit("a stratum is in two families")).cast("int")).otherwise(F.lit(0)).alias("ok"))
-    placed = sums.withColumn("place", F.row_number().over(Window.partitionBy("fam", "st").orderBy("c_")) - 1)
-    size = sums.groupBy("fam", "st").agg(F.count("*").alias("m"), (F.sum("d") / F.sum("n")).alias("delta"))
-    macro = lambda df, keys, v: df.groupBy(*keys, "fam").agg(F.avg(v).alias("f")).groupBy(*keys).agg(F.avg("f").alias("stat"))
-    slots = _slots(size.select("fam", "st", "m"), resamples)
-    drawn = slots.select("fam", "st", "rep", pick(seed, F.col("rep"), F.concat_ws("/", "fam", "st", "slot"), F.col("m")).cast("int").alias("place"))
-    per = drawn.join(_beside_draws(placed.select("fam", "st", "place", "d", "n")), ["fam", "st", "place"]).groupBy("rep", "fam", "st").agg((F.sum("d") / F.sum("n")).alias("v"))
-    whole = macro(size, [], "delta").select(F.col("stat").alias("delta")).crossJoin(guard).where("ok = 0").drop("ok")
-    return _interval(macro(per, ["rep"], "v").crossJoin(whole), [], resamples, alpha)
+    placed = sums.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "fam", "st").orderBy("c_")) - 1)
+    size = sums.groupBy(*keys, "fam", "st").agg(F.count("*").alias("m"), (F.sum("d") / F.sum("n")).alias("delta"))
+    macro = lambda df, by, v: df.groupBy(*by, "fam").agg(F.avg(v).alias("f")).groupBy(*by).agg(F.avg("f").alias("stat"))
+    slots = _slots(size.select(*keys, "fam", "st", "m"), resamples)
+    drawn = slots.select(*keys, "fam", "st", "rep", pick(seed, F.col("rep"), F.concat_ws("/", "fam", "st", "slot"), F.col("m")).cast("int").alias("place"))
+    per = drawn.join(_beside_draws(placed.select(*keys, "fam", "st", "place", "d", "n")), [*keys, "fam", "st", "place"]).groupBy(*keys, "rep", "fam", "st").agg((F.sum("d") / F.sum("n")).alias("v"))
+    whole = macro(size, keys, "delta").withColumnRenamed("stat", "delta").crossJoin(guard).where("ok = 0").drop("ok")
+    reps = macro(per, [*keys, "rep"], "v")
+    return _interval(reps.join(whole, keys) if keys else reps.crossJoin(whole), keys, resamples, alpha)
 
 
 @F.pandas_udf(T.DoubleType())

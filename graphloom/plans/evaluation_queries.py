@@ -499,3 +499,26 @@ def contrast_table(spark: SparkSession, d: str) -> DataFrame:
     out = rp.contrast_table(arm("M0", "toxic").unionByName(arm("M1", "quality")), "score")
     near = lambda c: F.round(F.col(c) + 1e-9, 5).alias(c)
     return _r(out.select("model", "contrast", "n", "mean_a", "mean_b", "delta", "test", near("p_value"), near("p_holm")), "mean_a", "mean_b", "delta")
+
+
+@query(f"""with {_L}, p as (
+  select 'm' || (doc_id % 2) as model, lang as fam, lang || '|' || (doc_id % 3) as st, source as c, unnest(['M0->M1', 'M0->M2']) as contrast, toxic::double as a, unnest([quality::double, (doc_id % 5 < 2)::int::double]) as b from x where quality is not null),
+gr as (select model, contrast, fam, st, c, sum(b - a) as d, count(*) as n from p group by all),
+sz as (select model, contrast, fam, st, count(*) as m, sum(d) / sum(n) as delta from gr group by all),
+w as (select model, contrast, avg(f) as delta from (select model, contrast, fam, avg(delta) as f from sz group by all) group by all),
+mb as (select model, contrast, sum(n)::bigint as n, avg(a) as mean_a, avg(b) as mean_b from (select model, contrast, fam, sum(n) as n, avg(a) as a, avg(b) as b from (select model, contrast, fam, st, count(*) as n, avg(a) as a, avg(b) as b from p group by all) group by all) group by all),
+pl as (select *, row_number() over (partition by model, contrast, fam, st order by c) - 1 as place from gr),
+dr as (select model, contrast, fam, st, r, ('0x' || substr(md5('20260829:' || r || ':' || fam || '/' || st || '/' || s), 1, 8))::bigint % m as place from sz, range(0, {REPS}) a(r), lateral (select unnest(range(0, m)) as s)),
+ps as (select model, contrast, r, fam, st, sum(d) / sum(n) as v from dr join pl using (model, contrast, fam, st, place) group by all), pf as (select model, contrast, r, fam, avg(v) as f from ps group by all), rp as (select model, contrast, r, avg(f) as stat from pf group by all),
+ci as (select model, contrast, delta, list(stat order by stat) as ss, count(*) filter (abs(stat - delta) >= abs(delta)) as beyond from rp join w using (model, contrast) group by all),
+t as (select *, (beyond + 1)::double / {REPS + 1} as p from ci),
+h as (select *, round(least(1.0::double, (count(*) over () - row_number() over (order by p, model || '|' || contrast) + 1) * p), 9) as step from t)
+select model, contrast, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(delta, 6) as delta, round(ss[{_LO + 1}], 6) as ci_low, round(ss[{_HI + 1}], 6) as ci_high, round(p, 6) as p_value,
+  round(max(step) over (order by p, model || '|' || contrast rows unbounded preceding), 6) as p_holm from h join mb using (model, contrast)""")
+def macro_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    x = _labelled(spark, d).where("quality is not null")
+    none = [F.lit(None).cast("string").alias(c) for c in ("parity_error", "branch_group", "verification_stratum")]
+    arm = lambda c, v: x.select(F.concat(F.lit("m"), F.col("doc_id") % 2).alias("model"), F.lit(c).alias("condition"), F.col("doc_id").alias("case_id"), F.lit(0).alias("ord"), v.cast("double").alias("score"), F.col("lang").alias("family"), F.concat_ws("|", "lang", F.col("doc_id") % 3).alias("subtask"), "source", *none)
+    arms = arm("M0", F.col("toxic")).unionByName(arm("M1", F.col("quality"))).unionByName(arm("M2", (F.col("doc_id") % 5 < 2).cast("int")))
+    out = rp.macro_contrast_table(arms, "score", "family", "subtask", "source", (("M0", "M1"), ("M0", "M2")))
+    return _r(out.select("model", "contrast", "n", "mean_a", "mean_b", "delta", "ci_low", "ci_high", "p_value", "p_holm"), "mean_a", "mean_b", "delta", "ci_low", "ci_high", "p_value", "p_holm")
