@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,31 +36,82 @@ def words(text: Column) -> Column:
 MOST_ASKED, SCORES = 300_000, 2_000_000
 
 
+#: Changes whenever lists are made otherwise.
+INDEX_VERSION = "1"
+
+
+def fingerprint(settings: dict) -> str:
+    """16 hexadecimal digits for a set of named settings, whatever their order."""
+    return hashlib.sha256("|".join(f"{k}={settings[k]}" for k in sorted(settings)).encode()).hexdigest()[:16]
+
+
+def index_key(docs: DataFrame, settings: dict, id_col: str = "id", text_col: str = "text", part: Column | None = None, content: str | None = None) -> str:
+    from .graph import content_hash
+
+    if content is not None:
+        return hashlib.sha256("|".join([INDEX_VERSION, content, fingerprint(settings)]).encode()).hexdigest()[:20]
+    own = docs.select((F.lit("all") if part is None else part.cast("string")).alias("part"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return index_key(docs, settings, content=str(content_hash(own, ["part", "id", "text"]).first()[0]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where a few small files would leave cores idle; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Bm25Index:
     """Term lists (part, id, terms) with statistics for each part, say a domain: N, average length and document frequencies differ by part.
 
-    The lists are written on first use, and by save_to() where they are to stay; load() reads such an index.
+    The lists are made and written once, by the first search; later ones read them.  save_to() writes them where they are to stay,
+    load() reads such an index, and cached() does either by the content of the documents.
     """
 
     def __init__(self, docs: DataFrame, terms, id_col: str = "id", text_col: str = "text", part: Column | None = None):
         part = F.lit("all") if part is None else part
-        self._keep(docs.select(part.cast("string").alias("part"), F.col(id_col).alias("id"), terms(F.col(text_col)).alias("terms")).where("size(terms) > 0").select("part", "id", F.size("terms").cast("long").alias("dl"), "terms"))
+        own = spread(docs.select(part.cast("string").alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+        self._keep(own.select("part", "id", terms(F.col("text")).alias("terms")).where("size(terms) > 0").select("part", "id", F.size("terms").cast("long").alias("dl"), "terms"), False)
+
+    def _keep(self, listed: DataFrame, written: bool) -> None:
+        self._listed, self._written = listed, written
 
-    def _keep(self, listed: DataFrame) -> None:
-        self.listed = listed
-        self.stats = listed.groupBy("part").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    @property
+    def listed(self) -> DataFrame:
+        if not self._written:
+            self._keep(save(self._listed, "term-lists"), True)
+        return self._listed
+
+    @property
+    def stats(self) -> DataFrame:
+        """part, n_docs, avg_dl; reads lengths only."""
+        return self.listed.groupBy("part").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
     def save_to(self, path: str) -> Bm25Index:
         """Writes the index; what is read back serves later searches."""
-        self.listed.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.load(self.listed.sparkSession, path)
+        self._listed.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.load(self._listed.sparkSession, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
         self = cls.__new__(cls)
-        self._keep(spark.read.parquet(path))
+        self._keep(spark.read.parquet(path), True)
         return self
 
+    @classmethod
+    def cached(cls, docs: DataFrame, terms, root: str, settings: dict, id_col: str = "id", text_col: str = "text", part: Column | None = None, content: str | None = None) -> Bm25Index:
+        """The index under root for these documents and settings, made where there is none yet.
+
+        Its key has the version of the lists, a hash of the documents' content and one of the settings (which have to name the
+        terms), so a changed document or setting gives another index and never meets an old one.  With the content's hash at hand
+        (say, the graph's) the documents aren't read at all where the index is there.
+        """
+        spark, key = docs.sparkSession, index_key(docs, settings, id_col, text_col, part, content)
+        path = f"{root.rstrip('/')}/bm25-{key}"
+        try:
+            return cls.load(spark, path)
+        except AnalysisException:  # none yet, or one whose writing never ended
+            return cls(docs, terms, id_col, text_col, part).save_to(path)
+
     def search(self, queries: DataFrame, terms, query_id: str = "query_id", text_col: str = "text", part_col: str | None = None, limit: int = POOL) -> DataFrame:
         """query_id, id, score, rank: the best by summed term weights, a term's repeats in the query damped by ln(1 + n).
 
@@ -79,7 +132,8 @@ class Bm25Index:
         # term frequencies of what is asked for, a row a document
         used = save(self.listed.where(F.coalesce("part", F.lit("")).isin(sorted({r[0] for r in rows}))).mapInArrow(_frequencies(terms), f"part string, id {id_kind}, dl long, ix array<int>, tf array<int>"), "frequencies")
         df = {(r.part or "", r.ix): r.df for r in used.select("part", F.explode("ix").alias("ix")).groupBy("part", "ix").agg(F.count("*").alias("df")).collect()}
-        stats = {r.part or "": (r.n_docs, r.avg_dl) for r in self.stats.collect()} if rows else {}
+        asked_parts = sorted({r[0] for r in rows})
+        stats = {r.part or "": (r.n_docs, r.avg_dl) for r in self.stats.where(F.coalesce("part", F.lit("")).isin(asked_parts)).collect()} if rows else {}
         at, place = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(queries)}
         by_part: dict[str, list] = {}
         for p, term, query, qf in rows:

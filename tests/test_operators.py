@@ -19,8 +19,11 @@ def kg(spark):
 
 def test_ontology(spark, kg):
     nodes, edges = kg
-    bad = ontology.violations(nodes, graph.drop_dangling(edges, nodes).unionByName(edges.where("target = 'gone'").withColumn("id", F.lit("e"))), ontology.signatures(spark)).collect()
-    assert sorted(r.problem for r in bad) == ["dangling_target", "unknown_edge_type", "unknown_node_type", "unknown_signature"]
+    # e2 has an unknown type and no target, e3 neither end, e4 the wrong way round: an edge tells its first problem only
+    more = spark.createDataFrame([("ODD", "d1", "gone", "e2"), ("HAS_SYNDROME", "nobody", "gone", "e3"), ("HAS_SYNDROME", "s1", "d1", "e4")], "type string, source string, target string, id string")
+    every = graph.drop_dangling(edges, nodes).unionByName(edges.where("target = 'gone'").withColumn("id", F.lit("e"))).unionByName(more, allowMissingColumns=True)
+    bad = ontology.violations(nodes, every, ontology.signatures(spark)).collect()
+    assert sorted((r.problem, r.id, r.detail) for r in bad) == [("dangling_source", "e3", "nobody"), ("dangling_target", "e", "gone"), ("unknown_edge_type", "d1|ODD|s1", "ODD"), ("unknown_edge_type", "e2", "ODD"), ("unknown_node_type", "z", "Alien"), ("unknown_signature", "e4", "Syndrome HAS_SYNDROME Disease")]
     assert "Formula" not in {r.type for r in ontology.visible(nodes, "clinical_reasoning").collect()}
     assert "TreatmentPrinciple" in ontology.visible_types("clinical_reasoning", verification=True)
     with pytest.raises(Exception, match="must not return"):
