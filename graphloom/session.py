@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Own folders of applications that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; an own temporary folder only where it is unset (tests, a single machine)."""
+    """What spark.checkpoint.dir names; an own temporary folder only where it is unset and all tasks run on this machine.
+
+    Spark takes the setting at its start only, so an own folder is remembered here.  On a cluster a folder of one machine would be
+    missed by the others, so there the setting is required.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="graphloom-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        path = _own[app]
     return path.rstrip("/")
 
 
