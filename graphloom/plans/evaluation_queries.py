@@ -9,6 +9,7 @@ from ..functions import scores as sc
 from ..functions import text as tx
 from ..operators import benchmark as bm
 from ..operators import evaluation as ev
+from ..operators import judging as jd
 from ..operators import reports as rp
 from ..operators import rules
 from ..operators import statistics as st
@@ -522,3 +523,15 @@ def macro_contrasts(spark: SparkSession, d: str) -> DataFrame:
     arms = arm("M0", F.col("toxic")).unionByName(arm("M1", F.col("quality"))).unionByName(arm("M2", (F.col("doc_id") % 5 < 2).cast("int")))
     out = rp.macro_contrast_table(arms, "score", "family", "subtask", "source", (("M0", "M1"), ("M0", "M2")))
     return _r(out.select("model", "contrast", "n", "mean_a", "mean_b", "delta", "ci_low", "ci_high", "p_value", "p_holm"), "mean_a", "mean_b", "delta", "ci_low", "ci_high", "p_value", "p_holm")
+
+
+@query("""with e as (select event_type, event_id, (props->>'$.k')::bigint as k from events),
+j as (select event_type, k % 7 = 0 as bad, case when k % 7 = 0 or k % 5 = 0 then null else least(4, greatest(0, k - 3)) / 4.0::double end as info, case when k % 7 <> 0 then (k % 9) / 2 / 4.0::double end as expl, case when k % 7 <> 0 and k % 3 > 0 then (k % 3 = 1)::int end as h from e)
+select event_type, count(*) as n_judged, round(avg(info), 6) as clinical_information, round(avg(expl), 6) as explanation, round(avg(h), 6) as hallucination_rate, count(*) filter (bad) as n_errors from j group by event_type""")
+def judge_means(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    info = F.when(F.col("k") % 5 == 0, '"none"').otherwise((F.col("k") - 3).cast("string"))
+    flag = F.when(F.col("k") % 3 == 1, "true").when(F.col("k") % 3 == 2, "false").otherwise('"maybe"')
+    said = F.concat(F.lit('{"clinical_information": '), info, F.lit(', "explanation": "'), ((F.col("k") % 9) / 2).cast("string"), F.lit('", "hallucination": '), flag, F.lit("}"))
+    text = F.when(F.col("k") % 7 == 0, "I would rather not say").when(F.col("k") % 2 == 0, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).otherwise(said)
+    return _r(jd.aggregate(jd.judged(e.select("event_type", text.alias("text"))), ["event_type"]), "clinical_information", "explanation", "hallucination_rate")
