@@ -29,7 +29,7 @@ def virtual_documents(parts: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
 #: Query terms that may go to every task, at some 50 bytes each, and scores held at once.
@@ -63,8 +63,8 @@ def spread(df: DataFrame) -> DataFrame:
 class Bm25Index:
     """Term lists (part, id, terms) with statistics for each part, say a domain: N, average length and document frequencies differ by part.
 
-    The lists are made and written once, by the first search; later ones read them.  save_to() writes them where they are to stay,
-    load() reads such an index, and cached() does either by the content of the documents.
+    The first search makes the lists and keeps what it is asked for; the second writes them, and it and later ones read them.
+    save_to() writes them where they are to stay, load() reads such an index, and cached() does either by the content of the documents.
     """
 
     def __init__(self, docs: DataFrame, terms, id_col: str = "id", text_col: str = "text", part: Column | None = None):
@@ -73,7 +73,7 @@ class Bm25Index:
         self._keep(own.select("part", "id", terms(F.col("text")).alias("terms")).where("size(terms) > 0").select("part", "id", F.size("terms").cast("long").alias("dl"), "terms"), False)
 
     def _keep(self, listed: DataFrame, written: bool) -> None:
-        self._listed, self._written = listed, written
+        self._listed, self._written, self._searched = listed, written, False
 
     @property
     def listed(self) -> DataFrame:
@@ -84,7 +84,7 @@ class Bm25Index:
     @property
     def stats(self) -> DataFrame:
         """part, n_docs, avg_dl; reads lengths only."""
-        return self.listed.groupBy("part").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+        return _statistics(self.listed)
 
     def save_to(self, path: str) -> Bm25Index:
         """Writes the index; what is read back serves later searches."""
@@ -128,12 +128,13 @@ class Bm25Index:
     def _scored_in_tasks(self, asked: DataFrame, limit: int) -> DataFrame:
         rows = sorted((r.part or "", r.term, r.query_id, r.qf) for r in asked.collect())
         terms, queries = sorted({r[1] for r in rows}), sorted({r[2] for r in rows})
-        id_kind, query_kind = self.listed.schema["id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
-        # term frequencies of what is asked for, a row a document
-        used = save(self.listed.where(F.coalesce("part", F.lit("")).isin(sorted({r[0] for r in rows}))).mapInArrow(_frequencies(terms), f"part string, id {id_kind}, dl long, ix array<int>, tf array<int>"), "frequencies")
+        lists = self.listed if self._searched else self._listed
+        self._searched = True
+        id_kind, query_kind = lists.schema["id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+        # lengths and term frequencies of what is asked for, a row a document
+        used = save(lists.where(F.coalesce("part", F.lit("")).isin(sorted({r[0] for r in rows}))).mapInArrow(_frequencies(terms), f"part string, id {id_kind}, dl long, ix array<int>, tf array<int>"), "frequencies")
         df = {(r.part or "", r.ix): r.df for r in used.select("part", F.explode("ix").alias("ix")).groupBy("part", "ix").agg(F.count("*").alias("df")).collect()}
-        asked_parts = sorted({r[0] for r in rows})
-        stats = {r.part or "": (r.n_docs, r.avg_dl) for r in self.stats.where(F.coalesce("part", F.lit("")).isin(asked_parts)).collect()} if rows else {}
+        stats = {r.part or "": (r.n_docs, r.avg_dl) for r in _statistics(used).collect()} if rows else {}
         at, place = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(queries)}
         by_part: dict[str, list] = {}
         for p, term, query, qf in rows:
@@ -141,7 +142,7 @@ class Bm25Index:
                 n, k = stats[p][0], df[p, at[term]]
                 by_part.setdefault(p, []).append((at[term], place[query], np.log(1 + (n - k + 0.5) / (k + 0.5)) * np.log(1 + qf)))
         weights = {p: (stats[p][1], *(np.array(c) for c in zip(*w, strict=True))) for p, w in by_part.items()}
-        found = used.mapInArrow(_scores(weights, len(terms), len(queries), limit), f"q long, id {id_kind}, score double")
+        found = used.where("size(ix) > 0").mapInArrow(_scores(weights, len(terms), len(queries), limit), f"q long, id {id_kind}, score double")
         names = asked.select("query_id").distinct().withColumn("q", F.array_position(F.lit(queries), F.col("query_id")).cast("long") - 1) if 0 < len(queries) <= 1000 else asked.sparkSession.createDataFrame([(i, q) for i, q in enumerate(queries)], f"q long, query_id {query_kind}")
         return found.join(F.broadcast(names), "q").select("query_id", "id", "score")
 
@@ -154,6 +155,10 @@ class Bm25Index:
         return asked.join(idf, ["part", "term"]).join(used, ["part", "term"]).groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
 
 
+def _statistics(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("part").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+
+
 def _frequencies(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(terms, pa.string())
@@ -165,8 +170,7 @@ def _frequencies(terms: list[str]):
             keys, tf = np.unique((own * max(1, len(terms)) + ix)[ix >= 0], return_counts=True)
             ends = np.searchsorted(keys // max(1, len(terms)), np.arange(batch.num_rows + 1)).astype(np.int32)
             listed = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v.astype(np.int32))) for v in (keys % max(1, len(terms)), tf)]
-            out = pa.RecordBatch.from_arrays([*batch.columns[:3], *listed], names=["part", "id", "dl", "ix", "tf"])
-            yield out.filter(pa.array(np.diff(ends) > 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *listed], names=["part", "id", "dl", "ix", "tf"])
 
     return run
 
