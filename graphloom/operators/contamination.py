@@ -16,6 +16,10 @@ from ..session import save, small_enough
 # fixed values
 GRAM, LIKELY, POSSIBLE = 5, 0.40, 0.20
 SHORTEST_PASSAGE, SHORTEST_EXACT, SHORTEST_CITATION = 5, 6, 6
+#: The fields of a kind of case that ask, and those that answer.
+CASE_FIELDS = {"sdt": ("clinical_data", "clinical_information"), "pa": ("question", "explanation"), "cp": ("vignette", "question")}
+ANSWER_FIELDS = {"sdt": ("syndrome_text", "pathogenesis_text", "explanatory_summary", "syndrome_differentiation"), "pa": ("answer_text", "rule_summary"), "cp": ("answer_text",)}
+MOST_PASSAGE_SHOWN, CLOSEST = 60, 10
 #: What may go to every task: passages and their postings (16 bytes each); different needles and their letters.
 MOST_PASSAGES, MOST_POSTINGS, MOST_NEEDLES, MOST_NEEDLE_CHARS = 5_000, 1_000_000, 20_000, 4_000_000
 
@@ -283,3 +287,37 @@ def staleness(recorded: DataFrame, current: DataFrame, key: str = "field", value
     """field, recorded, current where both sides have a value and they differ."""
     both = recorded.select(key, F.col(value).alias("recorded")).join(current.select(key, F.col(value).alias("current")), key)
     return both.where("coalesce(recorded, '') <> '' and coalesce(current, '') <> '' and recorded <> current")
+
+
+def text_of_fields(df: DataFrame, fields: tuple[str, ...]) -> Column:
+    """The fields that df has, lists opened, blanks between, nothing for what is empty (Q8)."""
+    kinds = dict(df.dtypes)
+    parts = [F.array_join(F.col(f).cast("array<string>"), " ") if kinds[f].startswith("array") else F.col(f).cast("string") for f in fields if f in kinds]
+    return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]) if parts else F.lit("")
+
+
+def audit_inputs(items: DataFrame, kind: str, id_col: str = "id", letters: str = "answer_letters", options: str = "options", fold=bare_text) -> tuple[DataFrame, DataFrame]:
+    """(cases, parts) for audit(): what a case asks, and every gold option and the answer's own fields as parts of their own.
+
+    Two gold options that stand in different passages are two leaks; put together they would be found in none.
+    """
+    cases = items.select(F.col(id_col).alias("case_id"), fold(text_of_fields(items, CASE_FIELDS[kind])).alias("canon"))
+    answer = items.select(F.col(id_col).alias("case_id"), F.lit("answer").alias("part"), F.trim(text_of_fields(items, ANSWER_FIELDS[kind])).alias("text"))
+    if options in items.columns and letters in items.columns:
+        chosen = items.select(F.col(id_col).alias("case_id"), F.explode(letters).alias("part"), options).select("case_id", "part", F.trim(F.try_element_at(options, "part")).alias("text"))
+        answer = chosen.unionByName(answer)
+    parts = answer.where("text <> ''").select("case_id", "part", fold(F.col("text")).alias("canon"))
+    return cases, parts
+
+
+def closest(audited: DataFrame, n: int = CLOSEST) -> DataFrame:
+    """The cases with the largest overlaps, ties by case (F6): the report shows so many."""
+    return audited.orderBy(F.desc("overlap"), "case_id").limit(n)
+
+
+def report(audited: DataFrame) -> str:
+    """An audit as Markdown (M5): its strata and its closest cases."""
+    from .evaluation import markdown
+
+    shown = closest(audited).select("case_id", "stratum", "jaccard", "graph_in_case", "case_in_graph", "n_exact_parts", F.substring(F.replace(F.coalesce("cited", F.lit("")), F.lit("|"), F.lit("／")), 1, MOST_PASSAGE_SHOWN).alias("cited"))
+    return "\n\n".join(["# Contamination", markdown(strata(audited)), "## Closest cases", markdown(shown.orderBy(F.desc("jaccard"), "case_id"))]) + "\n"

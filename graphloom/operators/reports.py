@@ -19,6 +19,8 @@ KG_CONTRASTS = (("M1", "M2"), ("M2C", "M3"))
 VERIFICATION_STRATA = ("deterministic", "audit_only", "not_applicable")
 #: target, dataset, metric
 TARGETS = (("PA (all rules)", "pa", "exact"), ("SDT task 3 syndrome", "sdt", "task3_syndrome"), ("SDT task 2 pathogenesis", "sdt", "task2_pathogenesis"), ("SDT task 1 clinical info", "sdt", "task1_clinical_information"), ("SDT task 4 explanation", "sdt", "task4_explanation"))
+#: How what a target asks for is in the graph: as entities and edges, in part, as nothing of its own, or not at all.
+RELATION_TO_GRAPH = {"PA (all rules)": "explicit", "SDT task 3 syndrome": "partial", "SDT task 2 pathogenesis": "implicit", "SDT task 1 clinical info": "unaided", "SDT task 4 explanation": "unaided"}
 GROUNDABILITY = {
     "A-002": "grounded", "A-006": "grounded", "N-003": "grounded",
     "A-004": "partial", "A-005": "partial", "A-007": "partial", "A-008": "partial", "N-007": "partial", "N-009": "partial",
@@ -137,6 +139,12 @@ def target_gains(items: DataFrame, targets: Sequence[tuple[str, str, str]] = TAR
     return out
 
 
+def explicit_vs_implicit(gains: DataFrame) -> DataFrame:
+    """relation, n_targets, mean_first, mean_delta of target_gains(): targets whose knowledge the graph holds against those that it only narrows (D19)."""
+    known = F.create_map(*[F.lit(x) for kv in RELATION_TO_GRAPH.items() for x in kv])
+    return gains.groupBy(F.coalesce(known[F.col("target")], F.lit("unknown")).alias("relation")).agg(F.count("*").alias("n_targets"), F.avg("mean_first").alias("mean_first"), F.avg("mean_delta").alias("mean_delta"))
+
+
 def groundability(rule: Column) -> Column:
     """Whether the graph can ground a family of rules."""
     known = F.create_map(*[F.lit(x) for kv in GROUNDABILITY.items() for x in kv])
