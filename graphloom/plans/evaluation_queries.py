@@ -511,7 +511,7 @@ mb as (select model, contrast, sum(n)::bigint as n, avg(a) as mean_a, avg(b) as
 pl as (select *, row_number() over (partition by model, contrast, fam, st order by c) - 1 as place from gr),
 dr as (select model, contrast, fam, st, r, ('0x' || substr(md5('20260829:' || r || ':' || fam || '/' || st || '/' || s), 1, 8))::bigint % m as place from sz, range(0, {REPS}) a(r), lateral (select unnest(range(0, m)) as s)),
 ps as (select model, contrast, r, fam, st, sum(d) / sum(n) as v from dr join pl using (model, contrast, fam, st, place) group by all), pf as (select model, contrast, r, fam, avg(v) as f from ps group by all), rp as (select model, contrast, r, avg(f) as stat from pf group by all),
-ci as (select model, contrast, delta, list(stat order by stat) as ss, count(*) filter (abs(stat - delta) >= abs(delta)) as beyond from rp join w using (model, contrast) group by all),
+ci as (select model, contrast, delta, list(stat order by stat) as ss, count(*) filter (round(abs(stat - delta), 12) >= round(abs(delta), 12)) as beyond from rp join w using (model, contrast) group by all),
 t as (select *, (beyond + 1)::double / {REPS + 1} as p from ci),
 h as (select *, round(least(1.0::double, (count(*) over () - row_number() over (order by p, model || '|' || contrast) + 1) * p), 9) as step from t)
 select model, contrast, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(delta, 6) as delta, round(ss[{_LO + 1}], 6) as ci_low, round(ss[{_HI + 1}], 6) as ci_high, round(p, 6) as p_value,
