@@ -25,6 +25,8 @@ WIDTH, GRAM = 50, 24
 _SPAN = WIDTH - GRAM + 1
 #: Bytes hashed at a time, bytes of text in a block of documents, windows in a string, and the bits of the bitmap at most (64 MB).
 _PIECE, BLOCK, MOST_WINDOWS, MOST_BITS = 1 << 16, 24_000_000, 96, 1 << 29
+#: Bytes of text for a part (its strings come to 4.5 times that at most), sorts that a part is cut into, bytes of strings sent on at a time.
+PART, SORTS, _SENT = 4_000_000, 16, 16_000_000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 FAR = np.int64(2**63 - 1)
 
@@ -149,10 +151,10 @@ def _hash_lists(parts: int):
             several = np.maximum.reduceat(of, start) != of[start]
             h, one = h[start], of[start]
             order, bounds = _split(h & mask, parts)
-            for p in range(parts):
-                rows = order[bounds[p] : bounds[p + 1]]
-                if len(rows):
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "hashes": [h[rows].tobytes()], "several": [np.packbits(several[rows]).tobytes()], "ids": [one[rows].tobytes()]})
+            h, several, one = h[order], several[order], one[order]
+            there = np.flatnonzero(np.diff(bounds))
+            cut = [slice(bounds[p], bounds[p + 1]) for p in there.tolist()]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(there, pa.int32()), "hashes": [h[c].tobytes() for c in cut], "several": [np.packbits(several[c]).tobytes() for c in cut], "ids": [one[c].tobytes() for c in cut]})
 
     return lists
 
@@ -232,68 +234,97 @@ def _strings(parts: int, bits: int, bitmap):
             np.minimum.at(least, number, ids[doc])
             np.maximum.at(most, number, ids[doc])
             texts = list(numbers)
-            order, bounds = _split(np.array(hashes, np.uint64) & mask, parts)
+            hashed = np.array(hashes, np.uint64)
+            sort = _sorts(hashed, parts)
+            order, bounds = _split((hashed & mask) * np.uint64(SORTS) + sort, parts * SORTS)
+            bounds = bounds[::SORTS]
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            for p in range(parts):
+            lengths = np.fromiter(map(len, texts), np.int32, len(texts))
+            sent, size = [], 0
+            for p in np.flatnonzero(np.diff(bounds)).tolist():
                 rows = order[bounds[p] : bounds[p + 1]]
-                if len(rows):
-                    own = [texts[k] for k in rows.tolist()]
-                    yield _row(block.name, p, text=b"".join(own), lengths=np.array([len(t) for t in own], np.int32), least=least[rows], most=most[rows])
+                text = b"".join([texts[k] for k in rows.tolist()])
+                sent.append((p, {"text": text, "lengths": lengths[rows], "sorts": sort[rows].astype(np.uint8), "least": least[rows], "most": most[rows]}))
+                size += len(text)
+                if size >= _SENT:
+                    yield _rows(block.name, sent)
+                    sent, size = [], 0
+            if sent:
+                yield _rows(block.name, sent)
             # where each string stands, in the order of the parts
             order = np.argsort(rank[number], kind="stable")
-            yield _row(block.name, -1, number=rank[number][order].astype(np.int32), doc=doc[order].astype(np.int32), start=start[order].astype(np.int64), ids=ids, keys=np.array(block.keys, np.int64), bounds=bounds.astype(np.int64))
+            yield _rows(block.name, [(-1, {"number": rank[number][order].astype(np.int32), "doc": doc[order].astype(np.int32), "start": start[order].astype(np.int64), "ids": ids, "keys": np.array(block.keys, np.int64), "bounds": bounds.astype(np.int64)})])
 
     return strings
 
 
-_FIELDS = ("text", "lengths", "least", "most", "number", "doc", "start", "ids", "keys", "bounds")
+_FIELDS = ("text", "lengths", "sorts", "least", "most", "number", "doc", "start", "ids", "keys", "bounds")
 
 
-def _row(block: str, part: int, **values: bytes | np.ndarray) -> pa.RecordBatch:
-    cells = {f: pa.array([v if (v := values.get(f)) is None or isinstance(v, bytes) else v.tobytes()], pa.binary()) for f in _FIELDS}
-    return pa.RecordBatch.from_pydict({"block": [block], "part": pa.array([part], pa.int32()), **cells})
+def _rows(block: str, rows: list[tuple[int, dict[str, bytes | np.ndarray]]]) -> pa.RecordBatch:
+    cells = {f: pa.array([v if (v := values.get(f)) is None or isinstance(v, bytes) else v.tobytes() for _, values in rows], pa.binary()) for f in _FIELDS}
+    return pa.RecordBatch.from_pydict({"block": [block] * len(rows), "part": pa.array([p for p, _ in rows], pa.int32()), **cells})
 
 
-def _words(text: np.ndarray, width: int) -> np.ndarray:
-    """The big-endian number of the `width` bytes at every position."""
-    out, n = text.astype(np.uint64), 1
-    padded = np.concatenate([text, np.zeros(width, np.uint8)]).astype(np.uint64)
-    for n in range(1, width):
-        out = (out << np.uint64(8)) | padded[n : n + len(text)]
-    return out
+def _sorts(h: np.ndarray, parts: int) -> np.ndarray:
+    """Which of a part's sorts a hash belongs to: bits that neither name its part nor lead in its place in the bitmap."""
+    return (h >> np.uint64(parts.bit_length() - 1)) % np.uint64(SORTS)
 
 
-def _named(keys: tuple[np.ndarray, ...]) -> np.ndarray:
-    """The rank of each row among the different rows of the keys."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
+def _words(text: np.ndarray, width: int) -> np.ndarray:
+    """The big-endian number of the `width` bytes (6 or 8) at every position, zeros behind the end."""
+    one = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    two = (one[:-1] << np.uint64(8)) | one[1:]
+    four = (two[:-2] << np.uint64(16)) | two[2:]
+    out = (four[:-4] << np.uint64(32)) | four[4:]
+    return (out >> np.uint64(8 * (8 - width)))[: len(text)]
+
+
+def _named(key: np.ndarray) -> np.ndarray:
+    """The rank of each key among the different ones."""
+    order = np.argsort(key)
+    sorted_ = key[order]
     names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(new)
+    names[order] = np.cumsum(np.append(False, sorted_[1:] != sorted_[:-1]))
     return names
 
 
+def _triples(names: np.ndarray, at: np.ndarray, one: int, two: int) -> np.ndarray:
+    """The rank of each triple of names at `at`, `one` and `two` behind it."""
+    bits = int(names.max()).bit_length()
+    first, second, third = names[at], names[at + one], names[at + two]
+    if 3 * bits > 63:  # two at a time where three don't fit
+        return _named((_named((first << bits) | second) << bits) | third)
+    return _named((first << (2 * bits)) | (second << bits) | third)
+
+
 def suffix_order(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The given starts in the order of their first WIDTH bytes, all of which lie in the text."""
-    word = _words(text, 6)
-    # triples of six-byte words name 18 bytes at every sampled position, triples of names 48
-    sampled = np.flatnonzero(np.arange(len(text)) % 3 != 0)
-    name = np.zeros(len(text) + 64, np.int64)
-    padded = np.append(word, np.zeros(64, np.uint64))
-    name[sampled] = _named((padded[sampled], padded[sampled + 6], padded[sampled + 12])) + 1
-    rank = np.zeros(len(text) + 64, np.int64)
-    rank[sampled] = _named((name[sampled], name[sampled + 18], name[sampled + 30]))
-    # sampled suffixes by rank and the two bytes behind it; the others by a byte, the rank behind it and the last byte
-    byte = text.astype(np.int64)
     kind = starts % 3
     cover, rest = starts[kind != 0], starts[kind == 0]
-    cover = cover[np.argsort((rank[cover] << 16) | (byte[cover + 48] << 8) | byte[cover + 49], kind="stable")]
+    # only sampled positions that some start needs are named: its own, those right behind it, and what their triples are made of
+    need = np.zeros(len(text), bool)
+    for own in (cover, starts[kind != 1] + 2, starts[kind != 2] + 1):
+        need[own] = True
+    ranked = np.flatnonzero(need)
+    for far in (18, 30):
+        need[ranked + far] = True
+    triples = np.flatnonzero(need)
+    for far in (6, 12):
+        need[triples + far] = True
+    words = np.flatnonzero(need)
+    # triples of six-byte words name 18 bytes, triples of names 48
+    name, rank = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+    name[words] = _named(_words(text, 6)[words])
+    name[triples] = _triples(name, triples, 6, 12)
+    rank[ranked] = _triples(name, ranked, 18, 30)
+    # sampled suffixes by rank and the two bytes behind it; the others by a byte, the rank behind it and the last byte
+    byte = text.astype(np.int64)
+    cover = cover[np.argsort((rank[cover] << 16) | (byte[cover + 48] << 8) | byte[cover + 49])]
     by_one = lambda i: (byte[i] << 54) | (rank[i + 1] << 8) | byte[i + 49]
     by_two = lambda i: (((byte[i] << 8) | byte[i + 1]) << 46) | rank[i + 2]
-    rest = rest[np.argsort(by_one(rest), kind="stable")]
+    rest = rest[np.argsort(by_one(rest))]
     # merge: a suffix at 0 and one at 1 compare by a byte and a rank, one at 0 and one at 2 by two bytes and a rank
     place = np.empty(len(starts), np.int64)
     place_rest, place_cover = np.arange(len(rest)), np.arange(len(cover))
@@ -326,46 +357,65 @@ def first_owners(text: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> np
     return out[starts]
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each string of a block the least document of every window, where some document of the block is larger."""
-    for part, rows in _by_part(batches):
+def _sorted_part(rows: list[dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, string, first window, windows, owner) of runs of windows with one owner, where some document of the row's block is larger.
+
+    Strings come by their sorts, so only one sort's strings are at hand as numbers and names at a time.
+    """
+    lengths = [np.frombuffer(r["lengths"], np.int32) for r in rows]
+    ends = [np.cumsum(n, dtype=np.int64) for n in lengths]
+    bounds = [np.searchsorted(np.frombuffer(r["sorts"], np.uint8), np.arange(SORTS + 1)) for r in rows]
+    owners, most = ([np.frombuffer(r[c], np.int64) for r in rows] for c in ("least", "most"))
+    for sort in range(SORTS):
         numbers: dict[bytes, int] = {}
         least, asked = [], []
-        for row in rows:
-            own, at = [], 0
-            for length, owner in zip(np.frombuffer(row["lengths"], np.int32).tolist(), np.frombuffer(row["least"], np.int64).tolist(), strict=True):
-                text = row["text"][at : at + length]
-                at += length
-                k = numbers.setdefault(text, len(numbers))
+        for i, row in enumerate(rows):
+            low, high = bounds[i][sort], bounds[i][sort + 1]
+            if low == high:
+                continue
+            own, text, end = [], row["text"], ends[i][low:high]
+            for a, b, owner in zip((end - lengths[i][low:high]).tolist(), end.tolist(), owners[i][low:high].tolist(), strict=True):
+                k = numbers.setdefault(text[a:b], len(numbers))
                 if k == len(least):
                     least.append(owner)
                 elif owner < least[k]:
                     least[k] = owner
                 own.append(k)
-            row["text"] = None
-            asked.append((row["block"], np.array(own), np.frombuffer(row["most"], np.int64)))
+            asked.append((i, low, np.array(own), most[i][low:high]))
+        if not asked:
+            continue
         text = np.frombuffer(b"".join(numbers), np.uint8)
-        lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        length = np.fromiter(map(len, numbers), np.int64, len(numbers))
         numbers.clear()
-        first = np.cumsum(lengths) - lengths
-        windows = lengths - WIDTH + 1
+        first = np.cumsum(length) - length
+        windows = length - WIDTH + 1
         offset = np.cumsum(windows) - windows
         starts = np.arange(windows.sum()) + np.repeat(first - offset, windows)
         owner = first_owners(text, starts, np.repeat(np.array(least, np.int64), windows))
         smallest = np.minimum.reduceat(owner, offset)
-        for block, own, most in asked:
-            wanted = np.flatnonzero(smallest[own] < most)
+        for i, low, own, largest in asked:
+            wanted = np.flatnonzero(smallest[own] < largest)
             if len(wanted):
                 strings = own[wanted]
                 n = windows[strings]
                 take = np.arange(n.sum()) + np.repeat(offset[strings] - np.cumsum(n) + n, n)
                 value, end = owner[take], np.cumsum(n)
-                # runs of windows with one owner
                 new = np.append(True, value[1:] != value[:-1])
                 new[(end - n)] = True
                 at = np.flatnonzero(new)
                 string = np.searchsorted(end, at, side="right")
-                yield pa.RecordBatch.from_pydict({"block": [block], "part": pa.array([part], pa.int32()), "string": [wanted[string].astype(np.int32).tobytes()], "from": [(at - (end - n)[string]).astype(np.int16).tobytes()], "windows": [np.diff(np.append(at, len(value))).astype(np.int16).tobytes()], "owner": [value[at].tobytes()]})
+                yield i, (low + wanted[string]).astype(np.int32), (at - (end - n)[string]).astype(np.int16), np.diff(np.append(at, len(value))).astype(np.int16), value[at]
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each string of a block the least document of every window, where some document of the block is larger."""
+    for part, rows in _by_part(batches):
+        said: dict[int, list] = {}
+        for i, *values in _sorted_part(rows):
+            said.setdefault(i, []).append(values)
+        if said:
+            cells = [[np.concatenate(x).tobytes() for x in zip(*said[i], strict=True)] for i in said]
+            yield pa.RecordBatch.from_pydict({"block": [rows[i]["block"] for i in said], "part": pa.array([part] * len(said), pa.int32()), **dict(zip(("string", "from", "windows", "owner"), map(list, zip(*cells, strict=True)), strict=True))})
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,9 +481,12 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     work = work or Workspace(spark, "suffixes")
     base = docs.select(col(id_col).cast("long").alias("id_"), F.xxhash64(col(text_col).cast("string")).alias("key_"), col(text_col).cast("string").alias("text_"))
-    parts = 1 << max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    least, size = int(spark.conf.get("spark.sql.shuffle.partitions")), docs.agg(F.sum(F.octet_length(col(text_col).cast("string")))).first()[0] or 0
+    # parts and the tasks that take them grow with the text, so what a task holds doesn't
+    parts = 1 << max(6, (max(4 * least, size // PART) - 1).bit_length())
+    tasks, block_tasks = max(least, parts // 2), max(least, 2 * size // BLOCK)
     lists = base.mapInArrow(_hash_lists(parts), "part int, hashes binary, several binary, ids binary")
-    shared = work.save(lists.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "part int, n long, hashes binary"), "shared")
+    shared = work.save(lists.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_shared, "part int, n long, hashes binary"), "shared")
     n = shared.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(parts << 6, 1 << (32 * n + 1).bit_length()))
     bitmap = bytearray(bits // 8)
@@ -444,10 +497,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fields = ", ".join(f"{f} binary" for f in _FIELDS)
     strings = work.save(base.mapInArrow(_strings(parts, bits, sent), f"block string, part int, {fields}"), "strings")
     sent.unpersist()
-    asked = strings.where("part >= 0").select("block", "part", "text", "lengths", "least", "most").repartition("part").sortWithinPartitions("part")
+    asked = strings.where("part >= 0").select("block", "part", "text", "lengths", "sorts", "least", "most").repartition(tasks, "part").sortWithinPartitions("part")
     answers = work.save(asked.mapInArrow(_answers, "block string, part int, string binary, `from` binary, windows binary, owner binary"), "answers")
-    stands = strings.where("part < 0").select("block", "part", *_FIELDS[4:]).join(answers.select("block").distinct(), "block", "left_semi")
-    both = stands.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "part")
+    stands = strings.where("part < 0").select("block", "part", *_FIELDS[5:]).join(answers.select("block").distinct(), "block", "left_semi")
+    both = stands.unionByName(answers, allowMissingColumns=True).repartition(block_tasks, "block").sortWithinPartitions("block", "part")
     spans = work.save(both.mapInArrow(_spans, "id_ long, key_ long, starts_ array<long>, ends_ array<long>"), "spans")
     work.drop(shared, strings, answers)
     return spans

@@ -96,3 +96,21 @@ def test_runs_tile_all_windows(monkeypatch, piece):
     for value, a, n in zip(h.tolist(), at.tolist(), length.tolist(), strict=True):
         for w in range(a, a + n):
             assert by_content.setdefault(raw[w : w + 50], value) == value
+
+
+def test_parts_grow_with_the_text(spark, rows, monkeypatch):
+    seen = []
+
+    class Spy(sd.Workspace):
+        def save(self, df, name):
+            out = super().save(df, name)
+            if name == "strings":
+                seen.append(out.where("part >= 0").agg(sd.F.max("part"), sd.F.max(sd.F.octet_length("text"))).first())
+            return out
+
+    monkeypatch.setattr(sd, "Workspace", Spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {tuple(r) for r in sd.drop_repeats(df, texts=False).collect()}
+    monkeypatch.setattr(sd, "PART", 200)
+    assert {tuple(r) for r in sd.drop_repeats(df, texts=False).collect()} == want
+    assert seen[1][0] > 8 * seen[0][0] and seen[1][1] < seen[0][1]
