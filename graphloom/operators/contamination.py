@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ ANSWER_FIELDS = {"sdt": ("syndrome_text", "pathogenesis_text", "explanatory_summ
 MOST_PASSAGE_SHOWN, CLOSEST = 60, 10
 #: What may go to every task: passages and their postings (16 bytes each); different needles and their letters.
 MOST_PASSAGES, MOST_POSTINGS, MOST_NEEDLES, MOST_NEEDLE_CHARS = 5_000, 1_000_000, 20_000, 4_000_000
+#: Letters whose grams are hashed at a time.
+MOST_LETTERS = 1_000_000
 
 
 def corpus(parts: DataFrame, fold=bare_text) -> DataFrame:
@@ -61,6 +64,25 @@ def document_titles(nodes: DataFrame) -> DataFrame:
     return nodes.where("type = 'DocumentSource'").select(F.concat_ws(" ", "name", get("title"), get("source_filename")).alias("title"))
 
 
+def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and gram sets, some million letters (or one long text) at a time: sets are eight times their text and more, and must not wait for a whole batch."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        start = size = 0
+        for i, n in enumerate(lengths.tolist()):
+            size += n
+            if size >= MOST_LETTERS or i == len(lengths) - 1:
+                some = batch.slice(start, i + 1 - start)
+                flat, ends = gram_hashes(some.column(1), GRAM)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "g"])
+                start, size = i + 1, 0
+
+
+def gram_sets(df: DataFrame, key: str) -> DataFrame:
+    """id, g of df(key, canon): gram_hash_set() of every text that has a gram."""
+    return df.select(key, "canon").mapInArrow(_gram_sets, f"id {df.schema[key].dataType.simpleString()}, g array<long>").where("size(g) > 0")
+
+
 class GramJoin:
     """Pairs of cases(case_id, canon) and passages(passage_id, canon) by the grams they share, from a least overlap on.
 
@@ -73,9 +95,14 @@ class GramJoin:
     def __init__(self, cases: DataFrame, passages: DataFrame):
         self.sets, listed = {}, {}
         for side, df, key in (("a", cases, "case_id"), ("b", passages, "passage_id")):
-            sets = save(df.select(F.col(key).alias("id"), gram_hash_set(F.col("canon"), GRAM).alias("g")).where("size(g) > 0"), f"grams-{side}")
+            sets = save(gram_sets(df, key), f"grams-{side}")
             self.sets[side] = sets
             listed[side] = sets.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+        # grams of a small side go to every task, so that of the other side's only these are shuffled
+        total = {x: self.sets[x].agg(F.sum(F.size("g"))).first()[0] or 0 for x in "ab"}
+        few, many = sorted("ab", key=total.get)
+        if total[few] <= MOST_POSTINGS:
+            listed[many] = listed[many].join(F.broadcast(listed[few].select("gram").distinct()), "gram", "left_semi")
         counts = [listed[x].groupBy("gram").agg(F.count("*").alias(f"d{x}")) for x in "ab"]
         self.common = save(counts[0].join(counts[1], "gram").select("gram", (F.col("da") * F.col("db")).alias("w")), "common-grams")
         self.ranked = {x: save(self._ranked(listed[x]), f"ranked-{x}") for x in "ab"}

@@ -73,3 +73,17 @@ def test_empty_sides(spark, sides):
     none = spark.createDataFrame([], "passage_id long, canon string")
     assert cn.similar_pairs(sides[2], none).collect() == []
     assert {r.overlap for r in cn.best_by_join(sides[2], none).collect()} == {0.0}
+
+
+def test_gram_sets_leave_a_task_in_small_batches():
+    import pyarrow as pa
+
+    from graphloom.operators import contamination as cn
+
+    texts = ["甲乙丙丁戊" * 20_000, None, "", "ab"] + ["".join(chr(97 + (i * j) % 26) for j in range(3_000)) for i in range(2_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "canon"])
+    got = list(cn._gram_sets([batch]))
+    assert len(got) > 5 and max(sum(len(t or "") for t in texts[b.column(0)[0].as_py() : b.column(0)[-1].as_py() + 1]) for b in got) < cn.MOST_LETTERS + 100_001
+    flat, ends = cn.gram_hashes(pa.array(texts), cn.GRAM)
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert [g for b in got for g in b.column(1).to_pylist()] == [flat[a:b].view("int64").tolist() for a, b in zip(ends, ends[1:])]
