@@ -92,13 +92,14 @@ def text_pieces(nodes: DataFrame, edges: DataFrame, with_evidence: bool = True)
 
 
 class Tools:
-    """nodes(id, type, name, source_docs, first_mention, attrs as JSON, ord) and edges as read_node_link() gives them; names and clusters are made once."""
+    """nodes(id, type, name, source_docs, first_mention, attrs as JSON, ord) and edges as read_node_link() gives them; names and clusters are made once and written, as every look-up reads them."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, names: DataFrame | None = None, roots: DataFrame | None = None, pool: DataFrame | None = None):
         """pool(key, id, rank): lexical hits for folded names that no node bears, where a search has been run for them."""
+        edges = gr.save(edges, "edges")
         self.nodes, self.edges, self.pool, self._indexes = nodes, edges, pool, {}
         self.names = names if names is not None else gr.save(gr.names_table(gr.with_aliases(nodes), tx.fold_text), "names")
-        self.roots = roots if roots is not None else gr.clusters(edges, nodes, F.col("name"))
+        self.roots = roots if roots is not None else gr.save(gr.clusters(edges, nodes, F.col("name")), "roots")
         self.brief = nodes.select("id", "type", "name")
 
     # ---- names ----------------------------------------------------------------------------------------------------
@@ -111,13 +112,14 @@ class Tools:
         wanted = (lambda c: F.lit(True)) if types is None else (lambda c: c.isin(*types))
         keyed = asked.select("q", F.trim("name").alias("name")).where("name <> ''").withColumn("key", tx.fold_text(F.col("name")))
         own = keyed.join(self.brief.select(F.col("id").alias("name"), F.col("id").alias("id"), F.col("type")), "name").select("q", "id", F.lit(0).alias("stage"), F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("b")).alias("ord"))
-        exact = keyed.join(self.names, "key")
-        one = exact.where(wanted(F.col("type"))).select("q", "id", F.lit(1).alias("stage"), F.struct(F.col("priority").alias("a"), F.col("ord").alias("b")).alias("ord"))
-        kin = exact.select("q", "id", F.col("ord").alias("o_")).join(self.roots, "id").select("q", "root", "o_").join(self.roots, "root").join(self.brief, "id").where(wanted(F.col("type")))
+        one = keyed.join(self.names, "key").where(wanted(F.col("type"))).select("q", "id", F.lit(1).alias("stage"), F.struct(F.col("priority").alias("a"), F.col("ord").alias("b")).alias("ord"))
+        every = gr.save(own.unionByName(one), "resolved")
+        left = keyed.join(every.select("q"), "q", "left_anti")
+        kin = left.join(self.names, "key").select("q", "id", F.col("ord").alias("o_")).join(self.roots, "id").select("q", "root", "o_").join(self.roots, "root").join(self.brief, "id").where(wanted(F.col("type")))
         two = kin.select("q", "id", F.lit(2).alias("stage"), F.struct(F.lit(0).alias("a"), F.col("o_").cast("long").alias("b")).alias("ord"))
-        every = own.unionByName(one).unionByName(two)
+        every = every.unionByName(two)
         if self.pool is not None:
-            near = keyed.join(self.pool, "key").join(self.brief, "id").where(wanted(F.col("type")) & (F.col("rank") <= 5)).where(tx.name_similarity(F.col("key"), tx.fold_text(self.brief["name"])) >= MIN_NAME_SIMILARITY)
+            near = left.join(self.pool, "key").join(self.brief, "id").where(wanted(F.col("type")) & (F.col("rank") <= 5)).where(tx.name_similarity(F.col("key"), tx.fold_text(self.brief["name"])) >= MIN_NAME_SIMILARITY)
             every = every.unionByName(near.select("q", "id", F.lit(3).alias("stage"), F.struct(F.lit(0).alias("a"), F.col("rank").cast("long").alias("b")).alias("ord")))
         best = every.groupBy("q").agg(F.min("stage").alias("stage"))
         ranked = every.join(best, ["q", "stage"]).groupBy("q", "id").agg(F.min("ord").alias("ord"))
@@ -131,9 +133,11 @@ class Tools:
     def drugs(self, calls: DataFrame, types: tuple[str, ...]) -> DataFrame:
         """call_id, item, id (null: unknown), ord: items by their names, else by their names without preparation notes."""
         items = calls.select("call_id", F.posexplode("items").alias("ord", "item")).select("call_id", F.trim("item").alias("item"), F.col("ord").cast("long").alias("ord")).where("item <> ''").groupBy("call_id", "item").agg(F.min("ord").alias("ord"))
+        items = gr.save(items, "items")
         distinct = items.select("item").distinct()
-        plain = self.resolve(distinct.select(F.col("item").alias("q"), F.col("item").alias("name")), types).where("rank = 1").select(F.col("q").alias("item"), F.col("id").alias("a"))
-        base = self.resolve(distinct.select(F.col("item").alias("q"), tx.herb_base(F.col("item")).alias("name")), types).where("rank = 1").select(F.col("q").alias("item"), F.col("id").alias("b"))
+        plain = gr.save(self.resolve(distinct.select(F.col("item").alias("q"), F.col("item").alias("name")), types).where("rank = 1").select(F.col("q").alias("item"), F.col("id").alias("a")), "plain-items")
+        noted = distinct.join(plain, "item", "left_anti").select(F.col("item").alias("q"), tx.herb_base(F.col("item")).alias("name")).where("name <> q")
+        base = self.resolve(noted, types).where("rank = 1").select(F.col("q").alias("item"), F.col("id").alias("b"))
         return items.join(plain, "item", "left").join(base, "item", "left").select("call_id", "item", F.coalesce("a", "b").alias("id"), "ord")
 
     def unresolved(self, drugs: DataFrame) -> DataFrame:
@@ -214,10 +218,10 @@ class Tools:
         """id, member of each id's cluster."""
         return gr.cluster_members(ids.select(F.col("id").alias("seed")).distinct(), self.roots).select(F.col("seed").alias("id"), F.col("id").alias("member"))
 
-    def step(self, ids: DataFrame, types: tuple[str, ...], out: bool = True) -> DataFrame:
-        """id, other, name, type, edge_type, ord, evidence, source_docs across edges of the types."""
+    def step(self, ids: DataFrame, types: tuple[str, ...], out: bool = True, said: bool = False) -> DataFrame:
+        """id, other, name, type, edge_type, ord, evidence, source_docs across edges of the types; only those with evidence, if `said`."""
         here, there = ("source", "target") if out else ("target", "source")
-        some = self.edges.where(F.col("type").isin(*types)).select(F.col(here).alias("id"), F.col(there).alias("other"), F.col("type").alias("edge_type"), "ord", "evidence", "source_docs")
+        some = self.edges.where(F.col("type").isin(*types) & ((F.size(gr.evidence_sentences(F.col("evidence"))) > 0) if said else F.lit(True))).select(F.col(here).alias("id"), F.col(there).alias("other"), F.col("type").alias("edge_type"), "ord", "evidence", "source_docs")
         return some.join(ids.select("id").distinct(), "id", "left_semi").join(self.brief.select(F.col("id").alias("other"), "name", "type"), "other")
 
     def preparation(self, ids: DataFrame) -> DataFrame:
@@ -225,7 +229,7 @@ class Tools:
         members = self.members(ids).join(self.brief.select(F.col("id").alias("member"), F.col("name").alias("own")), "member")
         noted = members.select("id", F.explode(tx.herb_markers(F.col("own"))).alias("marker"), F.col("own").alias("evidence"), F.lit(-1).cast("long").alias("ord"))
         called = members.select("id", F.explode(F.array_distinct(F.array("own", tx.herb_base(F.col("own"))))).alias("called")).distinct()
-        edges = self.step(members.select(F.col("member").alias("id")), ("CONTAINS_HERB", "USES_HERB_DIRECT"), out=False).select(F.col("id").alias("member"), "ord", F.explode(gr.evidence_sentences(F.col("evidence"))).alias("evidence"))
+        edges = self.step(members.select(F.col("member").alias("id")), ("CONTAINS_HERB", "USES_HERB_DIRECT"), out=False, said=True).select(F.col("id").alias("member"), "ord", F.explode(gr.evidence_sentences(F.col("evidence"))).alias("evidence"))
         said = members.select("id", "member").join(edges, "member").join(called, "id")
         said = said.select("id", F.explode(tx.markers_after_name(F.col("evidence"), F.col("called"))).alias("marker"), "evidence", "ord")
         return noted.unionByName(said).groupBy("id", "marker", "evidence").agg(F.min("ord").alias("ord"))
@@ -293,8 +297,8 @@ class Tools:
         d = gr.save(self.drugs(calls, ("Herb",)), "herbs")
         known = d.where("id is not null")
         held = self.members(known).join(self.edges.where("type = 'CONTAINS_HERB'").select(F.col("target").alias("member"), F.col("source").alias("formula")), "member").select("id", "formula").distinct()
-        pairs = known.select("call_id", F.col("item").alias("a"), F.col("id").alias("ia")).join(known.select("call_id", F.col("item").alias("b"), F.col("id").alias("ib")), "call_id").where("a < b")
-        both = pairs.select("ia", "ib").distinct().join(held.toDF("ia", "formula"), "ia").join(held.toDF("ib", "formula"), ["ib", "formula"]).groupBy("ia", "ib").agg(F.count("*").alias("n"))
+        pairs = gr.save(known.select("call_id", F.col("item").alias("a"), F.col("id").alias("ia")).join(known.select("call_id", F.col("item").alias("b"), F.col("id").alias("ib")), "call_id").where("a < b"), "herb-pairs")
+        both = rules.held_together(pairs.select(F.col("ia").alias("a"), F.col("ib").alias("b")), held.select(F.col("formula").alias("container"), F.col("id").alias("part"))).toDF("ia", "ib", "n")
         rows = pairs.join(both, ["ia", "ib"], "left").select("call_id", "a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n_co_occurrences"), F.lit("not_covered").alias("verdict"), F.struct("a", "b").alias("ord"))
         toxic = known.join(self.natures(known), "id").withColumn("toxicity", toxicity(F.col("nature"))).where("toxicity is not null")
         few = calls.select("call_id", F.when(F.size("items") < 2, "two items or more are needed").alias("error"))

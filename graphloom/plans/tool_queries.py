@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tools import Tools
+from ..session import save
 from .views import ANSWERS_SQL, answers, clinic, table
 
 QUERIES, ORACLES = {}, {}
@@ -34,7 +35,7 @@ def _box(spark: SparkSession, d: str) -> Tools:
 def _calls(spark: SparkSession, d: str, *more: Column) -> DataFrame:
     """call_id, items: the herbs of an order's first two options."""
     herb = lambda c: F.regexp_extract(F.col("options")[c], "^药[0-9]+号", 0)
-    return answers(spark, d).select(F.col("case_id").alias("call_id"), F.filter(F.array(herb("A"), herb("B")), lambda x: x != "").alias("items"), *more)
+    return save(answers(spark, d).select(F.col("case_id").alias("call_id"), F.filter(F.array(herb("A"), herb("B")), lambda x: x != "").alias("items"), *more), "calls")
 
 
 def _shown(array: str, *fields: str) -> Column:

@@ -160,3 +160,18 @@ def test_latest_log_stream(spark, tmp_path):
     finally:
         query.stop()
     assert {(r.key, r.completion) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("k", "new"), ("j", "x")}
+
+
+def test_pairs_held_together_by_either_way(spark):
+    from graphloom.operators import rules
+
+    # part 0 is in everything, so pairs with it are counted from containers; container 0 holds everything, so there pairs look through their rarer part
+    for rows in ([(c, p) for c in range(300) for p in (0, c % 40 + 1, c % 7 + 41)], [(0, p) for p in range(300)] + [(c, p) for c in range(1, 9) for p in (1, 2)]):
+        rows = sorted(set(rows))
+        held = {}
+        for c, p in rows:
+            held.setdefault(p, set()).add(c)
+        asked = [(a, b) for a in (0, 1, 2, 45) for b in range(1, 47) if a != b] + [(1, 2), (999, 1)]
+        want = {(a, b): len(held.get(a, set()) & held.get(b, set())) for a, b in asked}
+        got = rules.held_together(spark.createDataFrame(asked, "a int, b int"), spark.createDataFrame(rows, "container int, part int"))
+        assert {(r.a, r.b): r.n for r in got.collect()} == {k: n for k, n in want.items() if n}
