@@ -6,8 +6,10 @@ answers run as one table a check.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ RULE_OF_WORD = {
 RULE_CODE = r"(?U)\b([ANC]-\d{3})\b"
 COHORTS = ("孕妇", "妊娠", "哺乳", "儿童", "小儿", "婴幼儿", "新生儿", "老年")
 NAMED_TYPES, SHORTEST_NAME, MOST_NAMES = ("Herb", "Formula", "PatentMedicine"), 2, 6
+#: Shapes of names (two letters at either end, length) that may go to every task.
+MOST_SHAPES = 100_000
 # -------------------------------------------------------------------------------------------------------------------
 
 
@@ -59,11 +63,48 @@ def claimed_preparation(letters: Column, options: Column) -> Column:
     return F.get(F.array_compact(F.transform(letters, lambda x: tx.first_marker(F.try_element_at(options, x), tx.PREPARATION_MARKERS))), F.lit(0))
 
 
+def _pieces(shapes: list[tuple[str, int, str]], headed: bool):
+    """id, name: the different pieces of each text that begin, end and last as some name does; without heads and tails, that last so long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = SHORTEST_NAME
+        ends: dict[str, dict[int, set[str]]] = {}
+        for head, length, tail in shapes:
+            ends.setdefault(head, {}).setdefault(length, set()).add(tail)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some, places, found = batch.slice(at, 256), [], []
+                for i, text in enumerate(some.column(1).to_pylist()):
+                    seen = set()
+                    for p in range(len(text or "") - n + 1):
+                        for length, tails in ends.get(text[p : p + n] if headed else "", {}).items():
+                            if p + length <= len(text) and (not headed or text[p + length - n : p + length] in tails):
+                                seen.add(text[p : p + length])
+                    places += [i] * len(seen)
+                    found += seen
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(places, pa.int64())), pa.array(found, pa.string())], names=["id", "name"])
+
+    return run
+
+
+def name_pieces(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """id, name: pieces of texts(id, text) that may be one of names(name); every name that a text holds is among them.
+
+    Two letters at either end and the length tell most other pieces apart; where names come in more such shapes than may go to
+    every task, lengths alone do.
+    """
+    shapes = names.select(F.substring("name", 1, SHORTEST_NAME).alias("h"), F.length("name").alias("n"), F.right("name", F.lit(SHORTEST_NAME)).alias("t")).distinct()
+    headed = small_enough(shapes, MOST_SHAPES)
+    listed = [tuple(r) for r in (shapes if headed else names.select(F.lit("").alias("h"), F.length("name").alias("n"), F.lit("").alias("t")).distinct()).collect()]
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInArrow(_pieces(listed, headed), f"id {kind}, name string")
+
+
 def held_names(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """id, name for every different name(name) that a text(id, text) holds.
+    """id, name for every different name(name) that a text(id, text) holds; an id whose texts share a name may have it several times.
 
     Names up to a checked number and length are one automaton, which every text runs through once and which tells names within
-    names too.  More of them meet the texts in two letters of the name, those that fewest texts have.
+    names too.  More of them are joined as they are with the pieces of texts that have a name's shape.
     """
     n = save(names.select("name").where(F.length("name") >= SHORTEST_NAME).distinct(), "names")
     kind = texts.schema["id"].dataType.simpleString()
@@ -72,12 +113,7 @@ def held_names(texts: DataFrame, names: DataFrame) -> DataFrame:
         found = texts.select("id", "text").mapInArrow(holding(listed), f"passage_id {kind}, place long").distinct()
         named = texts.sparkSession.createDataFrame(list(enumerate(listed)), "place long, name string")
         return found.join(F.broadcast(named), "place").select(F.col("passage_id").alias("id"), "name")
-    pairs = n.select("name", F.explode(tx.gram_hash_set(F.col("name"), SHORTEST_NAME)).alias("gram"))
-    grams = texts.select("id", F.explode(tx.gram_hash_set(F.col("text"), SHORTEST_NAME)).alias("gram"))
-    postings = save(grams.join(pairs.select("gram").distinct(), "gram", "left_semi"), "postings")
-    rare = pairs.join(postings.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m"))
-    met = rare.where("m.df > 0").select("name", F.col("m.gram").alias("gram")).join(postings, "gram").select("id", "name")
-    return met.join(texts.select("id", "text").distinct(), "id").where(F.contains("text", "name")).select("id", "name").distinct()
+    return name_pieces(texts, n).join(n, "name", "left_semi").select("id", "name")
 
 
 def names_in_play(texts: DataFrame, names: DataFrame, types: tuple[str, ...] = NAMED_TYPES, most: int = MOST_NAMES) -> DataFrame:
@@ -88,7 +124,8 @@ def names_in_play(texts: DataFrame, names: DataFrame, types: tuple[str, ...] = N
     rank = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("type"))
     first = names.where(F.col("type").isin(*types)).groupBy("name").agg(F.min(F.struct(rank.alias("t"), F.col("ord").alias("o"))).alias("p"))
     first = save(first, "typed-names")
-    found = held_names(texts, first).distinct().join(first, "name")
+    # one shuffle by id takes the different names and their order
+    found = held_names(texts, first).join(first, "name").repartition("id").distinct()
     w = Window.partitionBy("id").orderBy("p", "name")
     return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("names"))
 

@@ -16,6 +16,7 @@ from ..operators import statistics as st
 from ..operators import traces as tr
 from ..operators import verification as vf
 from ..operators.tools import Tools
+from ..session import save
 from .views import ANSWERS_SQL, STEPS_SQL, answers, clinic, table, tool_steps
 
 QUERIES, ORACLES = {}, {}
@@ -448,7 +449,7 @@ select k as case_id, (kind <> 5)::bigint as n_checks, case when kind = 5 then 'n
 from ans left join r using (k)""")
 def answer_verdicts(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = clinic(spark, d)
-    given = answers(spark, d)
+    given = save(answers(spark, d), "given")
     plans = vf.safety_plans(given, vf.node_names(nodes))
     return vf.reports(given, vf.check_safety(Tools(nodes, edges), plans))
 
