@@ -23,8 +23,8 @@ ANSWER_FIELDS = {"sdt": ("syndrome_text", "pathogenesis_text", "explanatory_summ
 MOST_PASSAGE_SHOWN, CLOSEST = 60, 10
 #: What may go to every task: passages and their postings (16 bytes each); different needles and their letters.
 MOST_PASSAGES, MOST_POSTINGS, MOST_NEEDLES, MOST_NEEDLE_CHARS = 5_000, 1_000_000, 20_000, 4_000_000
-#: Letters whose grams are hashed at a time.
-MOST_LETTERS = 1_000_000
+#: Letters whose grams are hashed at a time; rows, and postings that they meet, that are counted at a time.
+MOST_LETTERS, MOST_ROWS, MOST_MET = 1_000_000, 256, 4_000_000
 
 
 def corpus(parts: DataFrame, fold=bare_text) -> DataFrame:
@@ -64,18 +64,23 @@ def document_titles(nodes: DataFrame) -> DataFrame:
     return nodes.where("type = 'DocumentSource'").select(F.concat_ws(" ", "name", get("title"), get("source_filename")).alias("title"))
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, and some million letters (or one long text): sets are eight times their text and more, and must not wait for a whole batch."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for i, n in enumerate(lengths.tolist()):
+        size += n
+        if size >= MOST_LETTERS or i + 1 - start >= rows or i == len(lengths) - 1:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+
+
 def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids and gram sets, some million letters (or one long text) at a time: sets are eight times their text and more, and must not wait for a whole batch."""
+    """Ids and gram sets."""
     for batch in batches:
-        lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-        start = size = 0
-        for i, n in enumerate(lengths.tolist()):
-            size += n
-            if size >= MOST_LETTERS or i == len(lengths) - 1:
-                some = batch.slice(start, i + 1 - start)
-                flat, ends = gram_hashes(some.column(1), GRAM)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "g"])
-                start, size = i + 1, 0
+        for some in _slices(batch, batch.num_rows):
+            flat, ends = gram_hashes(some.column(1), GRAM)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "g"])
 
 
 def gram_sets(df: DataFrame, key: str) -> DataFrame:
@@ -134,13 +139,12 @@ class GramJoin:
         """The best pair of every case that shares a gram: cases look for high overlaps first, and only those without one look for lower ones."""
         left, found = save(self.sets["a"].select(F.col("id").alias("case_id")), "cases-left"), None
         for least in steps:
-            order = F.struct(F.round(-F.col("overlap"), 9).alias("o"), (-F.col("shared")).alias("s"), F.col("passage_id").alias("p"))
-            now = save(self.pairs(least, None if found is None else left).groupBy("case_id").agg(F.min_by(F.struct("passage_id", "jaccard", "graph_in_case", "case_in_graph", "overlap"), order).alias("best")), "best")
+            now = save(_best(self.pairs(least, None if found is None else left)), "best")
             found = now if found is None else found.unionByName(now)
             left = save(left.join(now, "case_id", "left_anti"), "cases-left")
             if left.isEmpty():
                 break
-        return found.select("case_id", "best.*")
+        return found
 
 
 def similar_pairs(cases: DataFrame, passages: DataFrame, least: float = POSSIBLE) -> DataFrame:
@@ -149,12 +153,34 @@ def similar_pairs(cases: DataFrame, passages: DataFrame, least: float = POSSIBLE
 
 
 def best_by_join(cases: DataFrame, passages: DataFrame) -> DataFrame:
-    """What best_overlap() gives, without a limit on either side."""
-    best = GramJoin(cases, passages).best()
+    """What best_overlap() gives, without a limit on either side.
+
+    Cases with few letters (a checked number) go to every task, which keeps the best of its passages for each; nothing but these is
+    shuffled or saved.  More cases meet the passages in a GramJoin.
+    """
+    few = small_enough(cases, MOST_PASSAGES) and (cases.agg(F.sum(F.length("canon"))).first()[0] or 0) <= MOST_POSTINGS
+    best = _best_for_few(cases, passages) if few else GramJoin(cases, passages).best()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return cases.select("case_id").join(best, "case_id", "left").select("case_id", "passage_id", *map(zero, ("jaccard", "graph_in_case", "case_in_graph", "overlap")))
 
 
+def _best_for_few(cases: DataFrame, passages: DataFrame) -> DataFrame:
+    """The best pair of every one of few cases that shares a gram."""
+    few = gram_sets(cases, "case_id").collect()
+    sets = [np.array(r.g, np.int64).view(np.uint64) for r in few]
+    kind = passages.schema["passage_id"].dataType.simpleString()
+    found = passages.select("passage_id", "canon").mapInArrow(_best_in_task(*_postings(sets)), f"place long, passage_id {kind}, shared long, n long, m long")
+    names = cases.sparkSession.createDataFrame([(i, r.id) for i, r in enumerate(few)], f"place long, case_id {cases.schema['case_id'].dataType.simpleString()}")
+    return _best(_shares(found.join(F.broadcast(names), "place")))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Each case's best pair: the largest overlap, then the most grams, then the least passage."""
+    order = F.struct(F.round(-F.col("overlap"), 9).alias("o"), (-F.col("shared")).alias("s"), F.col("passage_id").alias("p"))
+    best = pairs.groupBy("case_id").agg(F.min_by(F.struct("passage_id", "jaccard", "graph_in_case", "case_in_graph", "overlap"), order).alias("best"))
+    return best.select("case_id", "best.*")
+
+
 def _shares(sized: DataFrame) -> DataFrame:
     """The three shares of shared grams; zeros where a side has none."""
     share = lambda by, c: F.coalesce(F.try_divide("shared", by), F.lit(0.0)).alias(c)
@@ -162,6 +188,42 @@ def _shares(sized: DataFrame) -> DataFrame:
     return s.withColumn("overlap", F.greatest("jaccard", "graph_in_case", "case_in_graph"))
 
 
+def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams of some sets in order, the place of the set that each is of, and the sets' sizes."""
+    sizes = np.array([len(g) for g in sets], np.int64)
+    grams, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(grams, kind="stable")
+    return grams[order], owner[order], sizes
+
+
+def _sharing(batches: Iterator[pa.RecordBatch], grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray):
+    """Some rows' ids, their numbers of grams, and how many of these each row shares with each of the few: a matrix."""
+    values, first = np.unique(grams, return_index=True)
+    last = np.r_[first[1:], len(grams)]
+    for batch in batches:
+        for some in _slices(batch, MOST_ROWS):
+            flat, ends = gram_hashes(some.column(1), GRAM)
+            shared = np.zeros(some.num_rows * len(sizes), np.int64)
+            where = np.searchsorted(values, flat)
+            where[where == len(values)] = 0
+            hits = np.flatnonzero(values[where] == flat) if len(values) else np.zeros(0, np.int64)
+            row, where = np.searchsorted(ends, hits, "right") - 1, where[hits]
+            times = last[where] - first[where]
+            upto = np.cumsum(times)
+            cuts = np.unique(np.r_[0, np.searchsorted(upto, np.arange(MOST_MET, times.sum(), MOST_MET)), len(hits)])
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                # every posting of every hit, one after another
+                t = times[a:b]
+                postings = np.repeat(first[where[a:b]] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+                shared += np.bincount(np.repeat(row[a:b], t) * len(sizes) + owner[postings], minlength=len(shared))
+            yield some.column(0), np.diff(ends), shared.reshape(some.num_rows, len(sizes))
+
+
+def _overlaps(shared: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    n, m = np.maximum(n, 1)[:, None], sizes[None, :]
+    return np.round(np.maximum(np.maximum(shared / (n + m - shared), shared / m), shared / n), 9)
+
+
 def _best_of_few(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray):
     """For each case the best of the few passages, whose postings (sorted by gram) are at hand: place, -1 without a shared gram, and counts.
 
@@ -169,29 +231,38 @@ def _best_of_few(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, first = np.unique(grams, return_index=True)
-        last = np.r_[first[1:], len(grams)]
-        for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, 256):
-                flat, ends = gram_hashes(batch.column(1).slice(at, 256), GRAM)
-                where = np.searchsorted(values, flat)
-                where[where == len(values)] = 0
-                hits = np.flatnonzero(values[where] == flat) if len(values) else np.zeros(0, np.int64)
-                case, where = np.searchsorted(ends, hits, "right") - 1, where[hits]
-                times = last[where] - first[where]
-                # every posting of every hit, one after another
-                postings = np.repeat(first[where] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-                n = np.diff(ends)
-                shared = np.bincount(np.repeat(case, times) * len(sizes) + owner[postings], minlength=len(n) * len(sizes)).reshape(len(n), len(sizes)) if len(sizes) else np.zeros((len(n), 1), np.int64)
-                own = sizes if len(sizes) else np.ones(1, np.int64)
-                most = np.maximum(n, 1)[:, None]
-                score = np.round(np.maximum(np.maximum(shared / (most + own[None, :] - shared), shared / own[None, :]), shared / most), 9)
-                best = np.lexsort((np.broadcast_to(np.arange(score.shape[1]), score.shape), -shared, -score), axis=1)[:, 0]
-                k = shared[np.arange(len(n)), best]
-                out.append((np.where(k > 0, best, -1), k, n, own[best]))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype(np.int64)) for c in columns]], names=["case_id", "place", "shared", "n", "m"])
+        for ids, n, shared in _sharing(batches, grams, owner, sizes):
+            own = sizes
+            if not len(sizes):
+                shared, own = np.zeros((len(n), 1), np.int64), np.ones(1, np.int64)
+            score = _overlaps(shared, n, own)
+            best = np.lexsort((np.broadcast_to(np.arange(score.shape[1]), score.shape), -shared, -score), axis=1)[:, 0]
+            k = shared[np.arange(len(n)), best]
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c.astype(np.int64)) for c in (np.where(k > 0, best, -1), k, n, own[best])]], names=["case_id", "place", "shared", "n", "m"])
+
+    return run
+
+
+def _best_in_task(grams: np.ndarray, owner: np.ndarray, sizes: np.ndarray):
+    """For each of the few cases, whose postings (sorted by gram) are at hand, the best of a task's passages: place, passage and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, best, kind = np.zeros(len(sizes)), {}, pa.int64()
+        for ids, m, shared in _sharing(batches, grams, owner, sizes):
+            rank, score, kind = np.empty(len(m), np.int64), _overlaps(shared, m, sizes), ids.type
+            rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(m))
+            # of the largest overlaps those with the most grams, of these the least id
+            alike = score == score.max(axis=0)
+            k = np.where(alike, shared, -1).max(axis=0)
+            row = np.where(alike & (shared == k), rank[:, None], len(m)).argmin(axis=0)
+            for place in np.flatnonzero((k > 0) & (score[row, np.arange(len(sizes))] >= top)).tolist():
+                at = row[place]
+                now = (-score[at, place], -k[place], ids[int(at)].as_py(), m[at])
+                if place not in best or now < best[place]:
+                    best[place], top[place] = now, -now[0]
+        columns = [(place, passage, -k, sizes[place], m) for place, (_, k, passage, m) in best.items()]
+        place, passage, *counts = zip(*columns, strict=True) if columns else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(passage, kind), *[pa.array(c, pa.int64()) for c in counts]], names=["place", "passage_id", "shared", "n", "m"])
 
     return run
 
@@ -204,10 +275,8 @@ def best_overlap(cases: DataFrame, passages: DataFrame) -> DataFrame:
     listed = save(passages.select("passage_id", gram_hash_set(F.col("canon"), GRAM).alias("g")).where("size(g) > 0"), "passage-grams")
     if small_enough(listed, MOST_PASSAGES) and (listed.agg(F.sum(F.size("g"))).first()[0] or 0) <= MOST_POSTINGS:
         few = sorted((r.passage_id, np.array(r.g, np.int64).view(np.uint64)) for r in listed.collect())
-        grams, owner = np.concatenate([*(g for _, g in few), np.zeros(0, np.uint64)]), np.repeat(np.arange(len(few)), [len(g) for _, g in few])
-        order = np.argsort(grams, kind="stable")
         kind = cases.schema["case_id"].dataType.simpleString()
-        found = cases.select("case_id", "canon").mapInArrow(_best_of_few(grams[order], owner[order], np.array([len(g) for _, g in few], np.int64)), f"case_id {kind}, place long, shared long, n long, m long")
+        found = cases.select("case_id", "canon").mapInArrow(_best_of_few(*_postings([g for _, g in few])), f"case_id {kind}, place long, shared long, n long, m long")
         names = listed.sparkSession.createDataFrame([(i, p) for i, (p, _) in enumerate(few)], f"place long, passage_id {passages.schema['passage_id'].dataType.simpleString()}")
         return _shares(found.join(F.broadcast(names), "place", "left")).select("case_id", "passage_id", *[F.when(F.col("shared") > 0, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in ("jaccard", "graph_in_case", "case_in_graph", "overlap")])
     return best_by_join(cases, passages)

@@ -69,10 +69,43 @@ def test_the_best_passage_is_the_same_beyond_every_limit(sides, monkeypatch):
         assert (passage_id, overlap) == ((-best[2], best[0]) if best else (None, 0))
 
 
+def test_few_cases_find_their_best_passage_without_a_join(sides, monkeypatch):
+    """Shuffled and saved gram sets of the passages were some hundred times their text."""
+    cases, passages, a, b = sides
+    row = lambda r: (r.case_id, r.passage_id, *[round(x, 9) for x in r[2:]])
+    joined = sorted(map(row, cn.GramJoin(a, b).best().collect()))
+
+    def refused(*_):
+        raise AssertionError("a join")
+
+    monkeypatch.setattr(cn, "GramJoin", refused)
+    monkeypatch.setattr(cn, "save", refused)
+    found = {r.case_id: row(r) for r in cn.best_by_join(a, b.repartition(7)).collect()}
+    assert len(found) == len(cases) and sorted(r for r in found.values() if r[1] is not None) == joined
+    # equal passages: the least, by a text as by a number
+    texts = b.selectExpr("concat('p', passage_id div 2, if(passage_id % 2 = 0, 'é', 'z')) as passage_id", "canon").unionByName(b.selectExpr("concat('a', passage_id) as passage_id", "canon"))
+    again = {r.case_id: r.passage_id for r in cn.best_by_join(a, texts.repartition(5)).collect()}
+    assert all((p or "a")[0] == "a" for p in again.values()) and {k for k, p in again.items() if p} == {r[0] for r in joined}
+
+
+def test_what_few_sets_share_is_counted_piece_by_piece(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["abcdefgh" * 3, None, "", "ab", "xyzabcdefg", "abcdefghij" * 40]
+    few = [cn.gram_hashes(pa.array([t]), cn.GRAM)[0] for t in ("abcdefgh", "cdefghab", "ab", "qqqqqq", "abcdefgh")]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "canon"])
+    for rows, met in ((256, 4_000_000), (2, 1), (1, 3)):
+        monkeypatch.setattr(cn, "MOST_ROWS", rows)
+        monkeypatch.setattr(cn, "MOST_MET", met)
+        got = [r for _, _, shared in cn._sharing([batch], *cn._postings(few)) for r in shared.tolist()]
+        assert got == [[len(grams(t or "") & grams(f)) for f in ("abcdefgh", "cdefghab", "ab", "qqqqqq", "abcdefgh")] for t in texts]
+
+
 def test_empty_sides(spark, sides):
     none = spark.createDataFrame([], "passage_id long, canon string")
     assert cn.similar_pairs(sides[2], none).collect() == []
     assert {r.overlap for r in cn.best_by_join(sides[2], none).collect()} == {0.0}
+    assert cn.best_by_join(spark.createDataFrame([], "case_id long, canon string"), sides[3]).collect() == []
 
 
 def test_gram_sets_leave_a_task_in_small_batches():
