@@ -117,9 +117,12 @@ def clusters(edges: DataFrame, nodes: DataFrame, label: Column, identity: tuple[
     from .components import components
 
     pairs = edges.where(F.col("type").isin(*identity)).select(F.col("source").alias("a"), F.col("target").alias("b"))
-    group = nodes.select("id", label.alias("label_")).join(components(pairs), F.col("id") == F.col("node"), "left").select("id", "label_", F.coalesce("root", "id").alias("group_"))
-    heads = group.groupBy("group_").agg(F.min(F.struct(F.length("label_").alias("n"), F.col("id").alias("head"))).alias("m")).select("group_", F.col("m.head").alias("root"))
-    return group.join(heads, "group_").select("id", "root")
+    # nodes without a link head themselves; only linked ones are gathered
+    linked = save(components(pairs), "linked")
+    group = nodes.select("id", label.alias("label_")).join(linked, F.col("id") == F.col("node")).select("id", "label_", F.col("root").alias("group_"))
+    heads = group.groupBy("group_").agg(F.min(F.struct(F.length("label_").alias("n"), F.col("id").alias("head"))).alias("m")).select("group_", F.col("m.head").alias("head"))
+    headed = group.join(heads, "group_").select("id", "head")
+    return nodes.select("id").join(headed, "id", "left").select("id", F.coalesce("head", "id").alias("root"))
 
 
 def cluster_members(seeds: DataFrame, roots: DataFrame) -> DataFrame:

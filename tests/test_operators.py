@@ -197,3 +197,20 @@ def test_benchmark(spark):
     items = spark.createDataFrame([("i", {"A": "x", "B": "x", "C": "longgold"}, ["C"], "has longgold in it"), ("i", {"A": "1", "B": "2", "C": "3"}, ["Z"], ""), ("", {}, [], "")], "id string, options map<string,string>, answer array<string>, text string")
     found = {r.problem for r in benchmark.violations(items, lambda c: F.lower(c)).collect()}
     assert found == {"blank_id", "duplicate_id", "no_options", "gold_not_in_options", "duplicate_option_text", "answer_echoed"}
+
+
+def test_item_overlap_is_that_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(4), f"f{rng.randrange(9)}", rng.choice([None, *"abcdefgh"])) for _ in range(150)}, key=repr)
+    got = {(r.g, r.a, r.b): (r.shared, r.jaccard) for r in rules.item_overlap(spark.createDataFrame(rows + rows[:20], "g int, f string, h string"), "g", "f", "h").collect()}
+    sets = {}
+    for g, f, h in rows:
+        sets.setdefault((g, f), set()).add(h)
+    want = {}
+    for (g, a), x in sets.items():
+        for (k, b), y in sets.items():
+            if g == k and a < b and (n := len((x & y) - {None})):
+                want[g, a, b] = (n, round(n / (len(x) + len(y) - n), 3))
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 0.0011 for k in want)

@@ -183,3 +183,13 @@ def test_static_context(spark, box):
     assert r.anchors[0].disease == "ds" and "心虚胆怯证" in r.anchors[0].candidates and "痰火扰心证" in r.anchors[0].candidates
     assert r.syndromes[0].id == "s1" and [(o.letter, o.found, o.id) for o in r.options] == [("A", True, "s1"), ("B", True, "s3"), ("C", False, None)]
     assert r.options[0].diseases == ["心悸（心律失常）"]
+
+
+def test_names_that_nodes_bear_are_resolved_without_clusters(spark, box):
+    """Joins of all clusters, names and nodes ran for calls that left no name open."""
+    never = tools.Tools(box.nodes, box.edges, names=box.names, roots=box.roots.withColumn("root", F.raise_error(F.concat(F.lit("read: "), "root")).cast("string")))
+    calls = spark.createDataFrame([(0, ["附子", "安神定志丸"]), (1, ["石膏"])], "call_id int, items array<string>")
+    drugs = ("Herb", "Formula", "PatentMedicine")
+    assert {(r.call_id, r.item, r.id) for r in never.drugs(calls, drugs).collect()} == {(0, "附子", "h3"), (0, "安神定志丸", "f1"), (1, "石膏", "h1")}
+    with pytest.raises(Exception, match="read: "):
+        never.drugs(spark.createDataFrame([(0, ["没有的药"]), (1, ["f1", "心悸"])], "call_id int, items array<string>"), drugs).collect()
